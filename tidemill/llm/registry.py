@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, neardup, quality, sharding
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of their near copies."""
+    return neardup.op7(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, judged."""
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -28,6 +33,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op7_neardup": op7_neardup,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
