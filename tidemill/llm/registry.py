@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, quality, sharding
+from . import decontam, mixing, neardup, quality, sharding
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op7(table(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, judged."""
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op7_neardup": op7_neardup,
+    "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
