@@ -16,14 +16,12 @@ from tidemill.llm.common import fresh_path, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the isolation forest keep."""
-    kept = quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
-    kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi")
+    return neardup.one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

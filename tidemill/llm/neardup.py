@@ -91,6 +91,30 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     linked with nothing. A null key counts as larger than any other; of rows that share the smallest key all are
     kept. Other columns are ignored; an empty table gives no rows.
     """
+    seen, comps = _classes(docs, k, percent, key, text)
+    names = comps.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = comps.join(names, "comp").select("node", "component_id")
+    out = seen.select("id", "n", "node").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns: of each component of near_duplicates() one row, that of the smallest key.
+
+    Rows without words all stay. Of equal rows of the smallest key one stays.
+    """
+    seen, comps = _classes(docs, k, percent, key, text)
+    # null keys count as larger than any other
+    best = comps.groupBy("comp").agg(F.min("one").alias("one")).select(F.xxhash64("one.id").alias("_i"), F.col("one.th").alias("_t"))
+    wordless = seen.where("node is null").select(F.xxhash64("id").alias("_i"), F.col("th").alias("_t")).distinct()
+    marked = docs.select("*", F.xxhash64(key).alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    kept = marked.join(best, ["_i", "_t"], "left_semi").dropDuplicates(["_i", "_t"])
+    return kept.unionByName(marked.join(wordless, ["_i", "_t"], "left_semi")).select(*docs.columns)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """id, th, n, node for each row, and node, one, id, comp for each node."""
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
 
@@ -109,12 +133,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     nodes = keep(seen.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), first))
     links = _links(nodes, rows, k, percent)
     comps = components(links)
-    found = nodes.select("node", F.when(~F.col("one.none"), F.col("one.id")).alias("id")).join(comps, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
-    names = found.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = found.join(names, "comp").select("node", "component_id")
-    out = seen.select("id", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    found = nodes.select("node", "one", F.when(~F.col("one.none"), F.col("one.id")).alias("id")).join(comps, "node", "left").select("node", "one", "id", F.coalesce("comp", "node").alias("comp"))
+    return seen, keep(found)
 
 
 def _links(nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
