@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, quality, sharding
+from . import chat, decontam, mixing, neardup, quality, sharding, warc
 from .common import table
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from each speaker's perspective."""
+    return chat.op3(table(spark, sf_dir, "conversations"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     return sharding.op4(table(spark, sf_dir, "documents"))
@@ -20,6 +25,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, archived and read back."""
+    return warc.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of their near copies."""
     return neardup.op7(table(spark, sf_dir, "documents"))
@@ -36,10 +46,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": op3_chat,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_neardup": op7_neardup,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op6_warc": warc.ORACLE}
