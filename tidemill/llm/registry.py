@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, neardup, quality, sharding, warc
+from . import chat, decontam, mixing, neardup, quality, sharding, tokens, warc
 from .common import table
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their token counts."""
+    return tokens.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations from each speaker's perspective."""
     return chat.op3(table(spark, sf_dir, "conversations"))
@@ -46,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tokens": op2_tokens,
     "op3_chat": op3_chat,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
