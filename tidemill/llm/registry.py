@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, neardup, quality, sharding, tokens, warc
+from . import chat, decontam, mixing, neardup, quality, sharding, substrings, tokens, warc
 from .common import table
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their long repeated strings."""
+    return substrings.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their token counts."""
     return tokens.op2(table(spark, sf_dir, "documents"))
@@ -51,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op2_tokens": op2_tokens,
     "op3_chat": op3_chat,
     "op4_sharding": op4_sharding,
