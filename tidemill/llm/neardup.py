@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -82,10 +82,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     A set holds the distinct k-word shingles of the whole text in lower case, or the whole sequence where it has
     fewer words. Rows with equal sets are one node of the graph. Nodes that share a band of sketch registers are
     candidates, but the pairs of a band are not written out: every node of a band is compared with the band's
-    leader, links are merged into components, and only bands that still hold several components go on, with more
-    leaders, and in the end with what pairs of different components are left. So a band of thousands of near copies
-    costs about one comparison each, and no link between components is passed over. Candidates whose joint
-    estimate comes near the threshold are confirmed on full sets.
+    leader, and links are merged into components. Only bands that hold several components go on: nodes whose sets
+    have too many elements of their own to be linked with anything are left out, and the rest are compared with the
+    most typical node of the band. Then pairs of different components that share one of their rarest elements are
+    compared, which all links that are left must do. So a band of thousands of near copies costs about one
+    comparison each, and no link between components is passed over. Candidates whose joint estimate comes near the
+    threshold are confirmed on full sets.
 
     component_id is the smallest key of the component, and kept says key = component_id. Empty and null texts are
     linked with nothing. A null key counts as larger than any other; of rows that share the smallest key all are
@@ -148,43 +150,61 @@ def _links(nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
     sets = _full_sets(nodes.join(in_use, "node").select("node", "one"), rows, k)
     slim = nodes.select("node", "n", "regs")
 
-    def spread(by: DataFrame, leaders: int, turn: int) -> DataFrame:
-        """Pairs of each node with the leaders of its bands."""
-        lead = F.min(F.struct("node", "n", "comp")).alias("lead")
-        chosen = by.groupBy("band", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("part")).agg(lead)
+    def spread(by: DataFrame) -> DataFrame:
+        """Pairs of each node with the leaders of its bands: the node with the least share of elements of its own."""
+        lead = F.min(F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("own"), "node", "n", "common", "comp")).alias("lead")
+        chosen = by.groupBy("band").agg(lead)
         met = by.join(chosen.select("band", "lead"), "band").where("node != lead.node and comp != lead.comp")
-        return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.least("n", "lead.n").alias("lo"), F.greatest("n", "lead.n").alias("hi"))
-
-    def rest(by: DataFrame) -> DataFrame:
-        """All pairs of different components that are left in a band."""
-        x = by.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = by.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        return x.join(y, "band").where("a < b and ca != cb").select("a", "b", F.least("na", "nb").alias("lo"), F.greatest("na", "nb").alias("hi"))
-
-    tested = links = None
-    by = banded.withColumn("comp", F.col("node"))
-    for turn, leaders in enumerate((1, 8, 64, 0)):
-        pairs = (spread(by, leaders, turn) if leaders else rest(by)).where(F.col("lo") * 100 >= F.col("hi") * percent).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = keep(_confirmed(pairs, slim, sets, percent))
-        links = found if links is None else links.union(found)
-        if not leaders:
-            break
-        comps = components(links)
-        by = banded.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        open_bands = by.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x != y")
-        by = keep(by.join(open_bands.select("band", "c"), "band"))
-        left = by.agg(F.count(F.lit(1)).alias("rows"), F.max("c").alias("most")).first()
-        by = by.drop("c")
-        if not left["rows"]:
-            break
-        if left["most"] <= 32:  # small bands: no more leaders are needed
-            pairs = rest(by).where(F.col("lo") * 100 >= F.col("hi") * percent).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            return links.union(keep(_confirmed(keep(pairs), slim, sets, percent)))
-    return links
+        return met.where(possible("n", "lead.n", "common", "lead.common")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+
+    def possible(na: str, nb: str, sa: str, sb: str) -> F.Column:
+        """Whether sets of such sizes, of which so many elements are not their own, can reach the threshold."""
+        most = F.least(na, nb, sa, sb)
+        return most * 100 >= (F.col(na) + F.col(nb) - most) * percent
+
+    def open_bands(by: DataFrame) -> DataFrame:
+        """The rows of bands with several components."""
+        several = by.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
+        return keep(by.join(several, "band"))
+
+    def tell(pairs: DataFrame) -> DataFrame:
+        return keep(_confirmed(keep(pairs), slim, sets, percent))
+
+    by = banded.select("band", "node", "n", F.col("n").alias("common"), F.col("node").alias("comp"))
+    first = keep(spread(by).distinct())
+    links = tell(first)
+    merged = components(links)
+    by = open_bands(by.drop("comp").join(merged, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp")))
+    rare = keep(_rarest(by.select("node", "n").distinct(), sets, percent))
+    by = open_bands(by.join(rare.select("node", "common").distinct(), "node").select("band", "node", "n", "common", "comp"))
+    if by.isEmpty():
+        return links
+    second = keep(spread(by).distinct().join(first, ["a", "b"], "left_anti"))
+    links = links.union(tell(second))
+    merged = components(links)
+    # what could still be linked shares one of its rarest elements with the other: all pairs of different components
+    # (at the first that they share, neither can have fewer behind it than a link needs)
+    left = rare.join(merged, "node", "left").select("e", "node", "n", "behind", F.coalesce("comp", "node").alias("comp"))
+    x, y = (left.select("e", *(F.col(c).alias(c + at) for c in ("node", "n", "behind", "comp"))) for at in "xy")
+    met = x.join(y, "e").where(F.expr("nodex < nodey and compx != compy") & possible("nx", "ny", "behindx", "behindy"))
+    third = met.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct().join(first.union(second), ["a", "b"], "left_anti")
+    return links.union(tell(third))
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, common, e, behind: elements e of a node's set, rarest first, one more than a linked set may lack.
+
+    Sets of which so many elements are common reach the threshold only if they share one of these, whatever the
+    order, as long as it is one for all sets. common is the number of elements that some other node has too, behind of
+    those that follow e in the order, e included. Nodes that have too many of their own to be linked with any other are left out.
+    """
+    held = keep(nodes.join(sets, "node").select("node", "n", F.explode("set").alias("e")))
+    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = held.join(often, "e")
+    ranked = shared.select("node", "n", "e", F.row_number().over(Window.partitionBy("node").orderBy("c", "e")).alias("at"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("common"))
+    # n - ceil(n * percent / 100) + 1 elements, the node's own among them, which come first and meet nothing
+    reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.col("common"))
+    return ranked.where((F.col("at") <= reach) & (F.col("common") * 100 >= F.col("n") * percent)).select("node", "n", "common", "e", (F.col("common") - F.col("at") + 1).alias("behind"))
 
 
 def _full_sets(reps: DataFrame, rows: DataFrame, k: int) -> DataFrame:
