@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, neardup, quality, sharding, substrings, tokens, warc
+from . import chat, decontam, lm, mixing, neardup, quality, sharding, substrings, tokens, warc
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored."""
+    return lm.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_neardup": op7_neardup,
+    "op8_lm": op8_lm,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
 }
