@@ -19,7 +19,7 @@ SEED_WORDS = 3
 #: Chance that a window at the greatest distance meets its item in some table; the number of tables follows from it.
 RECALL = 0.999
 #: Symbols sampled for one key, keys taken from one walk, and the most walks.
-SAMPLED, PER_WALK, MOST_WALKS = 2, 8, 24
+SAMPLED, PER_WALK, MOST_WALKS = 2, 24, 24
 #: The items are taken in blocks of at most so many bytes of text, so that what a task holds is bounded.
 BLOCK_BYTES = 16 << 20
 #: A-Z in lower case, and ASCII marks as white space.
@@ -30,17 +30,30 @@ FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 def allowed(n: int) -> int:
     """Edits that an item of n words may have; none if the seeds could then miss it."""
     k = n * EDITS // 100
-    return k if n - SEED_WORDS + 1 - k * SEED_WORDS >= 1 else 0
+    return k if seeds_needed(n, k) >= 1 else 0
+
+
+def seeds_needed(n: int, k: int) -> int:
+    """Seeds that a window of n words within k edits of an item shares with it at least."""
+    return n - SEED_WORDS + 1 - k * SEED_WORDS
+
+
+def reach(n: int) -> int:
+    """Steps in which a walk over n words still has words: it goes on in half of them."""
+    return max(1, 3 * n * 5 // 9)
 
 
 def walks(words: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding: 3n outputs for each row of n words; a fixed random bit of step and word says whether to go on."""
+    """CGK embedding: the first outputs of 3n for each row of n words; a fixed random bit of step and word says whether to go on.
+
+    Outputs past reach() are mostly padding, in which everything agrees: they are neither sampled nor made.
+    """
     rows, n = words.shape
     padded = np.concatenate([words, np.zeros((rows, 1), np.uint64)], axis=1)
     bits = mix64(np.arange(3 * n, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 17)) | np.uint64(1)
     at, every = np.zeros(rows, np.int64), np.arange(rows)
-    out = np.empty((rows, 3 * n), np.uint64)
-    for j in range(3 * n):
+    out = np.empty((rows, reach(n)), np.uint64)
+    for j in range(reach(n)):
         out[:, j] = now = padded[every, at]
         at = np.minimum(at + ((now * bits[j]) >> np.uint64(63)).astype(np.int64), n)
     return out
@@ -52,8 +65,7 @@ def keys(words: np.ndarray, n_walks: int) -> np.ndarray:
     out = []
     for w in range(n_walks):
         walk = walks(words, w)
-        # late outputs are mostly padding, in which everything agrees: sample where the walk still has words
-        picks = np.random.default_rng((w, steps)).integers(0, max(1, steps * 5 // 9), (PER_WALK, SAMPLED))
+        picks = np.random.default_rng((w, steps)).integers(0, reach(words.shape[1]), (PER_WALK, SAMPLED))
         for t, pick in enumerate(picks):
             h = np.full(len(words), w * PER_WALK + t + 1, np.uint64)
             for p in pick:
@@ -95,7 +107,7 @@ def _walks_needed(items: np.ndarray, k: int) -> int:
                 x[at] = new
         edited.append((x + [np.uint64(1)] * len(row))[: len(row)])
     edited = np.array(edited, np.uint64)
-    for n in (2, 4, 8, 16):
+    for n in (1, 2, 3, 4, 6, 8, 12, 16):
         if (keys(base, n) == keys(edited, n)).any(axis=1).mean() >= RECALL:
             return n
     return MOST_WALKS
@@ -118,7 +130,12 @@ class Items:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.grams >> np.uint64(42)] = True
         self.sizes = []
-        for n, rows in sorted(by_size.items()):
+        # which seeds the items of each size have
+        self.of_size = np.zeros((len(by_size), len(self.grams)), bool)
+        for j, (n, rows) in enumerate(sorted(by_size.items())):
+            for _, own in rows:
+                seeds, _ = shingles(own, np.zeros(len(own), np.int64), 1, SEED_WORDS)
+                self.of_size[j, np.searchsorted(self.grams, seeds)] = True
             at, words, k = np.array([r for r, _ in rows]), np.array([w for _, w in rows]), allowed(n)
             n_walks = _walks_needed(words, k)
             table = keys(words, n_walks)
@@ -128,21 +145,30 @@ class Items:
     def search(self, s: Slice) -> tuple[np.ndarray, ...]:
         """row, item, edits, first word, item words: for each text and item that match, the nearest window."""
         words, row, h, at = _words(s)
-        hit = np.zeros(len(words) + 1, bool)
+        seed = np.full(len(words), -1)
         if len(h) and len(self.grams):
             near = np.flatnonzero(self.maybe[h >> np.uint64(42)])
-            near = near[self.grams[np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)] == h[near]]
-            hit[at[near]] = True
-        run = np.concatenate([[0], np.cumsum(hit)])
+            gram = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
+            same = self.grams[gram] == h[near]
+            seed[at[near[same]]] = gram[same]
+        # only rows with as many seeds as the least demanding size needs are looked at again
+        least = min((seeds_needed(size[0], size[1]) for size in self.sizes), default=1)
+        likely = np.bincount(row[seed >= 0], minlength=s.n) >= least
+        inside = likely[row]
+        words, row, seed = words[inside], row[inside], seed[inside]
         found = []
-        seen = np.flatnonzero(hit)
-        for n, k, n_walks, ids, items, table, order in self.sizes if len(seen) else ():
-            need = n - SEED_WORDS + 1 - k * SEED_WORDS
-            # a window that counts begins at most n words before a seed
-            reach = np.zeros(len(words) + 1, np.int64)
-            np.add.at(reach, np.maximum(seen - n + 1, 0), 1)
-            np.add.at(reach, seen + 1, -1)
-            p = np.flatnonzero(np.cumsum(reach)[: max(0, len(words) - n + 1)] > 0)
+        places = np.flatnonzero(seed >= 0)
+        for j, (n, k, n_walks, ids, items, table, order) in enumerate(self.sizes if len(places) else ()):
+            seen = places[self.of_size[j, seed[places]]]
+            if not len(seen):
+                continue
+            hit = np.zeros(len(words) + 1, np.int64)
+            hit[seen + 1] = 1
+            run = np.cumsum(hit)
+            need = seeds_needed(n, k)
+            # a window that counts begins less than n words before a seed
+            p = np.unique(np.maximum(seen[:, None] - np.arange(n), 0))
+            p = p[p <= len(words) - n]
             p = p[(row[p] == row[p + n - 1]) & (run[p + n - SEED_WORDS + 1] - run[p] >= need)]
             for lo in range(0, len(p), 20_000):
                 found.append(self._match(p[lo : lo + 20_000], n, k, n_walks, ids, items, table, order, words))
