@@ -2,5 +2,254 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import coerce as C
+from ..functions import text as X
+from ..operators import coverage, digest, funnel, kpi, merge, nlq
+from ..streaming import flows
+from . import bindings as B
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query (spark, sf_dir) and, if given, its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _metric(s, d):
+    own = funnel.stage_rollup(B.recipient(s, d), B.support(s))
+    return own.unionByName(funnel.community_metrics(B.table(s, d, "orders"), B.table(s, d, "lineitem")))
+
+
+def _resolved(s, d):
+    return funnel.unambiguous(B.identity(s, d))
+
+
+def _funnel(s, d):
+    return funnel.funnel_by_channel(_metric(s, d), B.support(s), B.channels(s))
+
+
+FUN = f"""{B.MET}, {B.TOT}, fch as (select channel, stage, sum(value)::bigint as value, bool_or(support_status = 'measured') as m, bool_or(support_status = 'not_measured') as u, min(unit) as unit from tot group by all),
+fun as (select channel, sort_order, stage, ordinal, value, case when m then 'measured' when u then 'not_measured' else 'not_applicable' end as status, unit from fch join sup using (channel, stage) left join chn using (channel))"""
+KPI = FUN + ", kd(kpi, num_stage, den_stage) as (values " + ", ".join(str(k) for k in kpi.KPIS) + """),
+kk as (select a.channel, kpi, a.value as num, b.value as den, a.status as sa, b.status as sb, a.unit as ua, b.unit as ub from kd join fun a on a.stage = num_stage join fun b on b.stage = den_stage and a.channel = b.channel),
+kp as (select channel, kpi, num, den, case when 'not_applicable' in (sa, sb) then 'not_applicable' when 'not_measured' in (sa, sb) then 'not_measured' when ua <> ub then 'not_applicable' when num is null or den is null or den <= 0 then 'no_data' when den < 5 then 'suppressed' else 'ok' end as status from kk),
+kpis as (select channel, kpi, num, den, round(case when status = 'ok' then num / den end, 6) as value, status from kp)"""
+XCH = KPI + """, xch as (select kpi, sum(num) filter (ok)::bigint as num, sum(den) filter (ok)::bigint as den, coalesce(string_agg(channel, ', ' order by channel) filter (ok), '') as basis, coalesce(string_agg(channel, ', ' order by channel) filter (not ok), '') as excluded
+ from (select *, status in ('ok', 'suppressed', 'no_data') and num is not null and den is not null as ok from kpis) group by 1),
+xchr as (select kpi, num, den, round(case when den > 0 then num / den end, 6) as value, basis, excluded from xch)"""
+WHO = f"{B.REC}, {B.EMP}, {B.IDN}, per1 as (select employee_key, bool_or(targeted) as targeted, bool_or(delivered) as delivered, bool_or(opened) as opened, bool_or(engaged) as engaged, bool_or(completed) as completed from rec join res on recipient_key = id_key group by 1)"
+SEG = WHO + """, hd as (select department as segment, count(*) as headcount from emp where is_active group by 1),
+ac as (select department as segment, count(*) filter (targeted) as targeted, count(*) filter (opened) as opened, count(*) filter (engaged) as engaged, count(*) filter (completed) as completed from per1 join emp using (employee_key) group by 1),
+seg as (select segment, headcount, coalesce(targeted, 0) as targeted, coalesce(opened, 0) as opened, coalesce(engaged, 0) as engaged, coalesce(completed, 0) as completed,
+ round(coalesce(opened, 0) / headcount, 6) as coverage_rate, greatest(headcount - coalesce(opened, 0), 0) as never_reached from hd left join ac using (segment))"""
+
+
+query("funnel_by_channel", f"with {FUN} select * from fun")(_funnel)
+query("stage_totals_policy", f"with {B.MET}, {B.TOT} select * from tot")(lambda s, d: funnel.stage_totals(_metric(s, d)))
+query("channel_stage_wide", f"""with {B.MET}, {B.TOT} select campaign_id, channel, {', '.join(f"max(value) filter (support_status = 'measured' and unit = 'persons' and stage = '{x}') as {x}" for x in B.STAGES)},
+ max(value) filter (support_status = 'measured' and unit = 'events' and stage = 'engaged') as engaged_events from tot group by 1, 2""")(lambda s, d: funnel.channel_wide(funnel.stage_totals(_metric(s, d))))
+query("channel_extras", f"""with {B.REC} select channel, count(*) as recipients, count(*) filter (opened is true) as opened, count(*) filter (opened is not true) as not_opened, round(avg(score), 6) as avg_score,
+ round(avg(case when attempts > 0 then score / attempts end), 6) as avg_score_per_attempt, median(date_diff('hour', targeted_at, opened_at)) filter (opened is true) as median_hours from rec group by 1""")(lambda s, d: funnel.channel_extras(B.recipient(s, d)))
+query("identity_unambiguous", f"with {B.IDN} select * from res")(_resolved)
+query("employee_reach", f"""with {WHO} select employee_key, department, region, count(distinct channel) as channels, count(distinct case when opened then channel end) as channels_opened, max(targeted_at) as last_at, bool_or(engaged) as engaged
+ from rec join res on recipient_key = id_key left join emp using (employee_key) group by all""")(lambda s, d: funnel.employee_reach(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+RSL = f"{B.REC}, {B.IDN}, rsl as (select channel, count(*) as recipients, count(employee_key) as resolved, round(count(employee_key) / count(*), 6) as rate from rec left join res on recipient_key = id_key group by 1)"
+query("identity_resolution", f"with {RSL} select * from rsl")(lambda s, d: funnel.identity_resolution(B.recipient(s, d), _resolved(s, d)))
+query("dedupe_availability", f"with {RSL} select count(*) filter (resolved / greatest(recipients, 1) >= 0.5) as channels_ok, count(*) filter (resolved / greatest(recipients, 1) >= 0.5) >= 2 as available from rsl")(lambda s, d: funnel.dedupe_availability(funnel.identity_resolution(B.recipient(s, d), _resolved(s, d))))
+query("combined_funnel_sum", f"""with {FUN}, f as (select *, status = 'measured' and unit = 'persons' and value is not null as ok from fun) select stage, ordinal, sum(value) filter (ok)::bigint as value,
+ coalesce(string_agg(channel, ', ' order by channel) filter (ok), '') as contributing, coalesce(string_agg(channel, ', ' order by channel) filter (not ok), '') as excluded from f group by 1, 2""")(lambda s, d: funnel.combined_sum(_funnel(s, d)))
+query("combined_funnel_dedup", f"with {WHO} " + " union all ".join(f"select '{x}' as stage, count(*) filter ({x}) as persons from per1" for x in B.STAGES))(lambda s, d: funnel.combined_dedup(B.recipient(s, d), _resolved(s, d)))
+query("trend_monthly", f"with {B.MET} select channel, period, sum(value)::bigint as engaged from met where stage = 'engaged' and unit = 'persons' and support_status = 'measured' group by 1, 2")(lambda s, d: funnel.trend(_metric(s, d)))
+query("trend_weekly", f"with {B.MET.replace(chr(39) + 'month' + chr(39) + ', coalesce', chr(39) + 'week' + chr(39) + ', coalesce')} select channel, period, sum(value)::bigint as engaged from rol where stage = 'engaged' and support_status = 'measured' group by 1, 2")(
+    lambda s, d: funnel.trend(funnel.stage_rollup(B.recipient(s, d), B.support(s), "week"))
+)
+query("campaign_table", f"""with {B.MET}, {B.TOT} select campaign_id, {', '.join(f"sum(value) filter (support_status = 'measured' and unit = 'persons' and stage = '{x}')::bigint as {x}" for x in ('targeted', 'opened', 'engaged', 'completed'))}, count(distinct channel) as channels from tot group by 1""")(lambda s, d: funnel.campaign_table(_metric(s, d)))
+query("max_stage", f"with {B.REC} select campaign_id, channel, recipient_key, case when completed then 5 when engaged then 4 when opened then 3 when delivered then 2 when targeted then 1 else 0 end as max_stage from rec")(lambda s, d: funnel.max_stage(B.recipient(s, d)))
+query("stage_availability", f"""with {B.REC}, {B.SUP}, a as (select channel, {', '.join(f'bool_or({x} is not null) as {x}' for x in B.STAGES)} from rec group by 1), u as (unpivot a on {', '.join(B.STAGES)} into name stage value any_)
+ select channel, stage, case when support_status <> 'measured' then support_status when any_ then 'measured' else 'not_measured' end as status from u join sup using (channel, stage)""")(lambda s, d: funnel.stage_availability(B.recipient(s, d), B.support(s)))
+query("complete_grid", f"with {B.MET} select c.campaign_id, sup.channel, sup.stage, count(met.stage) as rows from (select distinct campaign_id from met) c cross join sup left join met on met.campaign_id = c.campaign_id and met.channel = sup.channel and met.stage = sup.stage group by all")(lambda s, d: funnel.complete_grid(_metric(s, d), B.support(s)))
+LED = "led as (select case o_orderstatus when 'F' then 'loaded' when 'O' then 'rejected' else 'duplicate' end as status, o_orderdate as stamp, o_orderkey as batch_id from orders)"
+
+
+def _ledger(s, d):
+    status = F.when(F.col("o_orderstatus") == "F", "loaded").when(F.col("o_orderstatus") == "O", "rejected").otherwise("duplicate")
+    return B.table(s, d, "orders").select(status.alias("status"), F.col("o_orderdate").alias("stamp"), F.col("o_orderkey").alias("batch_id"))
+
+
+query("load_quality", f"with {LED} select count(*) as batches, count(*) filter (status = 'loaded') as loaded, count(*) filter (status = 'rejected') as rejected, count(*) filter (status = 'duplicate') as duplicates, max(stamp) filter (status = 'loaded') as last_loaded from led")(lambda s, d: funnel.load_quality(_ledger(s, d)))
+query("load_history", f"with {LED} select batch_id, status from led order by batch_id desc limit 200")(lambda s, d: _ledger(s, d).select("batch_id", "status").orderBy(F.desc("batch_id")).limit(200))
+query("channel_kpis", f"with {KPI} select * from kpis")(lambda s, d: kpi.channel_kpis(_funnel(s, d)))
+query("cross_channel_kpis", f"with {XCH} select * from xchr")(lambda s, d: kpi.cross_channel(_funnel(s, d)))
+COV = f"cov as (select (select count(distinct employee_key) from rec join res on recipient_key = id_key where opened) as reached, (select count(*) from emp where is_active) as headcount)"
+query("workforce_coverage", f"with {WHO}, {COV} select reached, headcount, round(reached / headcount, 6) as coverage from cov")(lambda s, d: kpi.workforce_coverage(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+query("headline_kpis", f"with {XCH}, {B.EMP}, {B.IDN}, {COV} select kpi, num, den, value from xchr where kpi in ('delivery_rate', 'open_rate', 'engagement_rate', 'completion_rate') union all select 'workforce_coverage', reached, headcount, round(reached / headcount, 6) from cov")(
+    lambda s, d: kpi.headline(_funnel(s, d), kpi.workforce_coverage(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+)
+query("effectiveness_index", f"""with {KPI}, w(kpi, w) as (values {', '.join(map(str, kpi.WEIGHTS))}), h as (select channel, round_even(sum(w * value) / sum(w) * 100, 1) as effectiveness, count(*) as components from kpis join w using (kpi) where status = 'ok' group by 1)
+ select channel, effectiveness::double as effectiveness, coalesce(components, 0) as components from (select distinct channel from kpis) left join h using (channel)""")(lambda s, d: kpi.effectiveness(kpi.channel_kpis(_funnel(s, d))))
+TARGETS = [("open_rate", None, 0.6), ("open_rate", "email", 0.9), ("engagement_rate", None, 0.5), ("completion_rate", None, 0.4)]
+query("rag_status", f"""with {KPI}, t(kpi, channel, target) as (values {', '.join(f"('{k}', {'null' if c is None else repr(c)}, {v})" for k, c, v in TARGETS)}),
+ j as (select k.channel, k.kpi, k.value, k.status, coalesce(o.target, g.target)::double as target from kpis k left join t o on o.kpi = k.kpi and o.channel = k.channel left join t g on g.kpi = k.kpi and g.channel is null)
+ select channel, kpi, value, target, case when value is null or target is null then 'grey' when value >= target then 'green' when value >= target * 0.8 then 'amber' else 'red' end as rag,
+ case status when 'ok' then format('{{:.1f}}%', round_even(value * 100, 1)) when 'not_applicable' then 'n/a' when 'not_measured' then 'not measured' when 'suppressed' then 'suppressed' else '—' end as shown from j""")(
+    lambda s, d: kpi.rag(kpi.channel_kpis(_funnel(s, d)), s.createDataFrame(TARGETS, "kpi string, channel string, target double"))
+)
+query("coverage_by_segment", f"with {SEG} select * from seg")(lambda s, d: coverage.by_segment(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+#: A limit under which exactly one bound segment falls, so that a second must be hidden.
+query("coverage_suppressed", f"""with {SEG}, k as (select *, headcount = (select min(headcount) from seg) as small from seg), s as (select *, sum(small::int) over () as n, row_number() over (order by small, headcount, segment desc) as r from k), h as (select *, small or (n = 1 and r = 1) as hide from s)
+ select segment, {', '.join(f'case when not hide then {c} end as {c}' for c in ('headcount', 'targeted', 'opened', 'engaged', 'completed', 'coverage_rate', 'never_reached'))}, hide as suppressed from h""")(
+    lambda s, d: (lambda c: coverage.suppressed(c, c.agg(F.min("headcount")).first()[0] + 1))(coverage.by_segment(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+)
+MIX = WHO + """, mix0 as (select department as segment, channel, employee_key, bool_or(opened) as o from rec join res on recipient_key = id_key join emp using (employee_key) group by all),
+mix1 as (select segment, channel, count(*) as targeted, count(*) filter (o) as n from mix0 group by 1, 2), mix as (select segment, channel, targeted, case when targeted >= 5 then n end as reached, round(case when targeted >= 5 then n / targeted end, 6) as reach_rate from mix1)"""
+query("channel_mix", f"with {MIX} select * from mix")(lambda s, d: coverage.channel_mix(B.recipient(s, d), _resolved(s, d), B.employee(s, d)))
+query("channel_mix_matrix", f"with {MIX} select segment, " + ", ".join(f"max(reach_rate) filter (channel = '{c}') as {c}" for c, _ in B.CHANNELS[:4]) + " from mix group by 1")(lambda s, d: coverage.mix_matrix(coverage.channel_mix(B.recipient(s, d), _resolved(s, d), B.employee(s, d)), [c for c, _ in B.CHANNELS[:4]]))
+query("multi_channel_exposure", f"with {WHO}, n as (select employee_key, count(distinct case when opened then channel end) as channels from rec join res on recipient_key = id_key group by 1), c as (select channels, count(*) as n from n group by 1) select channels, case when n >= 5 then n end as employees from c")(lambda s, d: coverage.exposure(B.recipient(s, d), _resolved(s, d)))
+
+# merges
+_HALF = "(select *, 1 as batch_id from rec where recipient_key % 3 <> 0 union all by name select * replace (case when recipient_key % 2 = 0 then null else opened end as opened, false as engaged, score / 2 as score), 2 as batch_id from rec where recipient_key % 3 <> 1)"
+
+
+def _halves(s, d):
+    r = B.recipient(s, d)
+    old = r.where("recipient_key % 3 != 0").withColumn("batch_id", F.lit(1))
+    new = r.where("recipient_key % 3 != 1").withColumns({"opened": F.when(F.col("recipient_key") % 2 != 0, F.col("opened")), "engaged": F.lit(False), "score": F.col("score") / 2, "batch_id": F.lit(2)})
+    return old, new
+
+
+query("monotonic_merge", f"""with {B.REC} select campaign_id, channel, recipient_key, {', '.join(f'bool_or({x}) as {x}' for x in B.STAGES)}, {', '.join(f'min({x}) as {x}' for x in merge.STAMPS)}, max(score) as score, arg_max(attempts, batch_id) filter (attempts is not null) as attempts, max(batch_id) as batch_id from {_HALF} group by 1, 2, 3""")(
+    lambda s, d: merge.monotonic(*_halves(s, d), ["campaign_id", "channel", "recipient_key"], ["score"], ["attempts"])
+)
+query("in_batch_collapse", """select user_id, bool_or(event_type = 'click') as clicked, min(ts) as first_at, max(value) as best, arg_max(nullif(event_type, 'error'), event_id) filter (event_type <> 'error') as last_kind from events group by 1""")(
+    lambda s, d: merge.collapse(B.table(s, d, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("clicked"), F.col("ts").alias("first_at"), F.col("value").alias("best"), F.nullif("event_type", F.lit("error")).alias("last_kind")), ["user_id"], ["clicked"], ["first_at"], ["best"], ["last_kind"], "event_id")
+)
+
+
+def _delta(s, d):
+    c = B.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    one = c.where("c_custkey % 5 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), "c_mktsegment", F.lit(1).alias("i"))
+    two = c.where("c_custkey % 10 = 0").select((F.col("c_custkey")).alias("c_custkey"), F.lit("renamed").alias("c_name"), "c_mktsegment", F.lit(2).alias("i"))
+    three = c.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 10_000_000).alias("c_custkey"), F.lit("new").alias("c_name"), "c_mktsegment", F.lit(3).alias("i"))
+    return c, one.union(two).union(three)
+
+
+query("scd1_upsert", "select c_custkey, case when c_custkey % 10 = 0 then 'renamed' when c_custkey % 5 = 0 then upper(c_name) else c_name end as c_name, c_mktsegment from customer union all select c_custkey + 10000000, 'new', c_mktsegment from customer where c_custkey % 50 = 0")(lambda s, d: merge.upsert(*_delta(s, d), ["c_custkey"], "i"))
+query("insert_ignore", "select c_custkey, c_name, c_mktsegment from customer union all select c_custkey + 10000000, 'new', c_mktsegment from customer where c_custkey % 50 = 0")(lambda s, d: (lambda c, n: merge.insert_ignore(c, n.drop("i").where("c_custkey > 10000000 or c_custkey % 5 = 0"), ["c_custkey"]))(*_delta(s, d)))
+query("replace_slice", "select o_orderstatus, o_orderpriority, case when o_orderstatus = 'F' then 0 else count(*) end as n from orders group by 1, 2")(
+    lambda s, d: (lambda a: merge.replace_slice(a, a.where("o_orderstatus = 'F'").withColumn("n", F.lit(0).cast("long")), ["o_orderstatus"]))(B.table(s, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
+)
+query("filtered_funnel", f"with {FUN}, x as (select channel, stage, sum(value)::bigint as value from met where channel in ('email', 'lms') and period >= date '2024-01-01' group by 1, 2) select * from x")(
+    lambda s, d: _metric(s, d).where(merge.filters({"channel": ["email", "lms"], "campaign_id": []}, {"period": ("2024-01-01", None)})).groupBy("channel", "stage").agg(F.sum("value").alias("value"))
+)
+
+# coercions over a messy column
+_WORDS = ["Yes", "TRUE", " ✓ ", "", "85%", "0.85", "01:05:00", "45 min", "PT1H5M", "1.5 hours", "03/04/2026", "2026-01-14", "ages", "no", "1%", "45000", "1", "1,200", "90"]
+_M = "m as (select l_orderkey, l_linenumber, [" + ", ".join(f"'{w}'" for w in _WORDS) + f"][((l_orderkey + l_linenumber) % {len(_WORDS)} + 1)::int] as x from lineitem)"
+
+
+def _messy(s, d):
+    x = F.element_at(F.array(*map(F.lit, _WORDS)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_WORDS) + 1).cast("int"))
+    return B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+
+
+_NUM = r"try_cast(regexp_replace(x, '[^\d.\-]', '', 'g') as double)"
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+query("coerce_bool", f"with {_M} select l_orderkey, l_linenumber, x, case when lower(trim(x)) in ({_in(C.TRUES)}) then true when lower(trim(x)) in ({_in(C.FALSES)}) then false end as v from m")(lambda s, d: _messy(s, d).withColumn("v", C.to_bool(F.col("x"))))
+query("coerce_number", f"with {_M} select l_orderkey, l_linenumber, x, {_NUM} as v, case when trim(x) <> '' then {_NUM} > 0 end as positive from m")(lambda s, d: _messy(s, d).withColumns({"v": C.to_number(F.col("x")), "positive": C.to_bool_from_count(F.col("x"))}))
+query("coerce_percent", f"with {_M}, n as (select *, {_NUM} as n from m) select l_orderkey, l_linenumber, x, round(case when ends_with(trim(x), '%') or n > 1 then n / 100 else n end, 8) as v from n")(lambda s, d: _messy(s, d).withColumn("v", F.round(C.to_percent(F.col("x")), 8)))
+query("coerce_duration", f"""with {_M}, t as (select *, lower(trim(x)) as t from m) select l_orderkey, l_linenumber, x, round(coalesce(try_cast(t as double),
+ case when regexp_matches(t, '^\\d+:\\d{{1,2}}(:\\d{{1,2}})?$') then split_part(t, ':', 1)::double * 60 + split_part(t, ':', 2)::double + coalesce(try_cast(split_part(t, ':', 3) as double), 0) / 60 end,
+ case when regexp_matches(t, '^pt?(\\d+(\\.\\d+)?h)?(\\d+(\\.\\d+)?m)?(\\d+(\\.\\d+)?s)?$') and regexp_matches(t, '\\d') then coalesce(try_cast(regexp_extract(t, '([\\d.]+)h', 1) as double), 0) * 60 + coalesce(try_cast(regexp_extract(t, '([\\d.]+)m', 1) as double), 0) + coalesce(try_cast(regexp_extract(t, '([\\d.]+)s', 1) as double), 0) / 60 end,
+ case when regexp_matches(t, '\\d\\s*[hms]') then coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*h', 1) as double), 0) * 60 + coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*m', 1) as double), 0) + coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*s', 1) as double), 0) / 60 end), 6) as v from t""")(
+    lambda s, d: _messy(s, d).withColumn("v", F.round(C.to_minutes(F.col("x")), 6))
+)
+query("coerce_date", f"with {_M}, t as (select *, trim(x) as t from m) select l_orderkey, l_linenumber, x, coalesce(case when try_cast(t as double) between 32000 and 55000 then date '1899-12-30' + try_cast(t as double)::int end, try_strptime(t, '%Y-%m-%d')::date, try_strptime(t, '%d/%m/%Y')::date)::date as v from t")(lambda s, d: _messy(s, d).withColumn("v", C.to_date(F.col("x"))))
+query("slug", "select c_custkey, trim(regexp_replace(lower(trim(c_name || ' / ' || c_mktsegment)), '[^a-z0-9]+', '-', 'g'), '-') as slug from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.slug(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("slug")))
+query("e164", "select c_custkey, '+91' || (7000000000 + c_custkey) as phone from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.e164(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("0"), (F.col("c_custkey") + 7000000000).cast("string"))).otherwise(F.concat(F.lit("+91 "), (F.col("c_custkey") + 7000000000).cast("string")))).alias("phone")))
+query("pseudonym")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.pseudonym(F.col("c_name"), b"salt").alias("alias")))
+query("alias_fold", "select c_custkey, case c_mktsegment when 'BUILDING' then 'Construction' when 'MACHINERY' then 'Industry' else c_mktsegment end as segment from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.to_text(F.col("c_mktsegment"), {"building": "Construction", "MACHINERY": "Industry"}).alias("segment")))
+query("dwell_histogram", "select least(20, greatest(1, floor(value / 10) + 1))::bigint as bin, count(*) as n from events where value > 0 group by 1")(lambda s, d: B.table(s, d, "events").where("value > 0").groupBy(F.least(F.lit(20).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("value") / 10) + 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+query("score_deciles", "select round_even(value, -1)::double as decile, count(*) as n from events group by 1")(lambda s, d: B.table(s, d, "events").groupBy(F.bround("value", -1).alias("decile")).agg(F.count(F.lit(1)).alias("n")))
+query("pass_mark_mode", "with c as (select event_type, round(value)::bigint as m, count(*) as n from events group by 1, 2) select event_type, min(m) as mode, round(any_value(md), 6) as median from (select c.*, max(n) over (partition by event_type) as top from c) join (select event_type, median(value) as md from events group by 1) using (event_type) where n = top group by 1")(
+    lambda s, d: (lambda e: e.groupBy("event_type", F.round("value").cast("long").alias("m")).agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(F.min_by("m", F.struct(-F.col("n"), "m")).alias("mode")).join(e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median")), "event_type"))(B.table(s, d, "events"))
+)
+
+# questions
+_sal = lambda f: lambda s, d: f(B.sales(s, d))
+query("leads_by_region", f"with {B.SAL} select region, sum(leads)::bigint as leads from sal group by 1")(_sal(nlq.leads_by_region))
+query("spend_vs_conversions", f"with {B.SAL} select channel, round(sum(spend)::double, 2) as spend, sum(conversions)::bigint as conversions from sal group by 1")(_sal(nlq.spend_vs_conversions))
+query("revenue_trend", f"with {B.SAL} select month, round(sum(revenue)::double, 2) as revenue from sal group by 1")(_sal(nlq.revenue_trend))
+query("roas_top5", f"with {B.SAL} select campaign_name, round(sum(revenue)::double / sum(spend)::double, 4) as roas from sal group by 1 order by 2 desc, 1 limit 5")(_sal(nlq.roas_top))
+query("revenue_share", f"with {B.SAL}, t as (select region, sum(revenue)::double as r from sal group by 1), w as (select *, sum(r) over () as t, count(*) over () as n from t) select region, round(r, 2) as revenue, round(r / t, 6) as share, round(r / ((t - r) / (n - 1)) - 1, 6) as vs_rest from w")(_sal(nlq.revenue_share))
+query("month_change", f"with {B.SAL}, t as (select month, sum(revenue)::double as r from sal group by 1), w as (select *, lag(r) over (order by month) as b from t) select month, round(r, 2) as revenue, round((r - b) / b, 6) as change from w")(_sal(nlq.month_change))
+query("peak_and_low", f"with {B.SAL}, t as (select month, sum(revenue)::double as r from sal group by 1) select arg_max(month, r) as peak_month, arg_min(month, r) as low_month, round(max(r), 2) as peak, round(min(r), 2) as low from t")(_sal(nlq.peak_and_low))
+query("campaign_comparability", f"with {B.SAL}, c as (select campaign_name, sum(leads) as a, count(distinct campaign_type) as o, count(distinct channel) as ch from sal group by 1) select max(a) >= 4 * min(a) as audience_differs, max(o) > 1 as several_objectives, max(ch) <> min(ch) as channels_differ from c")(_sal(nlq.comparability))
+query("chart_config", f"with {B.SAL}, t as (select region, sum(leads)::double as leads from sal group by 1) select 'leads by region' as title, 'bar' as type, string_agg(region, '|' order by region) as labels, string_agg(leads::varchar, '|' order by region) as data, '![chart](https://charts.invalid/?t=leads%20by%20region)' as markdown from t")(_sal(lambda x: nlq.chart(nlq.leads_by_region(x))))
+query("question_to_rows", f"with {B.SAL} select region, sum(leads)::bigint as leads from sal group by 1")(lambda s, d: nlq.answer(s, B.sales(s, d), "How many leads by region?"))
+
+# texts
+query("page_title", "select page_id, " + "trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as title from pages")(lambda s, d: B.table(s, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title")))
+query("strip_html", "select page_id, trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br[^>]*>|</p>|</li>|</div>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as body from pages")(lambda s, d: B.table(s, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("body")))
+query("canonical_url", r"""with p as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) as sch, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) as host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from pages),
+ k as (select *, list_filter(string_split(q, '&'), lambda a: a <> '' and split_part(a, '=', 1) not in (""" + _in(X.TRACKING) + r""")) as kept from p)
+ select page_id, case when sch = '' then url else lower(sch) || '://' || regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as url from k""")(lambda s, d: B.table(s, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url")))
+ART = r"art as (select doc_id, source as source_id, trim(left(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'), 160)) as title, text as summary, case when doc_id % 17 <> 0 then timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) end as published from documents)"
+_art = lambda s, d: digest.articles(B.table(s, d, "documents"))
+query("truncate_summary", r"""with s as (select doc_id, text, left(text, 161) as h from documents), a as (select *, 161 - instr(reverse(h), ' ') as cut from s)
+ select doc_id, case when length(text) > 160 then regexp_replace(case when instr(h, ' ') > 0 and cut > 96 then left(h, cut) else left(h, 160) end, '[ ,;:.\-]+$', '') || '…' else text end as summary from a""")(lambda s, d: B.table(s, d, "documents").select("doc_id", X.truncate(F.col("text")).alias("summary")))
+_TOK = "list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: (length(w) > 2 or regexp_matches(w, '[0-9]')) and w not in (" + _in(X.STOPWORDS) + "))"
+_STEM = "case " + " ".join(f"when ends_with(w, '{x}') and length(w) >= {len(x) + 4} then left(w, length(w) - {len(x)})" for x in X.SUFFIXES) + " else w end"
+query("title_tokens", f"with {ART} select doc_id, array_to_string({_TOK}, ' ') as tokens from art")(lambda s, d: _art(s, d).select("doc_id", F.array_join(X.tokens(F.col("title")), " ").alias("tokens")))
+STM = f"{ART}, tok as (select doc_id, unnest({_TOK}) as w from art), stm as (select distinct doc_id, {_STEM} as e from tok)"
+query("title_stems", f"with {STM} select art.doc_id, coalesce(x.s, '') as stems from art left join (select doc_id, string_agg(e, ' ' order by e) as s from stm group by 1) x using (doc_id)")(lambda s, d: _art(s, d).select("doc_id", F.array_join(X.stems(F.col("title")), " ").alias("stems")))
+NOW = "2024-01-01 14:00:00"
+query("window_filter", f"with {ART}, w as (select doc_id, coalesce(published, timestamp '{NOW}') as p from art) select doc_id, case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end as published from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 6 hour")(
+    lambda s, d: digest.within(_art(s, d), F.lit(NOW).cast("timestamp"), 6).select("doc_id", "published")
+)
+query("window_filter_dated", f"with {ART} select doc_id, published from art where published >= timestamp '{NOW}' - interval 6 hour")(lambda s, d: digest.within(_art(s, d), F.lit(NOW).cast("timestamp"), 6, undated=False, clamp=False).select("doc_id", "published"))
+_fold = lambda c: f"(' ' || regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g') || ' ')"
+SCO = (
+    f"{ART}, fo as (select *, {_fold('title')} as t, {_fold('summary')} as x from art), sc as (select *, "
+    + ", ".join(f"round(({' + '.join(f'''case when contains(t, ' {k} ') then {w * digest.TITLE_FACTOR} when contains(x, ' {k} ') then {w} else 0 end''' for k, w in words.items())})::double * {m}, 10) as {n}" for n, (_, m, words) in digest.SECTIONS.items())
+    + ", [" + ", ".join(f"case when contains(t, ' {k} ') or contains(x, ' {k} ') then '{k}' end" for k in digest.EXCLUDED) + "] as bad from fo), "
+    + "sb as (select *, greatest(alpha, beta, gamma) as best from sc), "
+    + "sco as (select doc_id, source_id, title, summary, published, round(best, 6) as score, case when best > 0 then case when alpha = best then 'alpha' when beta = best then 'beta' else 'gamma' end end as section_id, "
+    + "case when list_min(list_filter(bad, lambda k: k is not null)) is not null then 'excluded:' || list_min(list_filter(bad, lambda k: k is not null)) when best <= 0 then 'no section' end as reject_reason from sb)"
+)
+query("keyword_score", f"with {SCO} select doc_id, score, section_id, reject_reason from sco")(lambda s, d: digest.scored(_art(s, d)).select("doc_id", "score", "section_id", "reject_reason"))
+_ok = lambda s, d: digest.scored(_art(s, d)).where("reject_reason is null")
+query("ranking", f"with {SCO} select doc_id, row_number() over (order by score desc, published desc nulls last, doc_id)::int as place from sco where reject_reason is null")(lambda s, d: digest.ranked(_ok(s, d)).select("doc_id", "place"))
+query("ranked_caps")(lambda s, d: digest.capped(_ok(s, d)).select("doc_id", "place", "source_id", "section_id"))
+query("section_counts", f"with {SCO} select section_id, count(*) as n, round(max(score), 6) as top from sco where reject_reason is null group by 1")(lambda s, d: _ok(s, d).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top")))
+query("dedupe_exact_keys", "select 'u:' || left(sha1(text), 16) as text_key, count(*) as items, min(doc_id) as first_id from documents group by 1")(lambda s, d: digest.exact_groups(_art(s, d)))
+query("dedupe_near_pairs", f"""with {STM}, n as (select doc_id, count(*) as n from stm group by 1), i as (select a.doc_id as id_a, b.doc_id as id_b, count(*) as i from stm a join stm b on a.e = b.e and a.doc_id < b.doc_id group by 1, 2),
+ per as (select doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: regexp_matches(w, '^(q[1-4]|h[12]|fy\\d{{2,4}}|cy\\d{{2,4}}|20\\d{{2}})$'))) as p from art)
+ select id_a, id_b, round(i / (x.n + y.n - i), 6) as similarity from i join n x on x.doc_id = id_a join n y on y.doc_id = id_b join per pa on pa.doc_id = id_a join per pb on pb.doc_id = id_b
+ where i / (x.n + y.n - i) >= 0.62 and (len(pa.p) = 0 or len(pb.p) = 0 or list_has_any(pa.p, pb.p))""")(lambda s, d: digest.near_pairs(_art(s, d)))
+query("dedupe_greedy")(lambda s, d: digest.greedy(digest.scored(_art(s, d))))
+query("seen_filter", f"with {STM}, k as (select art.doc_id, sha1(summary) as u, coalesce(x.s, '') as t from art left join (select doc_id, string_agg(e, ' ' order by e) as s from stm group by 1) x using (doc_id)) select doc_id from k where doc_id % 3 <> 0 and u not in (select u from k where doc_id % 3 = 0) and t not in (select t from k where doc_id % 3 = 0)")(
+    lambda s, d: digest.unseen(_art(s, d).where("doc_id % 3 != 0"), digest.keys(_art(s, d).where("doc_id % 3 = 0"))).select("doc_id")
+)
+query("pipeline_counters", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from sco), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
+ select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted, count(distinct case when reject_reason is null then sha1(summary) end) as distinct_texts from i""")(lambda s, d: digest.counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26))
+
+
+@query("stream_equals_batch", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_equals_batch(s, d):
+    """The daily activity of events, read as a stream."""
+    like = B.table(s, d, "events")
+    stream = s.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return flows.drained(flows.activity(stream), f"activity_{uuid.uuid4().hex}")
