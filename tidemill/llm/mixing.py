@@ -76,7 +76,7 @@ def solve(strata: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: int = CAP, carry: list[str] | None = None) -> DataFrame:
-    """The columns carry of docs (all, if not given) with _size, _source_size, _target and _copies: how often the mix takes each row.
+    """_row (a struct of the columns carry of docs, or of all), and _size, _source_size, _target and _copies: how often the mix takes each row.
 
     Size is the number of words. The tilted rates of solve() are rounded into copies by systematic sampling: strata
     (source, size) lie in a line by size, and a stratum gets as many copies as whole numbers fall into its piece of
@@ -90,8 +90,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     h = F.xxhash64(F.col(key), F.col(text))
     carry = docs.columns if carry is None else carry
-    rows = docs.select(*docs.columns, n_words(F.col(text)).alias("_size"), h.alias("_h"), F.pmod(h, F.lit(PARTS)).cast("int").alias("_part"))
-    rows = rows.select(*carry, F.col(key).alias("_key"), F.col(source).alias("_source"), "_size", "_h", "_part")
+    rows = docs.select(F.struct(*carry).alias("_row"), F.col(key).alias("_key"), F.col(source).alias("_source"), n_words(F.col(text)).alias("_size"), h.alias("_h"), F.pmod(h, F.lit(PARTS)).cast("int").alias("_part"))
     if text not in carry:
         rows = keep(rows)  # then it is narrow, and the texts are read once
     parts = keep(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n")))
@@ -114,7 +113,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     room = F.when(F.col("off") > 0, F.least("n", F.lit(cap) * F.col("n") - F.col("k"))).otherwise(F.least("n", "k"))
     laid = laid.select("*", F.when(F.col("size") > 0, room).otherwise(F.lit(0)).alias("room"))
     left = F.abs("off") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(ahead), F.lit(0))
-    more = F.greatest(F.lit(0), F.least(F.col("room"), F.coalesce(F.floor(F.try_divide(left, F.col("size"))), F.lit(0))))
+    more = F.greatest(F.lit(0), F.least(F.col("room"), F.coalesce(F.floor(F.try_divide(left, F.col("size")) + 0.5), F.lit(0))))
     laid = laid.select("source", "size", "source_size", "target", (F.col("k") + F.signum("off") * more).cast("long").alias("k"), "n")
     inner = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     p = parts.select(F.col("source").alias("s"), F.col("size").alias("z"), "part", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("ahead"))
@@ -125,10 +124,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # the k copies of n rows, spread evenly: whole numbers, so the sum is k exactly
     low = F.expr("(ahead + _i) * k div n")
     copies = F.expr("(ahead + _i + 1) * k div n") - low
-    return joined.select(*carry, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.least(F.lit(cap).cast("long"), copies).alias("_copies"))
+    return joined.select("_row", "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.least(F.lit(cap).cast("long"), copies).alias("_copies"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     done = mix(docs.select("doc_id", "text", "source"), carry=["doc_id"])
-    return done.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return done.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

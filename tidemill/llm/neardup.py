@@ -110,9 +110,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     # null keys count as larger than any other
     best = comps.groupBy("comp").agg(F.min("one").alias("one")).select(F.xxhash64("one.id").alias("_i"), F.col("one.th").alias("_t"))
     wordless = seen.where("node is null").select(F.xxhash64("id").alias("_i"), F.col("th").alias("_t")).distinct()
-    marked = docs.select("*", F.xxhash64(key).alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    marked = docs.select(F.struct("*").alias("_row"), F.xxhash64(key).alias("_i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     kept = marked.join(best, ["_i", "_t"], "left_semi").dropDuplicates(["_i", "_t"])
-    return kept.unionByName(marked.join(wordless, ["_i", "_t"], "left_semi")).select(*docs.columns)
+    return kept.unionByName(marked.join(wordless, ["_i", "_t"], "left_semi")).select("_row.*")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
