@@ -40,11 +40,14 @@ def read_delimited(spark: SparkSession, path: str, header_row: int = 1) -> DataF
     """All columns as text plus _row; the nothing-words become null, empty rows and columns, and a last totals row, go."""
     head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("c")).first()["c"])
     encoding, sep = sniff(head)
-    spark_name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
+    spark_name = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
     lines = head.decode(encoding, "replace").splitlines()
     names = [n.strip() for n in next(csv.reader([lines[header_row - 1]], delimiter=sep))]
     unique = [n if names.index(n) == i else f"{n}_{i}" for i, n in enumerate(names)]
     raw = spark.read.option("sep", sep).option("encoding", spark_name).option("multiLine", True).schema(", ".join(f"`{n or f'Unnamed: {i}'}` string" for i, n in enumerate(unique))).csv(path)
+    if encoding == "cp1252":  # Spark reads no such file; it differs from Latin-1 in these bytes only
+        high = {bytes([b]).decode("latin-1"): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+        raw = raw.select(*(F.translate(F.col(f"`{c}`"), "".join(high), "".join(high.values())).alias(c) for c in raw.columns))
     return shaped(raw.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") >= header_row))
 
 
