@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, keep
 
 #: Field names of the two versions of ARC record headers (fixed by the format).
 ARC_FIELDS = {
@@ -226,8 +226,9 @@ def load(spark, path: str) -> DataFrame:
 def op6(pages: DataFrame) -> DataFrame:
     """The contract's columns, from the archives as read back; revisits are resolved by their record identifiers."""
     kind = dict(pages.dtypes)["page_id"]
-    back = load(pages.sparkSession, archive(pages))
-    full = back.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("to"), F.first("payload_bytes").alias("to_bytes"))
+    back = keep(load(pages.sparkSession, archive(pages)))
+    # kept, so that the join deals both sides itself and can split a response that very many revisit
+    full = keep(back.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("to"), F.first("payload_bytes").alias("to_bytes")))
     out = back.join(full.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
     return out.select(F.col("page_id").cast(kind).alias("page_id"), F.coalesce("payload_bytes", "to_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("to").cast(kind).alias("refers_to"))
 
