@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 from .components import components
-from .textscan import mix64, shingles, slices
+from .textscan import SMALL, mix64, shingles, slices
 
 #: Bands of so many registers each. A pair of Jaccard 0.85 shares no band with probability 1.2e-5, one of 0.8 with 5e-4.
 BANDS, PER_BAND = 24, 6
@@ -63,7 +63,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text, its distinct k-word shingles (lower-cased A-Z) as sorted hashes."""
-    for s in slices(column):
+    for s in slices(column, SMALL):
         s = s.lower()
         start, end, row = s.spans()
         h, at = shingles(s.hashes(start, end), row, s.n, k)
@@ -212,7 +212,7 @@ def _full_sets(reps: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     texts = rows.join(reps.select(F.col("one.id").alias("i"), F.col("one.th").alias("t")), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             found = list(_sets(batch.column(0), k))
             if found:
                 ends = np.cumsum([0, *map(len, found)])

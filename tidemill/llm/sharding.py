@@ -22,7 +22,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
     key; the totals of the ranges, at most RANGES * PARTS of them, give each range its place, and a window
     inside the range does the rest. Equal rows are carried as one row with a count until the end.
 
-    Returns key, size, text_crc32, shard, slot (0, 1, ... in each shard), offset (bytes before the row).
+    The key must be a number. Returns key, size, text_crc32, shard, slot (0, 1, ... in each shard), offset (bytes before the row).
     Null texts count as empty; null keys come first; repeated rows each get a slot of their own, next to each
     other; other columns are ignored; an empty table gives no rows. Reruns agree, whatever the partitions.
     """

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text in a slice; a longer text is a slice by itself.
 SLICE = 4 << 20
+#: The same where the arrays of a slice, and not its distinct words, decide: a worker then holds a fourth.
+SMALL = 1 << 20
 #: Bytes that are hashed in one step.
 STEP = 1 << 19
 _rng = np.random.default_rng(20240229)
