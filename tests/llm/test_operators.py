@@ -296,7 +296,7 @@ def test_op8_probabilities_sum_to_one_and_training_helps():
     classes[: lm.CLASSES] = np.arange(lm.CLASSES)
     inner = np.full((lm.CONTEXTS, size), 0.0, np.float32)
     inner -= np.log10(np.bincount(classes, minlength=lm.CLASSES))[classes]
-    net = lm.Attention(classes, np.arange(size) % lm.CONTEXTS, inner, np.zeros((lm.CONTEXTS, lm.CLASSES)) - np.log(lm.CLASSES))
+    net = lm.Attention(classes, np.arange(size) % lm.CONTEXTS, np.arange(size), inner, np.zeros((lm.CONTEXTS, lm.CLASSES)) - np.log(lm.CLASSES))
     total = sum(10 ** net.score(np.array([5, i]), np.array([0, 0]), 1)[0] for i in range(size))
     assert abs(total / 10 ** net.score(np.array([5]), np.array([0]), 1)[0] - 1) < 1e-3
     # what follows depends on what stood three places before: no bigram can know
