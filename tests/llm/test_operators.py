@@ -313,6 +313,30 @@ def test_op8_probabilities_sum_to_one_and_training_helps():
     assert np.allclose(a, [net.score(np.array(seq[:50]), np.zeros(50, int), 1)[0], net.score(np.array(seq[:20]), np.zeros(20, int), 1)[0]], rtol=1e-4)
 
 
+def test_op8_trains_on_every_id():
+    rng = random.Random(5)
+    texts = [[rng.randrange(3, 900) for _ in range(n)] + [lm.END] for n in (0, 1, 15, 16, 17, 33, 200, 3000)]
+    ids, of = np.array([i for t in texts for i in t]), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    w = lm.training_windows(ids, of, len(texts))
+    goals = w[:, lm.HALF + 1 :]
+    assert goals[goals >= 0].tolist() == ids.tolist()
+    # what stands before a goal is the text before it, as far as the window goes
+    whole = np.concatenate([[-1] * lm.HALF + [lm.END] + t for t in texts[-1:]])
+    assert (w[-5][w[-5] >= 0] == whole[-(w[-5:, 1 + lm.HALF :] >= 0).sum() - 1 - lm.HALF :][: 2 * lm.HALF + 1]).all()
+    assert len(lm.training_windows(ids[:0], of[:0], 0)) == 0
+
+
+def test_op8_later_ids_are_learned(spark):
+    """Texts that differ from id 34 on only give models that differ."""
+    subwords = spark.sparkContext.broadcast(open(lm.MODEL, "rb").read())
+    size = lm._subwords(subwords.value).size
+    made = []
+    for tail in ("the", "of"):
+        net = lm.Attention(np.arange(size) % lm.CLASSES, np.arange(size) % lm.CONTEXTS, np.arange(size), None, np.zeros((lm.CONTEXTS, lm.CLASSES)))
+        made.append(lm._trained(spark.createDataFrame([("and " * 40 + f"{tail} " * 60,)] * 4, "text string"), net, subwords).p)
+    assert any(not np.allclose(made[0][k], made[1][k]) for k in made[0])
+
+
 def fold(t):
     return re.sub(r"[\x20\x09-\x0d!-/:-@\[-`{-~]+", " ", (t or "").translate(LOW)).split()
 
