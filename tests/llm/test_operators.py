@@ -383,6 +383,25 @@ def test_op9_finds_leaks(spark, none):
     assert decontam.op9(none, b).count() == 0 and decontam.op9(d, b.where("false")).count() == 0
 
 
+def test_op9_finds_items_cut_by_the_edges(spark):
+    """A text that is an item less some words, and texts that begin or end inside an item."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(15, 50)))) for i in range(20)]
+    docs, want = [], {}
+    for i, t in items:
+        w = t.split()
+        k, filler = decontam.allowed(len(w)), [rng.choice("xyz") * 3 + str(j) for j in range(40)]
+        at = rng.randrange(1, len(w) - 1)
+        for j, (x, lost) in enumerate([(w[:-1], 1), (w[1:], 1), (w[:at] + w[at + 1 :], 1), (w[k:] + filler, k), (filler + w[:-k], k), (w[: -k - 1], k + 1)]):
+            docs.append((10 * i + j, " ".join(x)))
+            if lost <= k:
+                want[10 * i + j, i] = lost
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.n_edits for r in decontam.op9(d, b).collect()} == want
+    assert {r.doc_id for r in decontam.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_op9_distances():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 4, (50, 9)).astype(np.uint64), rng.integers(0, 4, (50, 9)).astype(np.uint64)

@@ -22,6 +22,8 @@ RECALL = 0.999
 SAMPLED, PER_WALK, MOST_WALKS = 2, 24, 24
 #: The items are taken in blocks of at most so many bytes of text, so that what a task holds is bounded.
 BLOCK_BYTES = 16 << 20
+#: Stands for the words that a window at a text's edge lacks.
+LACKING = np.uint64(1)
 #: A-Z in lower case, and ASCII marks as white space.
 FOLD = LOWER.copy()
 FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
@@ -74,9 +76,11 @@ def keys(words: np.ndarray, n_walks: int) -> np.ndarray:
     return np.column_stack(out) if out else np.zeros((len(words), 0), np.uint64)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance between the words of each row of a and of b, both of n columns."""
+def distances(a: np.ndarray, b: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Edit distance between the words of each row of a, or the first size of them, and of b, both of n columns."""
     rows, n = a.shape
+    size = np.full(rows, n) if size is None else size
+    out = np.full(rows, n, np.int32)
     ramp = np.arange(n + 1, dtype=np.int32)
     last = np.tile(ramp, (rows, 1))
     for i in range(n):
@@ -84,11 +88,13 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         now[:, 0] = i + 1
         now[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (b != a[:, i : i + 1]))
         last = np.minimum.accumulate(now - ramp, axis=1) + ramp
-    return last[:, -1]
+        done = size == i + 1
+        out[done] = last[done, -1]
+    return out
 
 
 def _walks_needed(items: np.ndarray, k: int) -> int:
-    """Walks for RECALL at k random edits, from trials on the items themselves."""
+    """Walks for RECALL at k random edits, and at k words lacking in front or behind, from trials on the items themselves."""
     if k == 0:
         return 1
     rng = np.random.default_rng(len(items) * 31 + k)
@@ -107,8 +113,11 @@ def _walks_needed(items: np.ndarray, k: int) -> int:
                 x[at] = new
         edited.append((x + [np.uint64(1)] * len(row))[: len(row)])
     edited = np.array(edited, np.uint64)
+    front, behind = base.copy(), base.copy()
+    front[:, :k] = behind[:, -k:] = LACKING
     for n in (1, 2, 3, 4, 6, 8, 12, 16):
-        if (keys(base, n) == keys(edited, n)).any(axis=1).mean() >= RECALL:
+        own = keys(base, n)
+        if all((own == keys(x, n)).any(axis=1).mean() >= RECALL for x in (edited, front, behind)):
             return n
     return MOST_WALKS
 
@@ -143,7 +152,11 @@ class Items:
             self.sizes.append((n, k, n_walks, at, words, np.take_along_axis(table, order, axis=0), order))
 
     def search(self, s: Slice) -> tuple[np.ndarray, ...]:
-        """row, item, edits, first word, item words: for each text and item that match, the nearest window."""
+        """row, item, edits, first word, item words: for each text and item that match, the nearest window.
+
+        At a text's edges windows are also shorter, by up to as many words as may be edited. The bound on seeds holds
+        for them too: it counts those of the item that so many edits leave.
+        """
         words, row, h, at = _words(s)
         seed = np.full(len(words), -1)
         if len(h) and len(self.grams):
@@ -157,6 +170,7 @@ class Items:
         inside = likely[row]
         words, row, seed = words[inside], row[inside], seed[inside]
         found = []
+        ends = np.cumsum(np.bincount(row, minlength=s.n))
         places = np.flatnonzero(seed >= 0)
         for j, (n, k, n_walks, ids, items, table, order) in enumerate(self.sizes if len(places) else ()):
             seen = places[self.of_size[j, seed[places]]]
@@ -170,8 +184,12 @@ class Items:
             p = np.unique(np.maximum(seen[:, None] - np.arange(n), 0))
             p = p[p <= len(words) - n]
             p = p[(row[p] == row[p + n - 1]) & (run[p + n - SEED_WORDS + 1] - run[p] >= need)]
-            for lo in range(0, len(p), 20_000):
-                found.append(self._match(p[lo : lo + 20_000], n, k, n_walks, ids, items, table, order, words))
+            begin, length, front = self._edges(np.unique(row[seen]), ends, n, k)
+            # seeds lie wholly inside the window
+            good = run[np.maximum(begin + length - SEED_WORDS + 1, begin)] - run[begin] >= need
+            begin, length, front = (np.concatenate([x, y[good]]) for x, y in zip((p, np.full(len(p), n), np.zeros(len(p), np.int64)), (begin, length, front), strict=True))
+            for lo in range(0, len(begin), 20_000):
+                found.append(self._match(*(x[lo : lo + 20_000] for x in (begin, length, front)), n, k, n_walks, ids, items, table, order, words))
         if not found:
             return tuple(np.zeros(0, np.int64) for _ in range(5))
         start, item, edits, size = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -182,8 +200,19 @@ class Items:
         return row[start[best]] + s.first, item[best], edits[best], (start - first)[best], size[best]
 
     @staticmethod
-    def _match(p, n, k, n_walks, ids, items, table, order, words):
-        windows = words[p[:, None] + np.arange(n)]
+    def _edges(rows: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, words and words lacking in front, of the windows at the edges of texts that lack 1 to k of n words."""
+        stop = np.repeat(ends[rows], k)
+        start = np.repeat(np.concatenate([[0], ends])[rows], k)
+        length = np.tile(n - 1 - np.arange(k), len(rows))
+        fits = (length > 0) & (length <= stop - start)
+        start, stop, length = start[fits], stop[fits], length[fits]
+        return np.concatenate([start, stop - length]), np.concatenate([length, length]), np.concatenate([n - length, np.zeros(len(length), np.int64)])
+
+    @staticmethod
+    def _match(p, length, front, n, k, n_walks, ids, items, table, order, words):
+        at = np.arange(n) - front[:, None]
+        windows = np.where((at >= 0) & (at < length[:, None]), words[np.clip(p[:, None] + at, 0, len(words) - 1)], LACKING)
         own = keys(windows, n_walks)
         pairs = []
         for t in range(own.shape[1]):
@@ -193,7 +222,9 @@ class Items:
                 pairs.append(w * len(items) + order[a[w] + j, t])
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         w, i = pairs // len(items), pairs % len(items)
-        d = np.concatenate([distances(windows[w[x : x + 20_000]], items[i[x : x + 20_000]]) for x in range(0, len(w), 20_000)]) if len(w) else np.zeros(0, np.int32)
+        # the words that are there, from the left
+        there = lambda x: words[np.minimum(p[x][:, None] + np.arange(n), len(words) - 1)]
+        d = np.concatenate([distances(there(w[x : x + 20_000]), items[i[x : x + 20_000]], length[w[x : x + 20_000]]) for x in range(0, len(w), 20_000)]) if len(w) else np.zeros(0, np.int32)
         good = d <= k
         return p[w[good]], ids[i[good]], d[good].astype(np.int64), np.full(int(good.sum()), n)
 
@@ -226,7 +257,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     """key, item_key, n_edits, n_item_words, first_word: each pair of a row and an item that it holds.
 
     Words are runs of characters other than white space and ASCII marks, in lower case. A row holds an item if some
-    window of as many words is within allowed() edits of it; the nearest window is reported, of equally near ones
+    window of as many words, or a shorter one at an edge of the text, is within allowed() edits of it; the nearest window is reported, of equally near ones
     the first. Every window of every text that shares enough SEED_WORDS-word seeds with the items (a bound that no
     window within the distance can miss) is embedded, its keys are looked up, and the pairs that meet are verified
     exactly. Items are searched in bounded blocks against all rows; rows are never shuffled.
