@@ -125,6 +125,28 @@ def test_op3_rotates_speakers(spark):
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_op3_equals_its_oracle_at_every_size(spark):
+    """Hot conversations: repeated turn numbers, equal rows, no turn numbers."""
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    turns = [(1, rng.randrange(300), rng.choice(["ann", "bob", "system", None]), rng.choice(["é", "hm", f"text {i % 700}"])) for i in range(5000)]
+    turns += [(2, None, rng.choice(["ann", "bob"]), f"late {i}") for i in range(chat.MOST + 300)] + [(3, 7, "ann", "again")] * (2 * chat.MOST + 1) + [(None, 0, "ann", None), (4, 1, "bob", "x"), (4, 600, "ann", "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    conversations = pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*turns, strict=True)), strict=True)))
+    with duckdb.connect() as db:
+        db.register("conversations", conversations)
+        want = db.execute(chat.ORACLE).fetchall()
+    # the oracle lists the spans of equal rows in any order
+    level = lambda rs: collections.Counter((*r[:-1], *sorted(tuple(map(int, m.split("-"))) for m in r[-1].split(",") if m)) for r in rs)
+    got = [tuple(r) for r in chat.op3(df).collect()]
+    assert level(got) == level(want)
+    assert all((m := [int(x.split("-")[0]) for x in r[-1].split(",") if x]) == sorted(m) for r in got)
+    subs = sorted((r["sub"], r["n_turns"]) for r in chat.rotate(df).collect() if r["conv_id"] == 3)
+    assert subs == [(0, chat.MOST), (1, chat.MOST), (2, 1)]
+
+
 def test_op4_gives_contiguous_even_shards(docs, rows, none):
     got = sharding.op4(docs).collect()
     assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(r[0]), len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)

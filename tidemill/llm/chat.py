@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns in one part of a rendering; longer dialogues come in several parts, to be joined in order.
+#: Turn numbers in one part of a rendering; longer dialogues come in several parts, to be joined in order.
 PART = 256
-#: A part with more rows than this, because of repeated turn numbers, is split by turn and then by row hash.
+#: Turns in one sub of a part: a part has more than one where turn numbers are repeated.
 MOST = 4 * PART
+#: The part of turns without a number.
+LAST = 2**62
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
@@ -17,26 +19,30 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     For a speaker P the turns of P are the assistant's, turns of the role `system` stay, and all others are a
     user's with the speaker's name. starts and ends are code point offsets, in the part's text, of what P says with
     its end marker: what a loss mask covers. Turns are in order of turn number (null last), role and text.
-    A part covers PART turn numbers; parts, then subs, give the order. So no row holds an unbounded dialogue,
-    and the rendering of a dialogue is the concatenation of its parts.
+    A part covers PART turn numbers, a sub MOST turns of a part in that order, counted from 0; offsets are those in
+    the sub. So no row holds an unbounded dialogue, and the rendering is the concatenation of parts and subs. The
+    place of a turn comes from the totals of the turn numbers before it; equal rows are one with a count till then.
 
     A null role speaks as "unknown" and is nobody's perspective; a null text is empty; a null conversation is one
     of its own; repeated rows are rendered each; markers inside a text are broken up by a space; dialogues with
     system turns only, and empty tables, give no rows; other columns are ignored.
     """
     rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.col(role).alias("r"), F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("x"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("t") / PART), F.lit(2**62)).cast("long"))
-    crowded = rows.groupBy(F.col("c").alias("c2"), F.col("part").alias("p2")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MOST)
-    rows = rows.join(crowded, rows.c.eqNullSafe(crowded.c2) & (rows.part == crowded.p2), "left")
-    # a crowded part: by turn, and rows of one turn by hash, which is their only order
-    within = F.coalesce(F.pmod(F.col("t"), F.lit(PART)), F.lit(0)) * 4096
-    sub = F.when(F.col("m").isNull(), F.lit(0)).otherwise(within + F.pmod(F.xxhash64("r", "x"), F.least(F.lit(4096), F.ceil(F.col("m") / MOST)))).cast("long")
-    rows = rows.select("c", "t", "r", "x", "part", sub.alias("sub"))
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("t") / PART), F.lit(LAST)).cast("long"))
+    same = rows.groupBy("c", "part", "t", "r", "x").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("c", "part", "t").orderBy(F.coalesce("r", F.lit("")), "x", F.col("r").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("c2", "p2").orderBy("t2").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col("c").alias("c2"), F.col("part").alias("p2"), F.col("t").alias("t2")).agg(F.count(F.lit(1)).alias("m"))
+    totals = totals.select("c2", "p2", "t2", F.coalesce(F.sum("m").over(line), F.lit(0)).alias("at"))
+    inside = same.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("i"))
+    placed = inside.join(totals, inside.c.eqNullSafe(totals.c2) & (inside.part == totals.p2) & inside.t.eqNullSafe(totals.t2))
+    rows = placed.select("c", "t", "r", "x", "part", F.explode(F.sequence(F.col("at") + F.col("i"), F.col("at") + F.col("i") + F.col("n") - 1)).alias("nth"))
+    rows = rows.withColumn("sub", F.floor(F.col("nth") / MOST).cast("long"))
     speakers = turns.select(F.col(conv).alias("c2"), F.col(role).alias("who")).where(F.col("who").isNotNull() & (F.col("who") != system)).distinct()
     seen = rows.join(speakers, rows.c.eqNullSafe(speakers.c2))
     own = F.col("r").eqNullSafe(F.col("who"))
     head = F.when(own, F.lit("<|im_start|>assistant\n")).when(F.col("r").eqNullSafe(F.lit(system)), F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), F.coalesce("r", F.lit("unknown")), F.lit("\n")))
-    said = F.struct(F.col("t").isNull().alias("none"), "t", F.coalesce("r", F.lit("")).alias("r"), "x", own.alias("own"), head.alias("head"))
+    said = F.struct("nth", "x", own.alias("own"), head.alias("head"))
     grouped = seen.select("c", "who", "part", "sub", said.alias("s")).groupBy("c", "who", "part", "sub").agg(F.array_sort(F.collect_list("s")).alias("turns"))
     grouped = grouped.withColumn("pieces", F.transform("turns", lambda s: F.concat(s["head"], s["x"], F.lit("<|im_end|>\n"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"))
@@ -57,9 +63,14 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
 
 def op3(turns: DataFrame) -> DataFrame:
-    """rotate() with its mask as text: start-end, joined by commas."""
-    mask = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), ",")
-    return rotate(turns).select("conv_id", "perspective", "part", "n_turns", "n_own", "text", mask.alias("mask"))
+    """rotate(), the subs of a part joined in order, with the mask as text: start-end, joined by commas; no part where turns have no number."""
+    subs = rotate(turns)
+    of = Window.partitionBy("conv_id", "perspective", "part").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    moved = subs.withColumn("at", F.coalesce(F.sum(F.length("text")).over(of), F.lit(0)))
+    mask = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws("-", (a + F.col("at")).cast("string"), (b + F.col("at")).cast("string"))), ",")
+    one = moved.select("conv_id", "perspective", "part", "n_turns", "n_own", F.struct("sub", "text", F.when(F.col("n_own") > 0, mask).alias("mask")).alias("s"))
+    one = one.groupBy("conv_id", "perspective", "part").agg(F.sum("n_turns").alias("n_turns"), F.sum("n_own").alias("n_own"), F.array_sort(F.collect_list("s")).alias("s"))
+    return one.select("conv_id", "perspective", F.when(F.col("part") != LAST, F.col("part")).alias("part"), "n_turns", "n_own", F.array_join("s.text", "").alias("text"), F.array_join("s.mask", ",").alias("mask"))
 
 
 ORACLE = """
