@@ -187,3 +187,16 @@ def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     items = digest.articles(docs)
     assert digest.capped(digest.scored(items)).count() == 0 and digest.near_pairs(items).count() == 0 and digest.greedy(digest.scored(items)).count() == 0
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    start = "a,b\n" + "x,y\n" * 2046 + "zz,"
+    assert len(start) == delimited.HEAD - 1  # the next character lies across the head's end
+    tails = {"utf-8": "", "cp1252": "é€", "latin-1": "é\x81"}
+    for encoding, tail in tails.items():
+        path = tmp_path / f"{encoding}.csv"
+        path.write_bytes((start + ("é" if encoding == "utf-8" else "p" * 50 + tail) + "\n").encode(encoding))
+        got = [r["b"] for r in delimited.read_delimited(spark, str(path)).where("a = 'zz'").collect()]
+        assert got == ["é" if encoding == "utf-8" else "p" * 50 + tail]
+    all_of_them = delimited.read_delimited(spark, str(tmp_path)).where("a = 'zz'").collect()
+    assert sorted(r["b"] for r in all_of_them) == sorted(["é", "p" * 50 + "é€", "p" * 50 + "é\x81"])

@@ -13,41 +13,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
 DELIMITERS = ",;\t|"
 #: Cells that mean nothing (fixed vocabulary).
 NOTHING = ["", "-", "N/A", "NULL", "#N/A", "NaN", "nan", "None", "n/a", "NA", "null"]
 TOTALS = ["total", "totals", "grand total", "sum", "subtotal"]
-#: Bytes of a file's start that decide on encoding and delimiter.
+#: Bytes of a file's start that decide on the delimiter.
 HEAD = 8192
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """Encoding and delimiter from the first bytes."""
-    for encoding in ENCODINGS:
-        try:
-            text = head.decode(encoding)
-            break
-        except UnicodeDecodeError:
-            continue
+def sniff(head: bytes, encoding: str) -> str:
+    """Delimiter from the first bytes, which may end inside a character."""
     try:
-        return encoding, csv.Sniffer().sniff(text, DELIMITERS).delimiter
+        return csv.Sniffer().sniff(head.decode(encoding, "ignore"), DELIMITERS).delimiter
     except csv.Error:
-        return encoding, ","
+        return ","
+
+
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """Path, head and encoding of each file, from the whole of it: UTF-8 if valid, else cp1252, or Latin-1 if it has bytes that cp1252 lacks."""
+    lacks = F.decode("content", "ISO-8859-1").rlike("[\u0081\u008d\u008f\u0090\u009d]")
+    found = F.when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8-sig").when(lacks, "latin-1").otherwise("cp1252")
+    return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD).alias("head"), found.alias("encoding"))
 
 
 def read_delimited(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
     """All columns as text plus _row; the nothing-words become null, empty rows and columns, and a last totals row, go."""
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("c")).first()["c"])
-    encoding, sep = sniff(head)
-    spark_name = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
+    files = encodings(spark, path)
+    first = files.select("head", "encoding").first()
+    head, encoding = bytes(first["head"]), first["encoding"]
+    sep = sniff(head, encoding)
     lines = head.decode(encoding, "replace").splitlines()
     names = [n.strip() for n in next(csv.reader([lines[header_row - 1]], delimiter=sep))]
     unique = [n if names.index(n) == i else f"{n}_{i}" for i, n in enumerate(names)]
-    raw = spark.read.option("sep", sep).option("encoding", spark_name).option("multiLine", True).schema(", ".join(f"`{n or f'Unnamed: {i}'}` string" for i, n in enumerate(unique))).csv(path)
-    if encoding == "cp1252":  # Spark reads no such file; it differs from Latin-1 in these bytes only
-        high = {bytes([b]).decode("latin-1"): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
-        raw = raw.select(*(F.translate(F.col(f"`{c}`"), "".join(high), "".join(high.values())).alias(c) for c in raw.columns))
+    schema = ", ".join(f"`{n or f'Unnamed: {i}'}` string" for i, n in enumerate(unique))
+    high = {bytes([b]).decode("latin-1"): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+    def read(encoding: str, paths: str | list[str]) -> DataFrame:
+        spark_name = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
+        raw = spark.read.option("sep", sep).option("encoding", spark_name).option("multiLine", True).schema(schema).csv(paths)
+        if encoding == "cp1252":  # Spark reads no such file; it differs from Latin-1 in these bytes only
+            raw = raw.select(*(F.translate(F.col(f"`{c}`"), "".join(high), "".join(high.values())).alias(c) for c in raw.columns))
+        return raw
+
+    # the first file's encoding comes first, for its header
+    groups = files.groupBy("encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    groups.sort(key=lambda g: (g["encoding"] != encoding, g["encoding"]))
+    raw = read(encoding, path)
+    if len(groups) > 1:
+        raw = read(encoding, groups[0]["paths"])
+        for g in groups[1:]:
+            raw = raw.unionAll(read(g["encoding"], g["paths"]))
     return shaped(raw.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") >= header_row))
 
 
