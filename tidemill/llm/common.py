@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 #: White space of the word rule; words are maximal runs of other characters.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Most bytes of rows that go to or come from a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCHES_DEFAULT = "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data set."""
+    """One table of a data set. Arrow batches are bounded by bytes as well as rows, unless the session says otherwise."""
+    if spark.conf.get(_BATCHES) == _BATCHES_DEFAULT:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

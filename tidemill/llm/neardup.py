@@ -20,6 +20,8 @@ REGISTERS = BANDS * PER_BAND
 B, RATE, TOP = 1.001, 20.0, 65535
 #: A pair is verified unless its estimate is below the threshold by this much (5 standard deviations at 0.8).
 SLACK = 0.16
+#: Pairs whose likelihoods are laid out at once: each takes a dozen rows of GRID doubles.
+PAIRS, GRID = 256, 201
 _rng = np.random.default_rng(99)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _MUL = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -46,11 +48,13 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
     a, b: registers, one row a pair. The likelihood is that of the numbers of registers above, below and equal.
     """
+    if len(a) > PAIRS:
+        return np.concatenate([estimate(*(x[lo : lo + PAIRS] for x in (a, b, na, nb))) for lo in range(0, len(a), PAIRS)])
     up, down = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
     u = (na / (na + nb))[:, None]
     v = 1 - u
     most = np.minimum(u / v, v / u)
-    j = np.linspace(0, 1, 201)[None, :] * most
+    j = np.linspace(0, 1, GRID)[None, :] * most
 
     def p(x: np.ndarray) -> np.ndarray:
         return np.clip(-np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B), 1e-12, 1)
