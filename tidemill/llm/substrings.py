@@ -23,8 +23,8 @@ GRAM = NEED - WIDE + 1
 #: Bytes that one symbol of the coarse suffix array stands for; WIDE is a multiple.
 BLOCK = 16
 PARTS = WIDE // BLOCK
-#: Rows in a block that is searched and later completed together, as a power of two.
-ROWS = 6
+#: Rows in a block that is searched and later completed together, as a power of two; a text of more than LONG bytes is a block by itself.
+ROWS, LONG = 6, 1 << 18
 #: Longest piece of a text that is searched in one step; pieces are counted from the start of their text.
 STEP = 1 << 18
 #: Bytes of segments that go into one suffix array, and rows of one anchor above which its windows are counted one by one.
@@ -167,7 +167,7 @@ def _search(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column(0).to_numpy() >> ROWS
+            block = batch.column(0).to_numpy()
             for s in slices(batch.column(1)):
                 h, x, _, first, _ = segments(s)
                 if len(h):
@@ -176,7 +176,7 @@ def _search(docs: DataFrame) -> DataFrame:
                     _, at, n = np.unique(whole, return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(h[at].view(np.int64)), pa.array(x[at].view(np.int64)), pa.array(n.astype(np.int32))], names=["block", "h", "x", "n"])
 
-    return docs.select("rid", "text").mapInArrow(scan, "block long, h long, x long, n int")
+    return docs.select("block", "text").mapInArrow(scan, "block long, h long, x long, n int")
 
 
 def _blocks(docs: DataFrame, found: DataFrame, kind: str) -> DataFrame:
@@ -278,16 +278,12 @@ def _judged(sent: DataFrame) -> DataFrame:
     return arrays.unionByName(listed.mapInArrow(packed, "h long, x long, bits binary"))
 
 
-def _cut(size: int, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that some window covers."""
-    edge = np.zeros(size + 1, np.int32)
-    for w in windows:
-        if len(w):
-            edge += np.bincount(w, minlength=size + 1)[: size + 1].astype(np.int32)
-            edge -= np.bincount(w + NEED, minlength=size + 1)[: size + 1].astype(np.int32)
-    on = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-    change = np.flatnonzero(on[1:] != on[:-1])
-    return change[::2], change[1::2]
+def _cut(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that some window covers; windows come as runs, first to last."""
+    order = np.argsort(first, kind="stable")
+    start, end = first[order], np.maximum.accumulate(last[order] + NEED)
+    apart = np.flatnonzero(start[1:] > end[:-1])
+    return start[np.concatenate([[0], apart + 1])] if len(start) else start, end[np.append(apart, len(end) - 1)] if len(end) else end
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,14 +296,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Segments (see segments()) are counted over the corpus by their anchors' hashes. Anchors that occur once are
     done. Segments of which the corpus has equal ones repeat as a whole and are kept once, with their count. Where
     one anchor has different segments, suffix arrays over these find the windows that repeat; very crowded anchors
-    are dealt out by window. Texts are read twice and shuffled once, by blocks of rows; only those with open
-    segments are moved again.
+    are dealt out by window. Rows are numbered and written once, then read twice and shuffled once, by blocks of
+    rows, or of one long text; only those with open segments are moved again.
 
-    Rows are told apart by their place in the input, which must be read alike twice, as a table is. Null texts are
-    empty; repeated rows repeat each other and lose everything from NEED bytes on; an empty table gives no rows.
+    Null texts are empty; repeated rows repeat each other and lose everything from NEED bytes on; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    path = fresh_path(docs.sparkSession, "rows")
+    rows.withColumn("block", F.when(F.octet_length("text") > LONG, -1 - F.col("rid")).otherwise(F.shiftright("rid", ROWS))).write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     found = _search(rows)
     common = found.groupBy("h").agg(F.sum("n").alias("c"), F.min("x").alias("x1"), F.max("x").alias("x2")).where("c > 1")
     shared = found.join(common.select("h", "c", (F.col("x1") != F.col("x2")).alias("mixed")), "h")
@@ -317,7 +315,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each = shared.where("mixed").groupBy("h", "x").agg(F.sum("n").alias("m"), F.min("block").alias("sender"))
     known = shared.join(each, ["h", "x"], "left").select("block", "h", "x", "mixed", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("sender", F.lit(-1)).alias("sender"), (F.col("c") > CROWD).alias("crowded"))
     path = fresh_path(docs.sparkSession, "blocks")
-    _blocks(rows.withColumn("block", F.shiftright("rid", ROWS)), known, kind).write.parquet(path)
+    _blocks(rows, known, kind).write.parquet(path)
     blocks = docs.sparkSession.read.parquet(path)
     judged = keep(_judged(blocks.where("h is not null").select("h", "x", "m", "crowded", "left", "right", "segment")))
     texts = blocks.where("rid is not null").select("block", "rid", "id", "text", "sure", "open_h", "open_x", "open_at")
@@ -332,9 +330,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             out = [[] for _ in range(6)]
             for body, sure, waited in zip(*(batch.column(c).to_pylist() for c in ("text", "sure", "open")), strict=True):
                 spans = np.array(sure, np.int64).reshape(-1, 2)
-                windows = [np.arange(a, b + 1) for a, b in spans]
-                windows += [o["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(o["bits"], np.uint8))) for o in waited or ()]
-                starts, ends = _cut(len(body), windows)
+                single = [o["at"] + np.flatnonzero(np.unpackbits(np.frombuffer(o["bits"], np.uint8))) for o in waited or ()]
+                starts, ends = _cut(np.concatenate([spans[:, 0], *single]).astype(np.int64), np.concatenate([spans[:, 1], *single]).astype(np.int64))
                 ins, outs = [0, *ends.tolist()], [*starts.tolist(), len(body)]
                 rest = b"".join(body[a:b] for a, b in zip(ins, outs, strict=True))
                 for c, v in zip(out, (len(body), len(body) - len(rest), len(starts), starts, ends, rest), strict=True):
