@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,16 @@ from .textscan import LOWER, Slice, mix64, shingles, slices
 
 #: A window matches an item of n words with at most n * EDITS // 100 word insertions, deletions and replacements.
 EDITS = 20
-#: Words of the seeds that a window must share with some item; items of fewer words never match.
+#: Most words of the seeds that a window must share with an item; items of few words have shorter ones.
 SEED_WORDS = 3
-#: Chance that a window at the greatest distance meets its item in some table; the number of tables follows from it.
-RECALL = 0.999
-#: Symbols sampled for one key, keys taken from one walk, and the most walks.
-SAMPLED, PER_WALK, MOST_WALKS = 2, 24, 24
-#: The items are taken in blocks of at most so many bytes of text, so that what a task holds is bounded.
-BLOCK_BYTES = 16 << 20
+#: Chance that a window at the greatest distance meets its item in some table, on TRIALS trials; the number of walks follows from it.
+RECALL, TRIALS = 0.999, 1000
+#: Symbols sampled for one key, keys taken from one walk, and the most walks: where they fall short, all pairs that share a seed are verified.
+SAMPLED, PER_WALK, MOST_WALKS = 2, 24, 48
+#: The items are taken in blocks of at most so many bytes of text, so that what is broadcast is bounded: at most about MOST_WALKS * PER_WALK keys an item.
+BLOCK_BYTES = 4 << 20
+#: Words of windows that are laid out at once.
+AT_ONCE = 1 << 20
 #: Stands for the words that a window at a text's edge lacks.
 LACKING = np.uint64(1)
 #: A-Z in lower case, and ASCII marks as white space.
@@ -30,14 +33,18 @@ FOLD[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 
 
 def allowed(n: int) -> int:
-    """Edits that an item of n words may have; none if the seeds could then miss it."""
-    k = n * EDITS // 100
-    return k if seeds_needed(n, k) >= 1 else 0
+    """Edits that an item of n words may have."""
+    return n * EDITS // 100
 
 
-def seeds_needed(n: int, k: int) -> int:
-    """Seeds that a window of n words within k edits of an item shares with it at least."""
-    return n - SEED_WORDS + 1 - k * SEED_WORDS
+def seed_words(n: int, k: int) -> int:
+    """Words of the seeds for items of n words within k edits: the most, up to SEED_WORDS, of which one must be left."""
+    return max(w for w in range(1, SEED_WORDS + 1) if w == 1 or seeds_needed(n, k, w) >= 1)
+
+
+def seeds_needed(n: int, k: int, w: int) -> int:
+    """Seeds of w words that a window of n words within k edits of an item shares with it at least."""
+    return n - w + 1 - k * w
 
 
 def reach(n: int) -> int:
@@ -61,19 +68,17 @@ def walks(words: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def keys(words: np.ndarray, n_walks: int) -> np.ndarray:
-    """PER_WALK bucket keys from each walk: hashes of SAMPLED sampled outputs, one column a table."""
-    steps = 3 * words.shape[1]
-    out = []
-    for w in range(n_walks):
-        walk = walks(words, w)
-        picks = np.random.default_rng((w, steps)).integers(0, reach(words.shape[1]), (PER_WALK, SAMPLED))
-        for t, pick in enumerate(picks):
-            h = np.full(len(words), w * PER_WALK + t + 1, np.uint64)
-            for p in pick:
-                h = mix64(h ^ walk[:, p])
-            out.append(h)
-    return np.column_stack(out) if out else np.zeros((len(words), 0), np.uint64)
+def keys_of(words: np.ndarray, w: int) -> np.ndarray:
+    """PER_WALK bucket keys from walk w: hashes of SAMPLED sampled outputs, one column a table."""
+    walk = walks(words, w)
+    picks = np.random.default_rng((w, 3 * words.shape[1])).integers(0, reach(words.shape[1]), (PER_WALK, SAMPLED))
+    out = np.empty((len(words), PER_WALK), np.uint64)
+    for t, pick in enumerate(picks):
+        h = np.full(len(words), w * PER_WALK + t + 1, np.uint64)
+        for p in pick:
+            h = mix64(h ^ walk[:, p])
+        out[:, t] = h
+    return out
 
 
 def distances(a: np.ndarray, b: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
@@ -94,62 +99,68 @@ def distances(a: np.ndarray, b: np.ndarray, size: np.ndarray | None = None) -> n
 
 
 def _walks_needed(items: np.ndarray, k: int) -> int:
-    """Walks for RECALL at k random edits, and at k words lacking in front or behind, from trials on the items themselves."""
+    """Walks for RECALL at k random edits, and at k words lacking in front or behind, from trials on the items themselves.
+
+    Half as many again as the trials ask for, as other edits may be harder; 0 if MOST_WALKS do not reach it: then no
+    key is to decide.
+    """
     if k == 0:
         return 1
+    n = items.shape[1]
     rng = np.random.default_rng(len(items) * 31 + k)
-    base = items[rng.integers(0, len(items), 256)]
+    base = items[rng.integers(0, len(items), TRIALS)]
     edited = []
-    for row in base:
-        x = list(row)
-        for _ in range(k):
-            what, at = rng.integers(0, 3), int(rng.integers(0, len(x) + 1))
-            new = np.uint64(rng.integers(1, 1 << 62))
-            if what == 0:
-                x.insert(at, new)
-            elif what == 1 and at < len(x):
-                del x[at]
-            elif at < len(x):
-                x[at] = new
-        edited.append((x + [np.uint64(1)] * len(row))[: len(row)])
-    edited = np.array(edited, np.uint64)
+    for row, what, new in zip(base.tolist(), rng.integers(0, 3, (TRIALS, k)).tolist(), rng.integers(1, 1 << 62, (TRIALS, k)).tolist(), strict=True):
+        for j in range(k):
+            at = int(rng.integers(0, len(row) + 1))
+            if what[j] == 0 or at == len(row):
+                row.insert(at, new[j])
+            elif what[j] == 1:
+                del row[at]
+            else:
+                row[at] = new[j]
+        edited.append((row + [1] * n)[:n])
     front, behind = base.copy(), base.copy()
     front[:, :k] = behind[:, -k:] = LACKING
-    for n in (1, 2, 3, 4, 6, 8, 12, 16):
-        own = keys(base, n)
-        if all((own == keys(x, n)).any(axis=1).mean() >= RECALL for x in (edited, front, behind)):
-            return n
-    return MOST_WALKS
+    variants = [np.array(edited, np.uint64), front, behind]
+    met = np.zeros((len(variants), TRIALS), bool)
+    for w in range(MOST_WALKS):
+        own = keys_of(base, w)
+        for i, x in enumerate(variants):
+            met[i] |= (own == keys_of(x, w)).any(axis=1)
+        if met.mean(axis=1).min() >= RECALL:
+            return w + 1 + (w + 1) // 2
+    return 0
 
 
 class Items:
     """An index of one block of benchmark items, small enough to go to every task."""
 
     def __init__(self, ids: list, texts: list[str]):
-        grams, by_size = [], {}
+        by_size: dict[int, list] = {}
         for s in slices(pa.array(texts, pa.string())):
-            words, row, h, _ = _words(s)
-            grams.append(h)
+            words, row = _words(s)
+            cut = np.searchsorted(row, np.arange(s.n + 1))
             for i in range(s.n):
-                own = words[row == i]
-                if len(own) >= SEED_WORDS:
-                    by_size.setdefault(len(own), []).append((s.first + i, own))
+                if cut[i + 1] > cut[i]:
+                    by_size.setdefault(int(cut[i + 1] - cut[i]), []).append((s.first + i, words[cut[i] : cut[i + 1]]))
         self.ids = ids
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.grams >> np.uint64(42)] = True
+        # for each length of seeds: the seeds of all items, and a filter of their first bits
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.sizes = []
-        # which seeds the items of each size have
-        self.of_size = np.zeros((len(by_size), len(self.grams)), bool)
-        for j, (n, rows) in enumerate(sorted(by_size.items())):
-            for _, own in rows:
-                seeds, _ = shingles(own, np.zeros(len(own), np.int64), 1, SEED_WORDS)
-                self.of_size[j, np.searchsorted(self.grams, seeds)] = True
-            at, words, k = np.array([r for r, _ in rows]), np.array([w for _, w in rows]), allowed(n)
+        for n, rows in sorted(by_size.items()):
+            k = allowed(n)
+            at, words, w = np.array([r for r, _ in rows]), np.array([x for _, x in rows]), seed_words(n, k)
+            own = np.unique(shingles(words.ravel(), np.repeat(np.arange(len(words)), n), len(words), w)[0])
             n_walks = _walks_needed(words, k)
-            table = keys(words, n_walks)
-            order = np.argsort(table, axis=0)
-            self.sizes.append((n, k, n_walks, at, words, np.take_along_axis(table, order, axis=0), order))
+            table = np.hstack([keys_of(words, x) for x in range(n_walks)]) if n_walks else np.zeros((len(words), 0), np.uint64)
+            order = np.argsort(table, axis=0).astype(np.int32)
+            self.sizes.append((n, k, w, own, n_walks, at, words, np.take_along_axis(table, order.astype(np.int64), axis=0), order))
+        for w in {x[2] for x in self.sizes}:
+            every = np.unique(np.concatenate([x[3] for x in self.sizes if x[2] == w]))
+            maybe = np.zeros(1 << 22, bool)
+            maybe[every >> np.uint64(42)] = True
+            self.seeds[w] = every, maybe
 
     def search(self, s: Slice) -> tuple[np.ndarray, ...]:
         """row, item, edits, first word, item words: for each text and item that match, the nearest window.
@@ -157,47 +168,58 @@ class Items:
         At a text's edges windows are also shorter, by up to as many words as may be edited. The bound on seeds holds
         for them too: it counts those of the item that so many edits leave.
         """
-        words, row, h, at = _words(s)
-        seed = np.full(len(words), -1)
-        if len(h) and len(self.grams):
-            near = np.flatnonzero(self.maybe[h >> np.uint64(42)])
-            gram = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
-            same = self.grams[gram] == h[near]
-            seed[at[near[same]]] = gram[same]
+        words, row = _words(s)
+        found = []
+        for w, (every, maybe) in self.seeds.items():
+            found += self._with_seeds(w, every, maybe, words, row, s.n)
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        start, item, edits, size = (np.concatenate(c) for c in zip(*found, strict=True))
+        first = np.searchsorted(row, row[start])
+        order = np.lexsort((start, edits, item, row[start]))
+        r, i = row[start][order], item[order]
+        best = order[np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
+        return row[start[best]] + s.first, item[best], edits[best], (start - first)[best], size[best]
+
+    def _with_seeds(self, w: int, every: np.ndarray, maybe: np.ndarray, words: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple]:
+        """first word (in words), item, edits, item words of the windows that match items whose seeds have w words."""
+        at = np.flatnonzero(row[: max(0, len(row) - w + 1)] == row[w - 1 :]) if len(row) >= w else np.zeros(0, np.int64)
+        h, r = shingles(words, row, n_rows, w)
+        h = h[np.bincount(row, minlength=n_rows)[r] >= w]
+        near = np.flatnonzero(maybe[h >> np.uint64(42)])
+        near = near[every[np.minimum(np.searchsorted(every, h[near]), len(every) - 1)] == h[near]]
+        mark, seed = np.zeros(len(words), bool), np.zeros(len(words), np.uint64)
+        mark[at[near]], seed[at[near]] = True, h[near]
+        sizes = [x for x in self.sizes if x[2] == w]
         # only rows with as many seeds as the least demanding size needs are looked at again
-        least = min((seeds_needed(size[0], size[1]) for size in self.sizes), default=1)
-        likely = np.bincount(row[seed >= 0], minlength=s.n) >= least
-        inside = likely[row]
-        words, row, seed = words[inside], row[inside], seed[inside]
+        likely = np.flatnonzero((np.bincount(row[mark], minlength=n_rows) >= min(seeds_needed(x[0], x[1], w) for x in sizes))[row])
+        words, row, mark, seed = words[likely], row[likely], mark[likely], seed[likely]
         found = []
-        ends = np.cumsum(np.bincount(row, minlength=s.n))
-        places = np.flatnonzero(seed >= 0)
-        for j, (n, k, n_walks, ids, items, table, order) in enumerate(self.sizes if len(places) else ()):
-            seen = places[self.of_size[j, seed[places]]]
+        ends = np.cumsum(np.bincount(row, minlength=n_rows))
+        places = np.flatnonzero(mark)
+        for n, k, _, own, n_walks, ids, items, table, order in sizes if len(places) else ():
+            seen = places[own[np.minimum(np.searchsorted(own, seed[places]), len(own) - 1)] == seed[places]]
             if not len(seen):
                 continue
             hit = np.zeros(len(words) + 1, np.int64)
             hit[seen + 1] = 1
             run = np.cumsum(hit)
-            need = seeds_needed(n, k)
+            need = seeds_needed(n, k, w)
             # a window that counts begins less than n words before a seed
-            p = np.unique(np.maximum(seen[:, None] - np.arange(n), 0))
-            p = p[p <= len(words) - n]
-            p = p[(row[p] == row[p + n - 1]) & (run[p + n - SEED_WORDS + 1] - run[p] >= need)]
+            near = np.zeros(len(words) + 1, np.int64)
+            np.add.at(near, np.maximum(seen - n + 1, 0), 1)
+            np.add.at(near, seen + 1, -1)
+            p = np.flatnonzero(np.cumsum(near)[: max(0, len(words) - n + 1)])
+            p = p[(row[p] == row[p + n - 1]) & (run[p + n - w + 1] - run[p] >= need)]
             begin, length, front = self._edges(np.unique(row[seen]), ends, n, k)
             # seeds lie wholly inside the window
-            good = run[np.maximum(begin + length - SEED_WORDS + 1, begin)] - run[begin] >= need
+            good = run[np.maximum(begin + length - w + 1, begin)] - run[begin] >= need
             begin, length, front = (np.concatenate([x, y[good]]) for x, y in zip((p, np.full(len(p), n), np.zeros(len(p), np.int64)), (begin, length, front), strict=True))
-            for lo in range(0, len(begin), 20_000):
-                found.append(self._match(*(x[lo : lo + 20_000] for x in (begin, length, front)), n, k, n_walks, ids, items, table, order, words))
-        if not found:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        start, item, edits, size = (np.concatenate(c) for c in zip(*found, strict=True))
-        first = np.searchsorted(row, row[start])
-        order = np.lexsort((start, edits, item, row[start]))
-        r, i = row[start][order], item[order]
-        best = order[np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
-        return row[start[best]] + s.first, item[best], edits[best], (start - first)[best], size[best]
+            step = max(1, AT_ONCE // max(n, PER_WALK * max(1, n_walks)))
+            for lo in range(0, len(begin), step):
+                p, item, edits, size = self._match(*(x[lo : lo + step] for x in (begin, length, front)), n, k, n_walks, ids, items, table, order, words)
+                found.append((likely[p], item, edits, size))
+        return found
 
     @staticmethod
     def _edges(rows: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,31 +235,30 @@ class Items:
     def _match(p, length, front, n, k, n_walks, ids, items, table, order, words):
         at = np.arange(n) - front[:, None]
         windows = np.where((at >= 0) & (at < length[:, None]), words[np.clip(p[:, None] + at, 0, len(words) - 1)], LACKING)
-        own = keys(windows, n_walks)
-        pairs = []
-        for t in range(own.shape[1]):
-            a, b = np.searchsorted(table[:, t], own[:, t], "left"), np.searchsorted(table[:, t], own[:, t], "right")
-            for j in range(int((b - a).max(initial=0))):
-                w = np.flatnonzero(a + j < b)
-                pairs.append(w * len(items) + order[a[w] + j, t])
+        pairs = [] if n_walks else [np.arange(len(windows) * len(items))]
+        for x in range(n_walks):
+            own = keys_of(windows, x)
+            for t in range(PER_WALK):
+                column, by = table[:, x * PER_WALK + t], order[:, x * PER_WALK + t]
+                a, b = np.searchsorted(column, own[:, t], "left"), np.searchsorted(column, own[:, t], "right")
+                for j in range(int((b - a).max(initial=0))):
+                    w = np.flatnonzero(a + j < b)
+                    pairs.append(w * len(items) + by[a[w] + j])
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         w, i = pairs // len(items), pairs % len(items)
         # the words that are there, from the left
         there = lambda x: words[np.minimum(p[x][:, None] + np.arange(n), len(words) - 1)]
-        d = np.concatenate([distances(there(w[x : x + 20_000]), items[i[x : x + 20_000]], length[w[x : x + 20_000]]) for x in range(0, len(w), 20_000)]) if len(w) else np.zeros(0, np.int32)
+        step = max(1, AT_ONCE // n)
+        d = np.concatenate([distances(there(w[x : x + step]), items[i[x : x + step]], length[w[x : x + step]]) for x in range(0, len(w), step)]) if len(w) else np.zeros(0, np.int32)
         good = d <= k
         return p[w[good]], ids[i[good]], d[good].astype(np.int64), np.full(int(good.sum()), n)
 
 
-def _words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their rows; hashes of seeds and the word each begins with."""
+def _words(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and their rows."""
     s = Slice(s.first, FOLD[s.buf], s.offs)
     start, end, row = s.spans()
-    words = s.hashes(start, end)
-    count = np.bincount(row, minlength=s.n)
-    inside = np.flatnonzero(row[: max(0, len(row) - SEED_WORDS + 1)] == row[SEED_WORDS - 1 :]) if len(row) >= SEED_WORDS else np.zeros(0, np.int64)
-    h, r = shingles(words, row, s.n, SEED_WORDS)
-    return words, row, h[count[r] >= SEED_WORDS], inside
+    return s.hashes(start, end), row
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[Items]:
@@ -258,17 +279,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 
     Words are runs of characters other than white space and ASCII marks, in lower case. A row holds an item if some
     window of as many words, or a shorter one at an edge of the text, is within allowed() edits of it; the nearest window is reported, of equally near ones
-    the first. Every window of every text that shares enough SEED_WORDS-word seeds with the items (a bound that no
-    window within the distance can miss) is embedded, its keys are looked up, and the pairs that meet are verified
-    exactly. Items are searched in bounded blocks against all rows; rows are never shuffled.
+    the first. Every window of every text that shares enough seeds with the items (runs of up to SEED_WORDS words, by
+    a bound that no window within the distance can miss) is embedded, its keys are looked up, and the pairs that
+    meet are verified exactly. Items are searched in bounded blocks against all rows; rows are never shuffled.
 
-    Null and empty texts hold nothing, items of under SEED_WORDS words or null ones are held by nothing; repeated
+    Null and empty texts hold nothing, and items without words are held by nothing; repeated
     rows and items are each reported; other columns are ignored; empty tables give no rows.
     """
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"{key} {kinds[0]}, {item_key} {kinds[1]}, n_edits long, n_item_words long, first_word long"
     item_type = items.select(item_key).schema[0].dataType
-    out = None
+    parts = []
     for block in _blocks(items, item_key, text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -282,9 +303,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
                     if len(row):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([index.ids[i] for i in item], kind), pa.array(edits), pa.array(size.astype(np.int64)), pa.array(first.astype(np.int64))], names=[key, item_key, "n_edits", "n_item_words", "first_word"])
 
-        found = docs.select(key, text).mapInArrow(scan, schema)
-        out = found if out is None else keep(out).union(keep(found))
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        parts.append(docs.select(key, text).mapInArrow(scan, schema))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    # with several blocks each one's pairs are written, so that no task holds more than one block
+    return reduce(DataFrame.union, map(keep, parts)) if len(parts) > 1 else parts[0]
 
 
 def clean(docs: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text") -> DataFrame:
