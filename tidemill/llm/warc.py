@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +22,10 @@ ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
-#: Most records in one archive file.
-PER_FILE = 4096
+#: Most records in one archive file; a page of more than LARGE bytes has a file of its own. So a file holds at most PER_FILE * LARGE bytes, or one page.
+PER_FILE, LARGE = 1024, 1 << 18
+#: Bytes of an archive that are unpacked at once.
+PIECE = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -31,11 +35,71 @@ class ArcRecord:
 
     fields: dict[str, str]
     content: bytes
+    opening: bool = False
+
+
+class Source:
+    """The bytes of an archive in order; gzipped members, one behind the other, are unpacked piece by piece."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.done = memoryview(data), 0, bytearray(), 0
+        self.packed, self.member = bytes(data[:2]) == b"\x1f\x8b", None
+
+    def _more(self) -> bool:
+        piece = self.data[self.at : self.at + PIECE]
+        if not len(piece):
+            return False
+        if not self.packed:
+            self.held += piece
+            self.at += len(piece)
+            return True
+        if self.member is None:
+            if bytes(piece[:2]) != b"\x1f\x8b":
+                return False
+            self.member = zlib.decompressobj(31)
+        self.held += self.member.decompress(piece)
+        self.at += len(piece) - len(self.member.unused_data)
+        if self.member.eof:
+            self.member = None
+        return True
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or what is left."""
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.done += len(out)
+        return out
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before the next mark, which is passed over; None at the end."""
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self._more():
+                return None
+        out = self.take(at)
+        self.take(len(mark))
+        return out
+
+    def past(self, characters: bytes) -> bool:
+        """Whether anything is left once all of these characters that come next are passed over."""
+        while self.held or self._more():
+            if self.held and self.held[0] not in characters:
+                return True
+            del self.held[:1]
+        return False
+
+
+def arc_value(value: str | None) -> str:
+    """A header field: '-' if absent; white space and control characters, which part fields and lines, are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: quote(m[0]), value or "-")
 
 
 def arc_header(version: int, values: dict[str, str]) -> bytes:
-    """A header line; absent values are '-', and spaces, which part the fields, are percent-encoded."""
-    return (" ".join((values.get(f) or "-").replace(" ", "%20") for f in ARC_FIELDS[version]) + "\n").encode()
+    """A header line of arc_value()s."""
+    return (" ".join(arc_value(values.get(f)) for f in ARC_FIELDS[version]) + "\n").encode("utf-8", "replace")
 
 
 def arc_start(version: int, name: str, date: str) -> bytes:
@@ -45,34 +109,30 @@ def arc_start(version: int, name: str, date: str) -> bytes:
 
 
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC archive, the version block first, which names the fields of the others.
+    """Records of an ARC archive, plain or gzipped, the version block first, which names the fields of the others.
 
-    Header lines are split into as many fields as the version has; the declared length says where a record ends.
-    A content type may hold spaces, so what is over the number of fields belongs to it.
+    Only the first record can be the version block, whatever the URLs of others are. Header lines are split into as
+    many fields as the version has; the declared length says where a record ends. A content type may hold spaces,
+    so what is over the number of fields belongs to it.
     """
-    at, fields = 0, ARC_FIELDS[1]
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
-            continue
-        end = data.index(b"\n", at)
-        parts = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        opening = parts[0].startswith("filedesc:")
+    source, fields, first = Source(data), ARC_FIELDS[1], True
+    while source.past(b"\r\n"):
+        where, line = source.done, source.until(b"\n")
+        if line is None:
+            raise ValueError(f"ARC header at byte {where} is cut short")
+        parts = line.decode("utf-8", "replace").rstrip("\r").split(" ")
+        opening = first and parts[0].startswith("filedesc:")
+        length = int(parts[-1])
+        content = source.take(length)
+        if len(content) < length:
+            raise ValueError(f"ARC record at byte {where} is cut short")
         if opening:  # its own header has the fields of its version, which only the block itself tells
-            length = int(parts[-1])
-            block = data[end + 1 : end + 1 + length]
-            first = block.split(b"\n", 1)[0].split()
-            fields = ARC_FIELDS[int(first[0])]
-        over = len(parts) - len(fields)
+            fields = ARC_FIELDS[int(content.split(b"\n", 1)[0].split()[0])]
+        over, first = len(parts) - len(fields), False
         if over < 0:
-            raise ValueError(f"ARC header with {len(parts)} of {len(fields)} fields at byte {at}")
+            raise ValueError(f"ARC header with {len(parts)} of {len(fields)} fields at byte {where}")
         parts[3 : 4 + over] = [" ".join(parts[3 : 4 + over])]
-        found = dict(zip(fields, parts, strict=True))
-        length = int(found["Archive-length"])
-        if end + 1 + length > len(data):
-            raise ValueError(f"ARC record at byte {at} is cut short")
-        yield ArcRecord(found, data[end + 1 : end + 1 + length])
-        at = end + 1 + length
+        yield ArcRecord(dict(zip(fields, parts, strict=True)), content, opening)
 
 
 def digest(payload: bytes) -> str:
@@ -113,7 +173,7 @@ def convert(record: ArcRecord, salt: str = "", revisit: tuple[str, str] | None =
     d = f["Archive-date"].ljust(14, "0")[:14]
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     url = f["URL"]
-    if url.startswith("filedesc:"):
+    if record.opening:
         body = f"software: tidemill\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC {record.content.split(maxsplit=1)[0].decode()}\r\n".encode()
         return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(url, date, "info")), ("WARC-Date", date), ("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")], body)
     head, payload = _http(record.content)
@@ -131,72 +191,79 @@ def convert(record: ArcRecord, salt: str = "", revisit: tuple[str, str] | None =
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and content of each record, by declared lengths; members may be gzipped."""
-    if data[:2] == b"\x1f\x8b":
-        plain = bytearray()
-        while data[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            plain += z.decompress(data)
-            data = z.unused_data
-        data = bytes(plain)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+    """Headers (names in lower case) and content of each record, by declared lengths, one at a time; members may be gzipped."""
+    source = Source(data)
+    while source.past(b"\r\n"):
+        where, head = source.done, source.until(b"\r\n\r\n")
+        first, *lines = (head or b"").decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {where}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(headers["content-length"])
-        content = data[end + 4 : end + 4 + length]
-        if len(content) < length:
-            raise ValueError(f"WARC record at byte {at} is cut short")
+        content = source.take(int(headers["content-length"]))
+        if len(content) < int(headers["content-length"]):
+            raise ValueError(f"WARC record at byte {where} is cut short")
         yield headers, content
-        at = end + 4 + length
-        while data[at : at + 2] == b"\r\n":
-            at += 2
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "20240101000000") -> str:
     """Convert pages, as ARC records of both versions, into WARC archives in a new shared folder; its path.
 
     Of pages with equal payloads of at least `least` bytes, those of the smallest key are responses and the others
-    revisits of them; smaller ones are all responses. Files hold at most PER_FILE records, written by Spark's text
-    writer with the blank lines that close a record as its line end, and compressed.
+    revisits of them; smaller ones are all responses. Null URLs are urn:none, null payloads empty; a null key is
+    larger than any other. Files are written by Spark's text writer with the blank lines that close a record as its
+    line end, and compressed; each begins with the warcinfo record of the archives that it was made from, and holds
+    at most PER_FILE records, or one page of over LARGE bytes.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("urn:none")).alias("url"), body.alias("body")).withColumn("sha", F.sha1("body"))
     many = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sha", "first")
     joined = rows.join(many, "sha", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")) & (F.octet_length("body") >= least))
     flat = joined.select(F.col("id").cast("string").alias("id"), "url", "body", "again", F.col("first.id").cast("string").alias("first_id"), F.col("first.url").alias("first_url"))
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                out = [b for row in batch.slice(lo, 256).to_pylist() for b in _page(row, date)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
     path = fresh_path(pages.sparkSession, "warc")
-    text = flat.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+
+    def written(some: DataFrame, per_file: int) -> None:
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 64):
+                    out = []
+                    for record in _converted(batch.slice(lo, 64).to_pylist(), date):
+                        if n % per_file == 0:
+                            out.append(convert(next(read_arc(arc_start(1, "pages.arc", date)))))
+                            n += 1
+                        out.append(record)
+                        n += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+        text = some.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value"))
+        text.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+    long = F.octet_length("body") > LARGE
+    written(flat.where(~long), PER_FILE)
+    if not pages.where(F.octet_length(F.col(html)) > LARGE).isEmpty():
+        written(flat.where(long), 2)
     return path
 
 
-def _page(row: dict, date: str) -> Iterator[bytes]:
-    """One page as an ARC archive of its own, versions by turns, converted."""
-    version = 1 + zlib.crc32(str(row["id"]).encode()) % 2
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if row['id'] is None else row['id']}\r\n\r\n".encode()
-    content = head + row["body"]
-    values = {"URL": row["url"], "IP-address": "192.0.2.1", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": hashlib.md5(content).hexdigest(), "Offset": "0", "Filename": "pages.arc", "Archive-length": str(len(content))}
-    legacy = arc_start(version, "pages.arc", date) + arc_header(version, values) + content + b"\n"
-    for record in read_arc(legacy):
-        if record.fields["URL"].startswith("filedesc:"):
-            continue
-        revisit = None
-        if row["again"]:
-            first = row["first_url"].replace(" ", "%20")
-            iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-            revisit = record_id(first, iso, f"{row['first_id']} {digest(row['body'])}"), first
-        yield convert(record, str(row["id"]), revisit)
+def _converted(pages: list[dict], date: str) -> Iterator[bytes]:
+    """Some pages laid down as ARC archives, one of each version, and read from there into WARC records."""
+    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    for version in ARC_FIELDS:
+        mine = [row for row in pages if 1 + zlib.crc32(str(row["id"]).encode()) % 2 == version]
+        legacy = [arc_start(version, "pages.arc", date)]
+        for row in mine:
+            page = "" if row["id"] is None else quote(row["id"], safe="")
+            content = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\n\r\n".encode() + row["body"]
+            values = {"URL": row["url"], "IP-address": "192.0.2.1", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Checksum": hashlib.md5(content).hexdigest(), "Offset": str(sum(map(len, legacy))), "Filename": "pages.arc", "Archive-length": str(len(content))}
+            legacy += [arc_header(version, values), content, b"\n"]
+        records = read_arc(b"".join(legacy))
+        next(records)  # the version block
+        for row, record in zip(mine, records, strict=True):
+            revisit = None
+            if row["again"]:
+                first = arc_value(row["first_url"])
+                revisit = record_id(first, iso, f"{row['first_id']} {digest(row['body'])}"), first
+            yield convert(record, str(row["id"]), revisit)
 
 
 def load(spark, path: str) -> DataFrame:
@@ -210,11 +277,11 @@ def load(spark, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for h, content in read_warc(data.as_py()):
+                for h, content in read_warc(memoryview(data.as_buffer())):
                     if h["warc-type"] == "warcinfo":
                         continue
                     head, payload = _http(content)
-                    page = next((x.split(b":", 1)[1].strip().decode() for x in head.split(b"\r\n") if x.startswith(b"X-Page-Id:")), "")
+                    page = next((unquote(x.split(b":", 1)[1].strip().decode()) for x in head.split(b"\r\n") if x.startswith(b"X-Page-Id:")), "")
                     full = h["warc-type"] != "revisit"
                     rows.append((h["warc-record-id"], h["warc-type"], page or None, h.get("warc-refers-to"), len(payload) if full else None, digest(payload) if full else h["warc-payload-digest"].removeprefix("sha1:")))
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
