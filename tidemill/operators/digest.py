@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import dedupe
 
 #: section: order, multiplier, keywords with weights. Our own vocabulary, from frequent words of the bound tables.
 SECTIONS = {"alpha": (1, 1.0, {"thing": 3.0, "tion": 1.0, "erth": 2.0}), "beta": (2, 1.2, {"nder": 3.0, "thble": 2.0, "onha": 1.0}), "gamma": (3, 0.9, {"for": 1.0, "with": 1.5, "attion": 3.0})}
@@ -48,36 +48,52 @@ def scored(items: DataFrame) -> DataFrame:
     return out.select(*items.columns, F.round("_b.score", 6).alias("score"), F.when(F.col("_b.score") > 0, F.col("_b.section")).alias("section_id"), reason.alias("reject_reason"))
 
 
-def ranked(items: DataFrame) -> DataFrame:
-    """Place by score, then date, both falling; ties by id."""
-    return items.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("published"), "doc_id")))
+def ranked(items: DataFrame, score: str = "score", at: str = "published", key: str = "doc_id") -> DataFrame:
+    """Place by score, then date, both falling, undated last; ties by key.
 
-
-def capped(items: DataFrame, per_source: int = 4, per_section: int = 6, total: int = 24) -> DataFrame:
-    """The ranked list with quotas by source, section and in all; who is refused by one quota uses up none.
-
-    No source can have an item kept that is not among its best of a section, so before the fold each source and
-    section is cut to its quota, and each section to what its quota could ever reach: what is folded is bounded by
-    the number of sections and sources, not of items.
+    A place is the number of items with a higher score, those of the same score and a later day, and the row's number
+    among those of its score and day. So only the totals of distinct scores pass through one task.
     """
-    w = Window.partitionBy("source_id", "section_id").orderBy("place")
-    near = ranked(items).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= min(per_source, per_section)).drop("_n")
-    # the quotas decide from top to bottom: a fold over (place, source, section)
-    line = near.agg(F.array_sort(F.collect_list(F.struct("place", "source_id", "section_id", "doc_id"))).alias("line"))
-    zero = F.array().cast("array<struct<place:int,source_id:string,section_id:string,doc_id:bigint>>")
-
-    def step(kept, x):
+    order = [F.desc_nulls_last(at), F.col(key)]
+    day = F.to_date(at)
+    x = items.withColumns({"_score": F.col(score), "_day": day})
+    days = x.groupBy("_score", "_day").agg(F.count(F.lit(1)).alias("n"))
+    scores = days.groupBy("_score").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = scores.select(F.col("_score").alias("_s"), before(Window.orderBy(F.desc("_score"))).alias("_above"))
+    later = days.select(F.col("_score").alias("_s2"), F.col("_day").alias("_d"), before(Window.partitionBy("_score").orderBy(F.desc_nulls_last("_day"))).alias("_later"))
+    start = later.join(above, F.col("_s2").eqNullSafe(F.col("_s"))).select("_s2", "_d", (F.col("_above") + F.col("_later")).alias("_start"))
+    inside = x.withColumn("_i", F.row_number().over(Window.partitionBy("_score", "_day").orderBy(*order)))
+    j = inside.join(start, F.col("_score").eqNullSafe(F.col("_s2")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return j.select(*items.columns, (F.col("_start") + F.col("_i")).cast("int").alias("place"))
+
+
+def capped(items: DataFrame, per_source: int = 4, per_section: int = 6, total: int = 24, section: str = "section_id") -> DataFrame:
+    """Place, doc_id, source_id and section (or tier) of what the quotas by source, by section and in all let through.
+
+    In order of score and date; who is refused by one quota uses up none. No source can have an item kept that is not
+    among its best of a section, so each source and section is cut to its quota first: what the fold sees is bounded
+    by the number of sections and sources, not of items.
+    """
+    best = Window.partitionBy("source_id", section).orderBy(F.desc("score"), F.desc_nulls_last("published"), "doc_id")
+    near = items.select("doc_id", "source_id", section, "score", "published").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= min(per_source, per_section))
+    # falling score and date in an array that is sorted upwards
+    rank = F.struct((-F.col("score")).alias("s"), F.coalesce(-F.unix_micros(F.col("published").cast("timestamp")), F.lit(2**62)).alias("d"), F.col("doc_id").alias("i"), "source_id", F.col(section).alias("section"))
+    line = near.agg(F.array_sort(F.collect_list(rank)).alias("line"))
+    zero = F.array().cast("array<struct<doc_id:bigint,source_id:string,section:string>>")
+
+    def step(kept: Column, x: Column) -> Column:
         same = lambda f: F.size(F.filter(kept, lambda k: k[f] == x[f]))
-        free = (F.size(kept) < total) & (same("source_id") < per_source) & (same("section_id") < per_section)
-        return F.when(free, F.array_append(kept, x)).otherwise(kept)
+        free = (F.size(kept) < total) & (same("source_id") < per_source) & (same("section") < per_section)
+        return F.when(free, F.array_append(kept, F.struct(x["i"].alias("doc_id"), x["source_id"].alias("source_id"), x["section"].alias("section")))).otherwise(kept)
 
-    kept = line.select(F.inline(F.aggregate("line", zero, step)))
-    return near.join(F.broadcast(kept.select("doc_id")), "doc_id")
+    kept = line.select(F.posexplode(F.aggregate("line", zero, step)).alias("at", "x"))
+    return kept.select((F.col("at") + 1).alias("place"), "x.doc_id", "x.source_id", F.col("x.section").alias(section))
 
 
 def keys(items: DataFrame) -> DataFrame:
-    """Url-like and title keys."""
-    return items.withColumn("text_key", X.key("u:", F.col("summary"))).withColumn("title_key", X.key("t:", F.array_join(X.stems(F.col("title")), " ")))
+    """Keys of the text, which stands for the link, and of the title in comparable form."""
+    return items.withColumn("text_key", X.key("u:", F.col("summary"))).withColumn("title_key", X.key("t:", X.flat(F.col("title"))))
 
 
 def exact_groups(items: DataFrame) -> DataFrame:
@@ -86,69 +102,34 @@ def exact_groups(items: DataFrame) -> DataFrame:
     return k.groupBy("text_key").agg(F.count(F.lit(1)).alias("items"), F.min("doc_id").alias("first_id"))
 
 
-def near_pairs(items: DataFrame, threshold: float = 0.62) -> DataFrame:
-    """Pairs of titles whose stems have a Jaccard similarity of threshold or more and whose periods agree.
+def _sets(items: DataFrame) -> DataFrame:
+    return items.select(F.col("doc_id").alias("id"), X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p"), F.lit(None).cast("string").alias("g"))
 
-    A prefix filter over an inverted index: sets that are so similar share one of their rarest stems.
-    """
-    one = items.select("doc_id", X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p")).where("size(s) > 0")
-    exploded = one.select("doc_id", F.explode("s").alias("e"))
-    freq = exploded.groupBy("e").agg(F.count(F.lit(1)).alias("f"))
-    order = exploded.join(freq, "e").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "e"))).join(one.select("doc_id", F.size("s").alias("n")), "doc_id")
-    prefix = order.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("e", "doc_id", "n")
-    a, b = (prefix.select("e", F.col("doc_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    cand = a.join(b, "e").where(F.expr(f"id_a < id_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")).select("id_a", "id_b").distinct()
-    x, y = (one.select(F.col("doc_id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}"), F.col("p").alias(f"p_{c}")) for c in "ab")
-    j = cand.join(x, "id_a").join(y, "id_b")
-    sim = F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))
-    agree = (F.size("p_a") == 0) | (F.size("p_b") == 0) | F.arrays_overlap("p_a", "p_b")
-    return j.select("id_a", "id_b", F.round(sim, 6).alias("similarity")).where((sim >= threshold) & agree)
+
+def title_classes(items: DataFrame) -> DataFrame:
+    """doc_id, class_id: titles with the same stems and periods are one class, named by its smallest id; titles without stems are in none."""
+    kinds = dedupe.kinds_of(_sets(items))
+    head = kinds.groupBy("kind").agg(F.min("id").alias("class_id"))
+    return kinds.join(head, "kind").select(F.col("id").alias("doc_id"), "class_id")
+
+
+def near_pairs(items: DataFrame, threshold: float = 0.62) -> DataFrame:
+    """id_a, id_b, similarity: pairs of title_classes() whose stems have a Jaccard similarity of threshold or more and whose periods agree."""
+    sets = _sets(items)
+    head = dedupe.kinds_of(sets).groupBy("kind").agg(F.min("id").alias("id"))
+    pairs = dedupe.similar_pairs(sets, threshold)
+    for c in "ab":
+        pairs = pairs.join(head.select(F.col("kind").alias(f"k_{c}"), F.col("id").alias(f"i_{c}")), f"k_{c}")
+    return pairs.select(F.least("i_a", "i_b").alias("id_a"), F.greatest("i_a", "i_b").alias("id_b"), "similarity")
 
 
 def greedy(items: DataFrame, threshold: float = 0.62) -> DataFrame:
-    """The ordered greedy removal of near-duplicates, exactly, run apart in each connected group of possible matches.
+    """doc_id, slot, duplicates of the items that stay when each, from the best down, joins the first kept one with its text, its title, or a similar title.
 
-    In order of place, an item is absorbed by the first kept one with its text, its title, or a similar title; the
-    better of both stays in that slot. Items without any possible match never meet a fold.
+    Items are taken in the order of ranked(), as a brief does, so the first of a slot is its best.
     """
-    from pyspark.sql import types as T
-
-    k = keys(ranked(items)).select("doc_id", "place", "score", "text_key", "title_key", X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p"))
-    star = [k.select(F.col(c).alias("k"), "doc_id").join(k.groupBy(F.col(c).alias("k")).agg(F.min("doc_id").alias("m")), "k").select(F.col("m").alias("a"), F.col("doc_id").alias("b")).where("a != b") for c in ("text_key", "title_key")]
-    edges = near_pairs(items, threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(star[0]).union(star[1])
-    comp = groups(edges)
-    j = k.join(comp, k.doc_id == comp.node, "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    single = j.where("node is null").select("doc_id", F.col("doc_id").alias("slot"), F.lit(1).alias("duplicates"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("duplicates", T.IntegerType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values("place").to_dict("records"):
-            mine, marks = set(r["s"]), set(r["p"])
-            for slot in kept:
-                both, either = mine & slot["s"], mine | slot["s"]
-                alike = either and len(both) >= threshold * len(either) - 1e-12 and not (marks and slot["p"] and not marks & slot["p"])
-                if r["text_key"] == slot["text_key"] or r["title_key"] == slot["title_key"] or alike:
-                    slot["duplicates"] += 1
-                    break
-            else:
-                kept.append({"doc_id": r["doc_id"], "slot": r["doc_id"], "s": mine, "p": marks, "text_key": r["text_key"], "title_key": r["title_key"], "duplicates": 1})
-        return pd.DataFrame([{f: x[f] for f in ("doc_id", "slot", "duplicates")} for x in kept])
-
-    many = j.where("node is not null").groupBy("comp").applyInPandas(fold, schema)
-    return single.unionByName(many)
-
-
-def groups(edges: DataFrame) -> DataFrame:
-    """node, comp: connected groups by the smallest label, with a step through labels in each round."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")).cache()
-        if low.where("old != comp").isEmpty():
-            return low.select("node", "comp")
-        labels = low.select("node", "comp")
+    k = keys(ranked(items)).select(F.col("doc_id").alias("id"), "place", F.col("text_key").alias("key_a"), F.col("title_key").alias("key_b"), X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p"), F.lit(None).cast("string").alias("g"))
+    return dedupe.greedy(k, threshold).withColumnRenamed("id", "doc_id")
 
 
 def unseen(items: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -157,13 +138,48 @@ def unseen(items: DataFrame, ledger: DataFrame) -> DataFrame:
     return k.join(ledger.select("text_key").distinct(), "text_key", "left_anti").join(ledger.select("title_key").distinct(), "title_key", "left_anti")
 
 
+def marked(ledger: DataFrame, published: DataFrame, now: Column) -> DataFrame:
+    """The ledger with a row for each key of what was published: only that counts as seen, from now on, and its first stamp stays."""
+    new = keys(published).select(F.explode(F.array("text_key", "title_key")).alias("key"), now.alias("seen_at"))
+    return ledger.select("key", "seen_at").unionByName(new).groupBy("key").agg(F.min("seen_at").alias("seen_at"))
+
+
 def pruned(ledger: DataFrame, now: Column, days: int = 14) -> DataFrame:
     """The ledger without entries that are too old or have no readable stamp."""
     return ledger.where(F.col("seen_at") >= now - F.expr(f"interval {days} days"))
 
 
-def counters(items: DataFrame, now: Column, hours: int) -> DataFrame:
-    """How many items each step of the brief keeps."""
+def saved(ledger: DataFrame, folder: str, version: int) -> str:
+    """The ledger written as a new snapshot below folder, whole or not at all; readers go by latest()."""
+    path = f"{folder}/seen-{version:012d}"
+    ledger.write.parquet(path)
+    return path
+
+
+def latest(ledger_paths: list[str]) -> str | None:
+    """The newest snapshot whose writing was completed; ledger_paths are those of the folders that hold _SUCCESS."""
+    return max(ledger_paths, default=None)
+
+
+def failure_ratio(sources: DataFrame) -> DataFrame:
+    """Failed sources by those that were asked; skipped ones were not; nothing asked, nothing failed. sources: status ok, error or skipped."""
+    asked = F.count_if(F.col("status") != "skipped")
+    failed = F.count_if(F.col("status") == "error")
+    return sources.agg(F.count(F.lit(1)).alias("sources"), failed.alias("failed"), F.coalesce(F.round(F.try_divide(failed, asked), 6), F.lit(0.0)).alias("ratio"))
+
+
+def first_counters(items: DataFrame, now: Column, hours: int) -> DataFrame:
+    """Fetched, in_window, accepted."""
     w = scored(within(items, now, hours))
-    ok = F.col("reject_reason").isNull()
-    return items.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(w.agg(F.count(F.lit(1)).alias("in_window"), F.count_if(ok).alias("accepted"), F.count_distinct(F.when(ok, F.sha1("summary"))).alias("distinct_texts")))
+    return items.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(w.agg(F.count(F.lit(1)).alias("in_window"), F.count_if(F.col("reject_reason").isNull()).alias("accepted")))
+
+
+def counters(items: DataFrame, now: Column, hours: int, ledger: DataFrame | None = None) -> DataFrame:
+    """How many items each step of the brief keeps: first_counters(), then after_dedupe, unseen, published."""
+    ok = scored(within(items, now, hours)).where("reject_reason is null")
+    kept = dedupe.cut(ok.join(greedy(ok).select("doc_id"), "doc_id", "left_semi"))
+    fresh = unseen(kept, ledger) if ledger is not None else kept
+    out = first_counters(items, now, hours)
+    for df, name in ((kept, "after_dedupe"), (fresh, "unseen"), (capped(fresh), "published")):
+        out = out.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))  # single rows
+    return out
