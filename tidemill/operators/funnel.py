@@ -33,6 +33,12 @@ def community_metrics(orders: DataFrame, lineitem: DataFrame, audience: int = 10
     return day.select("campaign_id", F.lit("community").alias("channel"), F.to_date(F.date_trunc("month", "d")).alias("period"), "object", F.inline(kinds)).withColumn("support_status", F.lit("measured"))
 
 
+def effective_status(metric: DataFrame, support: DataFrame) -> DataFrame:
+    """a row's own support status if it has one, else what its channel and stage support."""
+    s = F.broadcast(support.select("channel", "stage", F.col("support_status").alias("_general")))
+    return metric.join(s, ["channel", "stage"]).withColumn("support_status", F.coalesce("support_status", "_general")).drop("_general")
+
+
 def policy(value: str = "value") -> F.Column:
     """Max or sum, as the grouping column aggregation says."""
     return F.when(F.col("aggregation") == "max", F.max(value)).otherwise(F.sum(value))

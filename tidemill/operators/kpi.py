@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: key, numerator stage, denominator stage.
-KPIS = [("delivery_rate", "delivered", "targeted"), ("open_rate", "opened", "targeted"), ("engagement_rate", "engaged", "opened"), ("completion_rate", "completed", "targeted"), ("click_to_open", "engaged", "opened"), ("finish_rate", "completed", "engaged")]
+#: key, numerator stage, denominator stage, channels that it is for (none: all); the published set (fixed values).
+KPIS = [
+    ("delivery_rate", "delivered", "targeted", None),
+    ("open_rate", "opened", "delivered", None),
+    ("engagement_rate", "engaged", "delivered", None),
+    ("click_to_open", "engaged", "opened", None),
+    ("completion_rate", "completed", "targeted", ["lms", "teams"]),
+    ("completion_of_starters", "completed", "opened", ["lms", "teams"]),
+    ("attendance_rate", "engaged", "opened", ["teams"]),
+    ("registration_rate", "opened", "targeted", ["teams"]),
+    ("stayed_to_end", "completed", "engaged", ["teams"]),
+    ("show_up_rate", "engaged", "targeted", ["teams"]),
+]
 #: Weights of the effectiveness index.
 WEIGHTS = [("delivery_rate", 0.15), ("open_rate", 0.35), ("engagement_rate", 0.35), ("completion_rate", 0.15)]
 
@@ -25,15 +36,21 @@ def rate(num: str, den: str, num_status: str, den_status: str, num_unit: str, de
     )
 
 
-def channel_kpis(funnel: DataFrame) -> DataFrame:
-    """Each KPI for each channel."""
-    spark = funnel.sparkSession
-    dim = F.broadcast(spark.createDataFrame(KPIS, "kpi string, num_stage string, den_stage string"))
-    f = funnel.select("channel", "stage", "value", "status", "unit")
-    num = f.select("channel", F.col("stage").alias("num_stage"), F.col("value").alias("num"), F.col("status").alias("num_status"), F.col("unit").alias("num_unit"))
-    den = f.select("channel", F.col("stage").alias("den_stage"), F.col("value").alias("den"), F.col("status").alias("den_status"), F.col("unit").alias("den_unit"))
-    j = num.join(dim, "num_stage").join(den, ["channel", "den_stage"])
-    r = j.select("channel", "kpi", "num", "den", rate("num", "den", "num_status", "den_status", "num_unit", "den_unit").alias("r"))
+def channel_kpis(funnel: DataFrame, open_basis: str = "delivered") -> DataFrame:
+    """Each KPI of KPIS for each channel that it is for; open_basis says what opened is measured against.
+
+    The funnel is read once: its stages become a map for each channel, from which every KPI takes its two.
+    """
+    stages = F.map_from_entries(F.collect_list(F.struct("stage", F.struct("value", "status", "unit"))))
+    wide = funnel.groupBy("channel").agg(stages.alias("m"))
+    every = []
+    for kpi, num, den, only in KPIS:
+        den = open_basis if kpi == "open_rate" else den
+        entry = F.struct(F.lit(kpi).alias("kpi"), F.try_element_at("m", F.lit(num)).alias("a"), F.try_element_at("m", F.lit(den)).alias("b"))
+        every.append(F.when(F.col("channel").isin(only), entry) if only else entry)
+    each = wide.select("channel", F.explode(F.array_compact(F.array(*every))).alias("k")).where("k.a is not null and k.b is not null")
+    flat = each.select("channel", "k.kpi", *(F.col(f"k.{s}.{c}").alias(f"{n}{x}") for s, n in (("a", "num"), ("b", "den")) for c, x in (("value", ""), ("status", "_status"), ("unit", "_unit"))))
+    r = flat.withColumn("r", rate("num", "den", "num_status", "den_status", "num_unit", "den_unit"))
     return r.select("channel", "kpi", "num", "den", F.round("r.value", 6).alias("value"), F.col("r.status").alias("status"))
 
 

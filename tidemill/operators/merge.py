@@ -14,10 +14,11 @@ STAMPS = ["targeted_at", "opened_at", "engaged_at", "completed_at"]
 def monotonic(existing: DataFrame, new: DataFrame, keys: list[str], highest: list[str], newest: list[str], batch: str = "batch_id") -> DataFrame:
     """True beats false beats unknown, earliest stamps, highest measures, newest known of the rest.
 
-    One commutative aggregation over both sides: order and repetition of loads do not matter.
+    One commutative aggregation over both sides: order and repetition of loads do not matter. Of several rows of one
+    batch the largest known value is the newest, so that every order of rows gives the same.
     """
     both = existing.unionByName(new, allowMissingColumns=True)
-    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(batch))).alias(c)
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(batch, c))).alias(c)
     return both.groupBy(*keys).agg(*(F.max(c).alias(c) for c in FLAGS), *(F.min(c).alias(c) for c in STAMPS), *(F.max(c).alias(c) for c in highest), *(known(c) for c in newest), F.max(batch).alias(batch))
 
 

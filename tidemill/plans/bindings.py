@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a temporary one, for one machine, where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per campaign, channel and person, from events: five nullable stage flags, stamps, measures."""
     e = table(spark, sf_dir, "events")

@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as X
-from ..operators import coverage, digest, funnel, kpi, merge, nlq
+from ..operators import coverage, digest, funnel, kpi, merge, nlq, views
 from ..streaming import flows
 from . import bindings as B
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query (spark, sf_dir) and, if given, its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query
 
 def _metric(s, d):
     own = funnel.stage_rollup(B.recipient(s, d), B.support(s))
@@ -43,8 +26,8 @@ def _funnel(s, d):
 
 FUN = f"""{B.MET}, {B.TOT}, fch as (select channel, stage, sum(value)::bigint as value, bool_or(support_status = 'measured') as m, bool_or(support_status = 'not_measured') as u, min(unit) as unit from tot group by all),
 fun as (select channel, sort_order, stage, ordinal, value, case when m then 'measured' when u then 'not_measured' else 'not_applicable' end as status, unit from fch join sup using (channel, stage) left join chn using (channel))"""
-KPI = FUN + ", kd(kpi, num_stage, den_stage) as (values " + ", ".join(str(k) for k in kpi.KPIS) + """),
-kk as (select a.channel, kpi, a.value as num, b.value as den, a.status as sa, b.status as sb, a.unit as ua, b.unit as ub from kd join fun a on a.stage = num_stage join fun b on b.stage = den_stage and a.channel = b.channel),
+KPI = FUN + ", kd(kpi, num_stage, den_stage, chs) as (values " + ", ".join(f"('{k}', '{n}', '{m}', {c or 'null'})" for k, n, m, c in kpi.KPIS) + """),
+kk as (select a.channel, kpi, a.value as num, b.value as den, a.status as sa, b.status as sb, a.unit as ua, b.unit as ub from kd join fun a on a.stage = num_stage join fun b on b.stage = den_stage and a.channel = b.channel where chs is null or list_contains(chs, a.channel)),
 kp as (select channel, kpi, num, den, case when 'not_applicable' in (sa, sb) then 'not_applicable' when 'not_measured' in (sa, sb) then 'not_measured' when ua <> ub then 'not_applicable' when num is null or den is null or den <= 0 then 'no_data' when den < 5 then 'suppressed' else 'ok' end as status from kk),
 kpis as (select channel, kpi, num, den, round(case when status = 'ok' then num / den end, 6) as value, status from kp)"""
 XCH = KPI + """, xch as (select kpi, sum(num) filter (ok)::bigint as num, sum(den) filter (ok)::bigint as den, coalesce(string_agg(channel, ', ' order by channel) filter (ok), '') as basis, coalesce(string_agg(channel, ', ' order by channel) filter (not ok), '') as excluded
@@ -179,7 +162,8 @@ query("coerce_duration", f"""with {_M}, t as (select *, lower(trim(x)) as t from
 query("coerce_date", f"with {_M}, t as (select *, trim(x) as t from m) select l_orderkey, l_linenumber, x, coalesce(case when try_cast(t as double) between 32000 and 55000 then date '1899-12-30' + try_cast(t as double)::int end, try_strptime(t, '%Y-%m-%d')::date, try_strptime(t, '%d/%m/%Y')::date)::date as v from t")(lambda s, d: _messy(s, d).withColumn("v", C.to_date(F.col("x"))))
 query("slug", "select c_custkey, trim(regexp_replace(lower(trim(c_name || ' / ' || c_mktsegment)), '[^a-z0-9]+', '-', 'g'), '-') as slug from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.slug(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("slug")))
 query("e164", "select c_custkey, '+91' || (7000000000 + c_custkey) as phone from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.e164(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("0"), (F.col("c_custkey") + 7000000000).cast("string"))).otherwise(F.concat(F.lit("+91 "), (F.col("c_custkey") + 7000000000).cast("string")))).alias("phone")))
-query("pseudonym")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.pseudonym(F.col("c_name"), b"salt").alias("alias")))
+_PADS = [bytes(b ^ x for b in b"salt".ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+query("pseudonym", f"select c_custkey, left(sha256(unhex('{_PADS[0]}') || unhex(sha256(unhex('{_PADS[1]}') || encode(c_name)))), 32) as alias from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.pseudonym(F.col("c_name"), b"salt").alias("alias")))
 query("alias_fold", "select c_custkey, case c_mktsegment when 'BUILDING' then 'Construction' when 'MACHINERY' then 'Industry' else c_mktsegment end as segment from customer")(lambda s, d: B.table(s, d, "customer").select("c_custkey", C.to_text(F.col("c_mktsegment"), {"building": "Construction", "MACHINERY": "Industry"}).alias("segment")))
 query("dwell_histogram", "select least(20, greatest(1, floor(value / 10) + 1))::bigint as bin, count(*) as n from events where value > 0 group by 1")(lambda s, d: B.table(s, d, "events").where("value > 0").groupBy(F.least(F.lit(20).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("value") / 10) + 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 query("score_deciles", "select round_even(value, -1)::double as decile, count(*) as n from events group by 1")(lambda s, d: B.table(s, d, "events").groupBy(F.bround("value", -1).alias("decile")).agg(F.count(F.lit(1)).alias("n")))
@@ -203,15 +187,18 @@ query("question_to_rows", f"with {B.SAL} select region, sum(leads)::bigint as le
 # texts
 query("page_title", "select page_id, " + "trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as title from pages")(lambda s, d: B.table(s, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title")))
 query("strip_html", "select page_id, trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br[^>]*>|</p>|</li>|</div>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as body from pages")(lambda s, d: B.table(s, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("body")))
-query("canonical_url", r"""with p as (select page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1) as sch, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) as host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from pages),
- k as (select *, list_filter(string_split(q, '&'), lambda a: a <> '' and split_part(a, '=', 1) not in (""" + _in(X.TRACKING) + r""")) as kept from p)
- select page_id, case when sch = '' then url else lower(sch) || '://' || regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as url from k""")(lambda s, d: B.table(s, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url")))
+query("canonical_url", r"""with p as (select page_id, url, string_split(url, '#')[1] as u from pages),
+ k as (select page_id, url, string_split(u, '://')[1] as sch, string_split(string_split(u, '://')[2], '?')[1] as hp, string_split(u, '?')[2:] as qs from p),
+ h as (select *, string_split(hp, '/')[1] as host, '/' || array_to_string(string_split(hp, '/')[2:], '/') as path, coalesce(string_split(array_to_string(qs, '?'), '&'), []) as parts from k),
+ t as (select *, list_filter(parts, lambda x: contains(x, '=') and not starts_with(x, '=') and split_part(x, '=', 2) <> '' and not regexp_matches(lower(x), '^(utm_|pk_|mc_|hsa_|ito_)') and not regexp_matches(lower(x), '^(""" + "|".join(X.TRACKING) + r""")=')) as kept from h)
+ select page_id, case when coalesce(hp, '') = '' or host = '' then url else lower(sch) || '://' || regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || coalesce(nullif(rtrim(path, '/'), ''), '/') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as url from t""")(lambda s, d: B.table(s, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url")))
 ART = r"art as (select doc_id, source as source_id, trim(left(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'), 160)) as title, text as summary, case when doc_id % 17 <> 0 then timestamp '2024-01-01 00:00:00' + to_minutes(doc_id) end as published from documents)"
 _art = lambda s, d: digest.articles(B.table(s, d, "documents"))
 query("truncate_summary", r"""with s as (select doc_id, text, left(text, 161) as h from documents), a as (select *, 161 - instr(reverse(h), ' ') as cut from s)
- select doc_id, case when length(text) > 160 then regexp_replace(case when instr(h, ' ') > 0 and cut > 96 then left(h, cut) else left(h, 160) end, '[ ,;:.\-]+$', '') || '…' else text end as summary from a""")(lambda s, d: B.table(s, d, "documents").select("doc_id", X.truncate(F.col("text")).alias("summary")))
-_TOK = "list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: (length(w) > 2 or regexp_matches(w, '[0-9]')) and w not in (" + _in(X.STOPWORDS) + "))"
-_STEM = "case " + " ".join(f"when ends_with(w, '{x}') and length(w) >= {len(x) + 4} then left(w, length(w) - {len(x)})" for x in X.SUFFIXES) + " else w end"
+ select doc_id, case when length(text) > 160 then regexp_replace(case when instr(h, ' ') > 0 and cut > 96 then left(h, cut) else left(h, 160) end, '[ ,;:.\-–—]+$', '') || '…' else text end as summary from a""")(lambda s, d: B.table(s, d, "documents").select("doc_id", X.truncate(F.col("text")).alias("summary")))
+_FLAT = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'), '[ \\t\\n\\r\\x{a0}]+', ' ', 'g'))"
+_TOK = f"list_filter(string_split({_FLAT}, ' '), lambda w: (length(w) > 2 or regexp_matches(w, '[0-9]')) and w not in (" + _in(X.STOPWORDS) + "))"
+_STEM = "case " + " ".join(f"when ends_with(w, '{x}') and length(w) >= {len(x) + X.LEAST_STEM} then left(w, length(w) - {len(x)})" for x in X.SUFFIXES) + " else w end"
 query("title_tokens", f"with {ART} select doc_id, array_to_string({_TOK}, ' ') as tokens from art")(lambda s, d: _art(s, d).select("doc_id", F.array_join(X.tokens(F.col("title")), " ").alias("tokens")))
 STM = f"{ART}, tok as (select doc_id, unnest({_TOK}) as w from art), stm as (select distinct doc_id, {_STEM} as e from tok)"
 query("title_stems", f"with {STM} select art.doc_id, coalesce(x.s, '') as stems from art left join (select doc_id, string_agg(e, ' ' order by e) as s from stm group by 1) x using (doc_id)")(lambda s, d: _art(s, d).select("doc_id", F.array_join(X.stems(F.col("title")), " ").alias("stems")))
@@ -235,16 +222,51 @@ query("ranking", f"with {SCO} select doc_id, row_number() over (order by score d
 query("ranked_caps")(lambda s, d: digest.capped(_ok(s, d)).select("doc_id", "place", "source_id", "section_id"))
 query("section_counts", f"with {SCO} select section_id, count(*) as n, round(max(score), 6) as top from sco where reject_reason is null group by 1")(lambda s, d: _ok(s, d).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top")))
 query("dedupe_exact_keys", "select 'u:' || left(sha1(text), 16) as text_key, count(*) as items, min(doc_id) as first_id from documents group by 1")(lambda s, d: digest.exact_groups(_art(s, d)))
-query("dedupe_near_pairs", f"""with {STM}, n as (select doc_id, count(*) as n from stm group by 1), i as (select a.doc_id as id_a, b.doc_id as id_b, count(*) as i from stm a join stm b on a.e = b.e and a.doc_id < b.doc_id group by 1, 2),
- per as (select doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: regexp_matches(w, '^(q[1-4]|h[12]|fy\\d{{2,4}}|cy\\d{{2,4}}|20\\d{{2}})$'))) as p from art)
- select id_a, id_b, round(i / (x.n + y.n - i), 6) as similarity from i join n x on x.doc_id = id_a join n y on y.doc_id = id_b join per pa on pa.doc_id = id_a join per pb on pb.doc_id = id_b
- where i / (x.n + y.n - i) >= 0.62 and (len(pa.p) = 0 or len(pb.p) = 0 or list_has_any(pa.p, pb.p))""")(lambda s, d: digest.near_pairs(_art(s, d)))
+_PER = f"per as (select doc_id, list_sort(list_distinct(list_filter(string_split({_FLAT}, ' '), lambda w: regexp_matches(w, '^(q[1-4]|h[12]|fy\\d{{2,4}}|cy\\d{{2,4}}|\\d{{4}})$')))) as p from art)"
+CLS = f"{STM}, {_PER}, ts as (select doc_id, list_sort(list(e)) as s from stm group by 1), cls as (select min(doc_id) as id, s, p from ts join per using (doc_id) group by s, p)"
+query("title_classes", f"with {CLS} select ts.doc_id, cls.id as class_id from ts join per using (doc_id) join cls on ts.s = cls.s and per.p = cls.p")(lambda s, d: digest.title_classes(_art(s, d)))
+query("dedupe_near_pairs", f"""with {CLS}, w as (select id, p, unnest(s) as e, len(s) as n from cls), i as (select a.id as id_a, b.id as id_b, any_value(a.n) as na, any_value(b.n) as nb, any_value(a.p) as pa, any_value(b.p) as pb, count(*) as i from w a join w b on a.e = b.e and a.id < b.id group by 1, 2)
+ select id_a, id_b, round(i / (na + nb - i), 6) as similarity from i where i / (na + nb - i) >= 0.62 and (len(pa) = 0 or len(pb) = 0 or list_has_any(pa, pb))""")(lambda s, d: digest.near_pairs(_art(s, d)))
 query("dedupe_greedy")(lambda s, d: digest.greedy(digest.scored(_art(s, d))))
-query("seen_filter", f"with {STM}, k as (select art.doc_id, sha1(summary) as u, coalesce(x.s, '') as t from art left join (select doc_id, string_agg(e, ' ' order by e) as s from stm group by 1) x using (doc_id)) select doc_id from k where doc_id % 3 <> 0 and u not in (select u from k where doc_id % 3 = 0) and t not in (select t from k where doc_id % 3 = 0)")(
+query("seen_filter", f"with {ART}, k as (select doc_id, sha1(summary) as u, {_FLAT} as t from art) select doc_id from k where doc_id % 3 <> 0 and u not in (select u from k where doc_id % 3 = 0) and t not in (select t from k where doc_id % 3 = 0)")(
     lambda s, d: digest.unseen(_art(s, d).where("doc_id % 3 != 0"), digest.keys(_art(s, d).where("doc_id % 3 = 0"))).select("doc_id")
 )
-query("pipeline_counters", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from sco), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
- select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted, count(distinct case when reject_reason is null then sha1(summary) end) as distinct_texts from i""")(lambda s, d: digest.counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26))
+query("seen_ledger", f"""with {ART}, k as (select doc_id, [case when doc_id % 3 = 0 then null else 'u:' || left(sha1(summary), 16) end, case when doc_id % 3 = 0 then null else 't:' || left(sha1({_FLAT}), 16) end] as ks, doc_id % 40 as age from art where doc_id % 3 <> 0),
+ l as (select unnest(ks) as key, timestamp '{NOW}' - to_days(age::int) as seen_at from k where doc_id % 3 = 1), n as (select unnest(ks) as key, timestamp '{NOW}' as seen_at from k where doc_id % 3 = 2),
+ m as (select key, min(seen_at) as seen_at from (select * from l union all select * from n) group by 1) select key, seen_at from m where seen_at >= timestamp '{NOW}' - interval 14 day""")(
+    lambda s, d: (lambda k, now: digest.pruned(digest.marked(k.where("doc_id % 3 = 1").select(F.explode(F.array("text_key", "title_key")).alias("key"), (now - F.expr("make_dt_interval(cast(doc_id % 40 as int))")).alias("seen_at")), _art(s, d).where("doc_id % 3 = 2"), now), now))(digest.keys(_art(s, d)), F.lit(NOW).cast("timestamp"))
+)
+query("pipeline_steps", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from sco), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
+ select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted from i""")(lambda s, d: digest.first_counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26))
+#: The later steps follow an ordered fold, which SQL does not express.
+query("pipeline_counters")(lambda s, d: digest.counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26))
+query("failure_ratio", "select count(*) as sources, count(*) filter (s_suppkey % 4 = 1) as failed, round(count(*) filter (s_suppkey % 4 = 1) / count(*) filter (s_suppkey % 4 <> 2), 6) as ratio from supplier")(
+    lambda s, d: digest.failure_ratio(B.table(s, d, "supplier").select(F.expr("case s_suppkey % 4 when 1 then 'error' when 2 then 'skipped' else 'ok' end").alias("status")))
+)
+
+# option lists, bounds and views
+query("filter_options", f"with {B.EMP}, {B.REC} select 'department' as kind, department as value from emp where department is not null group by 2 union all select 'region', region from emp where region is not null group by 2 union all select 'channel', channel from rec where channel is not null group by 2")(
+    lambda s, d: views.options(B.employee(s, d), ["department", "region"]).unionByName(views.options(B.recipient(s, d), ["channel"]))
+)
+query("segment_filter", f"with {WHO} select channel, count(*) as recipients, count(*) filter (opened) as opened from rec join res on recipient_key = id_key join emp using (employee_key) where department in ('BUILDING', 'MACHINERY') and grade_band = 'G2' group by 1")(
+    lambda s, d: views.in_segment(B.recipient(s, d), _resolved(s, d), B.employee(s, d), {"department": ["BUILDING", "MACHINERY"], "grade_band": ["G2"], "region": []}).groupBy("channel").agg(F.count(F.lit(1)).alias("recipients"), F.count_if("opened").alias("opened"))
+)
+query("date_bounds", f"with {B.MET} select min(period) as first, max(period) as last, count(*) as rows, (select max(o_orderkey) from orders) as version from met")(
+    lambda s, d: views.bounds(_metric(s, d), "period").crossJoin(B.table(s, d, "orders").agg(F.max("o_orderkey").alias("version")))
+)
+query("worst_covered", f"with {SEG} select segment, coverage_rate from seg order by coverage_rate, segment limit 3")(lambda s, d: views.lowest(coverage.by_segment(B.recipient(s, d), _resolved(s, d), B.employee(s, d)), "coverage_rate", "segment", 3).select("segment", "coverage_rate"))
+query("stuck_learners", f"with {B.REC} select channel, count(*) as n, round(max(score), 6) as furthest from rec where completed is distinct from true and score is not null group by 1")(
+    lambda s, d: views.stuck(B.recipient(s, d), "completed", "score").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("furthest"))
+)
+query("effectiveness_order", f"""with {KPI}, w(kpi, w) as (values {', '.join(map(str, kpi.WEIGHTS))}), h as (select channel, round_even(sum(w * value) / sum(w) * 100, 1)::double as effectiveness from kpis join w using (kpi) where status = 'ok' group by 1), a as (select channel, effectiveness from (select distinct channel from kpis) left join h using (channel))
+ select channel, effectiveness, row_number() over (order by effectiveness desc nulls last, channel)::int as place from a""")(lambda s, d: views.in_order(kpi.effectiveness(kpi.channel_kpis(_funnel(s, d))).drop("components"), "effectiveness", "channel"))
+query("status_override", f"with {B.REC}, {B.SUP}, m as (select channel, case when channel in ('email', 'lms') then 'opened' else 'completed' end as stage, case when channel = 'email' then 'not_measured' end as own from rec group by 1) select channel, stage, coalesce(own, support_status) as status from m join sup using (channel, stage)")(
+    lambda s, d: funnel.effective_status(B.recipient(s, d).select("channel").distinct().select("channel", F.when(F.col("channel").isin("email", "lms"), "opened").otherwise("completed").alias("stage"), F.when(F.col("channel") == "email", "not_measured").alias("support_status")), B.support(s)).select("channel", "stage", F.col("support_status").alias("status"))
+)
+query("ordered_funnel", f"with {FUN}, o as (select channel, stage, sort_order, ordinal from fun) select channel, stage, (row_number() over (order by sort_order, ordinal))::int as place from o")(
+    lambda s, d: views.numbered(_funnel(s, d), ["sort_order", "ordinal"]).select("channel", "stage", "place")
+)
+query("capped_tiers")(lambda s, d: digest.capped(_ok(s, d).withColumn("tier", F.when(F.col("score") >= 5, "strong").when(F.col("score") >= 3, "possible").otherwise("stretch")), 8, 10, 30, "tier"))
 
 
 @query("stream_equals_batch", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -252,4 +274,8 @@ def stream_equals_batch(s, d):
     """The daily activity of events, read as a stream."""
     like = B.table(s, d, "events")
     stream = s.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return flows.drained(flows.activity(stream), f"activity_{uuid.uuid4().hex}")
+    return flows.drained(flows.activity(stream), B.scratch(s, "activity"))
+
+
+# the other parts of the catalogue register themselves
+from . import brief_catalog, ingest_catalog, radar_catalog, source_catalog  # noqa: E402, F401

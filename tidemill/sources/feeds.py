@@ -77,6 +77,24 @@ def read_feeds(documents: DataFrame, source: str = "source_id", body: str = "bod
     return documents.select(F.col(source).cast("string").alias(source), body).mapInArrow(run, schema)
 
 
+#: Kinds of sources that are known, and those of them that need a key.
+KINDS = ["rss", "workday", "greenhouse", "lever", "adzuna", "careerjet", "jooble"]
+KEYED = ["adzuna", "careerjet", "jooble"]
+
+
+def askable(sources: DataFrame, keys: set[str]) -> DataFrame:
+    """Sources with state: ok, skipped where a kind needs a key that is not there, error for an unknown kind."""
+    kind = F.col("kind")
+    lacking = [k for k in KEYED if k not in keys]
+    return sources.withColumn("state", F.when(~kind.isin(KINDS), "error").when(kind.isin(lacking) if lacking else F.lit(False), "skipped").otherwise("ok"))
+
+
+def states(items: DataFrame, source: str = "source_id") -> DataFrame:
+    """One row for each source read: ok or error, how many items it gave, and what was wrong."""
+    got = items.groupBy(source).agg(F.count_if(F.col("error").isNull()).alias("items"), F.max("error").alias("error"))
+    return got.select(source, F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("state"), "items", "error")
+
+
 #: For each kind of board, the list in its answer and where the fields are.
 BOARDS = {
     "workday": ("jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string,bulletFields:array<string>>>", "jobPostings", {"title": "title", "link": "externalPath", "location": "locationsText", "posted": "postedOn"}),
@@ -99,6 +117,9 @@ def read_board(answers: DataFrame, kind: str, source: str = "source_id", body: s
     else:
         schema, items_at, fields = BOARDS[kind]
         items = answers.select(source, F.posexplode(F.from_json(body, schema)[items_at]))
-        got = items.select(source, "pos", *((F.col(f"col.{fields[f]}") if f in fields else F.lit(None).cast("string")).alias(f) for f in ("title", "link", "location", "posted", "summary")))
+        got = items.select(source, "pos", *((F.col(f"col.{fields[f]}") if f in fields else F.lit(None).cast("string")).alias(f) for f in ("title", "link", "location", "posted", "summary")), *(["col.bulletFields"] if kind == "workday" else []))
+        if kind == "workday":  # some sites say when only among the bullets
+            told = F.get(F.filter("bulletFields", lambda b: F.lower(b).startswith("posted")), F.lit(0))
+            got = got.withColumn("posted", F.coalesce(F.nullif("posted", F.lit("")), told)).drop("bulletFields")
     first = got.groupBy(source, "link").agg(F.min_by(F.struct("pos", "title", "location", "posted", "summary"), "pos").alias("s"))
     return first.select(source, "link", "s.title", "s.location", "s.posted", "s.summary", F.col("s.pos").alias("ordinal"))

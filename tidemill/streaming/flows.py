@@ -28,8 +28,19 @@ def into_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The result over all that has arrived, as an in-memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """The result over all that has arrived, written batch by batch as Parquet below folder; the last batch is read back.
+
+    A batch that is written again, after a failure, replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number:09d}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    every = stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result/*")
+    if mode != "complete":
+        return every
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result/batch={last:09d}")
