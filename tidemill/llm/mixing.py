@@ -45,11 +45,14 @@ def _rate(tilt: F.Column, size: F.Column, mean: F.Column, cap: int) -> F.Column:
 def solve(strata: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
     """source, source_size, target, mean, tilt: the dual of entropy balancing, by Newton steps over all strata.
 
-    Rates r minimise the entropy of r and of cap - r relative to a rate of 1, subject to sum(r * size) = target for
-    each source; the optimum is the tilted rate of _rate, and the dual is convex with one tilt for each source.
+    The entropy is not the plain one, whose tilted rates e^x have no bound, while no document may pass cap times its
+    size: rates r minimise the entropy of r and of cap - r relative to a rate of 1, subject to sum(r * size) = target
+    for each source. The optimum is the tilted rate of _rate, near e^x where that is small against cap, and the dual is
+    convex with one tilt for each source.
     Each step is one aggregation of the strata (source, size, n) that gives value and slope at the present tilts;
     a step that would leave the bracket of a tilt is replaced by bisection. Targets at the cap have an infinite tilt.
-    Source is compared null-safe. Everything per source stays in a table.
+    Source is compared null-safe. Everything per source stays in a table. Sums are of decimals, so they do not depend
+    on the order of rows and reruns agree. A source that has not settled after STEPS steps is an error.
     """
     mean = strata.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     m = mean.select(F.col("source").alias("s"), "mean")
@@ -61,7 +64,8 @@ def solve(strata: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         at = strata.join(now, strata.source.eqNullSafe(now.s))
         r = _rate(F.col("tilt"), F.col("size"), F.col("mean"), cap)
         words = F.col("n") * F.col("size")
-        sums = at.groupBy("s").agg(F.sum(words * r).alias("value"), F.sum(words * r * (F.lit(1.0) - r / F.lit(float(cap))) * F.col("size") / F.col("mean")).alias("slope"))
+        exact = lambda c: F.sum(c.cast("decimal(28,8)")).cast("double")
+        sums = at.groupBy("s").agg(exact(words * r).alias("value"), exact(words * r * (F.lit(1.0) - r / F.lit(float(cap))) * F.col("size") / F.col("mean")).alias("slope"))
         moved = state.join(sums, state.source.eqNullSafe(sums.s), "left").drop("s")
         off = F.col("value") - F.col("target")
         lo = F.when(off < 0, F.col("tilt")).otherwise(F.col("lo"))
@@ -72,6 +76,8 @@ def solve(strata: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
         state = keep(moved)
         if state.where("not done").isEmpty():
             break
+    else:
+        raise ValueError(f"a source did not settle in {STEPS} steps")
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
