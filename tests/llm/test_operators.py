@@ -203,6 +203,24 @@ def test_op5_meets_its_targets(docs, rows, none):
     assert mixing.op5(none).count() == 0
 
 
+def test_op5_reaches_the_optimum_of_the_dual(spark):
+    """Rates that meet every target, and whose log odds against the cap are linear in size: the conditions of the optimum."""
+    rng = random.Random(11)
+    strata = [(s, k, rng.randrange(1, 30)) for s in ("a", "b", None) for k in rng.sample(range(1, 900), 40)]
+    sums = collections.Counter()
+    for s, k, n in strata:
+        sums[s] += k * n
+    goal = {"a": 0.4, "b": 1.7, None: 2.9}
+    goals = spark.createDataFrame([(s, v, goal[s] * v) for s, v in sums.items()], "source string, source_size long, target double")
+    for _ in range(2):
+        got = {r.source: r for r in mixing.solve(spark.createDataFrame(rng.sample(strata, len(strata)), "source string, size long, n long"), goals).collect()}
+        for s, share in goal.items():
+            x = {k: got[s].tilt * k / got[s].mean for t, k, _ in strata if t == s}
+            rate = {k: 3 * math.exp(v) / (math.exp(v) + 2) for k, v in x.items()}
+            assert abs(sum(rate[k] * k * n for t, k, n in strata if t == s) - share * sums[s]) <= 2e-6 * share * sums[s]
+            assert all(abs(math.log(r / (3 - r)) - math.log(1 / 2) - x[k]) < 1e-6 for k, r in rate.items())
+
+
 def test_op5_caps_targets(spark):
     df = spark.createDataFrame([(i, "w " * 10, "a" if i < 50 else "b" if i < 52 else "c") for i in range(60)], "doc_id long, text string, source string")
     got = {r["source_size"]: (r["target"], r["t"]) for r in mixing.op5(df).groupBy("source_size", "target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "t").collect()}
