@@ -100,8 +100,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     seen, comps = _classes(docs, k, percent, key, text)
     names = comps.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = comps.join(names, "comp").select("node", "component_id")
-    out = seen.select("id", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    # wordless rows have no node and meet nothing, so they take no part in the join
+    out = seen.where("node is not null").select("id", "n", "node").join(named, "node").select("id", "n", "component_id")
+    out = out.unionByName(seen.where("node is null").select("id", "n", F.col("id").alias("component_id")))
+    component = F.col("component_id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
