@@ -22,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary one, for one machine, where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, one machine gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-")
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
