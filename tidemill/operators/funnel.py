@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 STAGES = ["targeted", "delivered", "opened", "engaged", "completed"]
 
 
-def stage_rollup(recipient: DataFrame, support: DataFrame, grain: str = "month") -> DataFrame:
-    """Persons per campaign, channel, period and stage, long; a stage the channel cannot measure has no value."""
-    period = F.to_date(F.date_trunc(grain, F.coalesce("completed_at", "engaged_at", "opened_at", "targeted_at")))
+def stage_rollup(recipient: DataFrame, support: DataFrame, grain: str = "month", campaigns: DataFrame | None = None) -> DataFrame:
+    """Persons per campaign, channel, period and stage, long; a stage the channel cannot measure has no value.
+
+    The period is that of the last known stamp, else of the campaign's start (campaigns: campaign_id, start_date),
+    else of 1970, so that no row is lost.
+    """
+    stamps = [F.col(c) for c in ("completed_at", "engaged_at", "opened_at", "targeted_at")]
+    if campaigns is not None:
+        recipient = recipient.join(campaigns.select("campaign_id", F.col("start_date").cast("timestamp").alias("_start")), "campaign_id", "left")
+        stamps += [F.col("_start"), F.lit("1970-01-01").cast("timestamp")]
+    period = F.to_date(F.date_trunc(grain, F.coalesce(*stamps)))
     counts = recipient.groupBy("campaign_id", "channel", period.alias("period")).agg(*(F.count_if(F.col(s)).alias(s) for s in STAGES))
     long = counts.unpivot(["campaign_id", "channel", "period"], STAGES, "stage", "v")
     j = long.join(F.broadcast(support), ["channel", "stage"])

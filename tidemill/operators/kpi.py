@@ -70,6 +70,27 @@ def workforce_coverage(recipient: DataFrame, resolved: DataFrame, employee: Data
     return reached.crossJoin(heads).select("reached", "headcount", F.round(F.try_divide("reached", "headcount"), 6).alias("coverage"))
 
 
+def coverage_status(recipient: DataFrame, resolved: DataFrame, employee: DataFrame, configured: int | None = None) -> DataFrame:
+    """workforce_coverage() with its status: not measured where no identity is known, the configured headcount where no employee is active, no data without either."""
+    known = resolved.agg((F.count(F.lit(1)) > 0).alias("known"))
+    c = workforce_coverage(recipient, resolved, employee).crossJoin(known)  # single rows
+    heads = F.coalesce(F.when(F.col("headcount") > 0, F.col("headcount")), F.lit(configured).cast("long"))
+    status = F.when(~F.col("known"), "not_measured").when(heads.isNull(), "no_data").otherwise("ok")
+    return c.select(F.when(F.col("known"), F.col("reached")).alias("reached"), heads.alias("headcount"), F.when(status == "ok", F.round(F.col("reached") / heads, 6)).alias("coverage"), status.alias("status"))
+
+
+def pass_mark(rows: DataFrame, group: str, mark: str, default: float = 70.0) -> DataFrame:
+    """The commonest mark of each group, of equally common ones the smallest, and the default where none is known."""
+    counts = rows.groupBy(group, mark).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(mark, F.when(F.col(mark).isNotNull(), F.struct(-F.col("n"), mark)))
+    return counts.groupBy(group).agg(F.coalesce(best.cast("double"), F.lit(default)).alias("pass_mark"))
+
+
+def typical_length(rows: DataFrame, group: str, minutes: str) -> DataFrame:
+    """The median over groups of each group's median."""
+    return rows.groupBy(group).agg(F.median(minutes).alias("m")).agg(F.round(F.median("m"), 6).alias("typical"))
+
+
 def headline(funnel: DataFrame, coverage: DataFrame) -> DataFrame:
     """Four cross-channel rates and the workforce coverage."""
     four = cross_channel(funnel).where(F.col("kpi").isin("delivery_rate", "open_rate", "engagement_rate", "completion_rate")).select("kpi", "num", "den", "value")

@@ -7,23 +7,54 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Question patterns and the query each stands for.
-TEMPLATES = [
-    (r"leads.*(by|per) region|which region.*leads", "select region, sum(leads) as leads from sales group by region order by leads desc, region"),
-    (r"(top|best).*roas|roas.*(top|best)", "select campaign_name, sum(revenue) / nullif(sum(spend), 0) as roas from sales group by campaign_name order by roas desc, campaign_name limit 5"),
-    (r"spend.*conversion", "select channel, sum(spend) as spend, sum(conversions) as conversions from sales group by channel order by channel"),
-    (r"revenue.*(month|trend)|trend.*revenue", "select month, sum(revenue) as revenue from sales group by month order by month"),
-]
+#: Columns of the sales table that a question may name: numbers add up, the others group; the date is what "over time" means.
+COLUMNS = {"campaign_name": "string", "campaign_type": "string", "region": "string", "channel": "string", "month": "date", "spend": "decimal", "leads": "long", "conversions": "long", "revenue": "decimal"}
+#: Ratios of sums, by the words that ask for them.
+RATIOS = {"roas": ("revenue", "spend"), "return on ad spend": ("revenue", "spend"), "cost per lead": ("spend", "leads"), "conversion rate": ("conversions", "leads")}
 #: Metrics by priority.
 PRIORITY = ["revenue", "conversions", "leads", "spend"]
-
-
-def to_sql(question: str) -> str:
-    """The query of the first pattern that fits."""
-    for pattern, sql in TEMPLATES:
-        if re.search(pattern, question.lower()):
-            return sql
-    raise ValueError(f"no query for: {question}")
+_NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+
+
+def _named(question: str, columns: list[str]) -> list[str]:
+    """Columns whose words, or whose first word, a question has, singular or plural, in the order of the question."""
+    at = {}
+    for c in columns:
+        words = c.split("_")
+        for form in dict.fromkeys((" ".join(words), words[0] if len(words) > 1 and sum(x.startswith(words[0] + "_") for x in columns) == 1 else " ".join(words), words[0] if words[-1] == "name" else " ".join(words))):
+            if m := re.search(rf"\b{form.rstrip('s')}(?:s|es)?\b", question):
+                at.setdefault(c, m.start())
+    return sorted(at, key=at.get)
+
+
+def to_sql(question: str, columns: dict[str, str] | None = None, table: str = "sales") -> str:
+    """The query that a question asks for, read from the table's columns: what is measured, by what, in which order, how many.
+
+    A ratio of RATIOS or one or more numeric columns are measured; the first column named that is not a number
+    groups them, or the date where the question is about time; top, best and most sort downwards, worst and least
+    upwards, and limit to the number given, or to five. Questions without anything to measure are refused.
+    """
+    columns = columns or COLUMNS
+    q = re.sub(r"[^a-z0-9 ]+", " ", question.lower())
+    groups = [c for c, t in columns.items() if t in ("string", "date", "timestamp")]
+    ratio = next((r for r in RATIOS if re.search(rf"\b{r}\b", q)), None)
+    metrics = [ratio.replace(" ", "_")] if ratio else _named(q, [c for c in columns if c not in groups])
+    if not metrics:
+        raise ValueError(f"no query for: {question}")
+    shown = [f"sum({RATIOS[ratio][0]}) / nullif(sum({RATIOS[ratio][1]}), 0) as {metrics[0]}"] if ratio else [f"sum({m}) as {m}" for m in metrics]
+    by = _named(q, groups)
+    times = [c for c in groups if columns[c] != "string"]
+    if times and re.search(r"\b(trend|trends|over time|monthly|month|months)\b", q):
+        by = times[:1]
+    if not by and ratio:
+        by = groups[:1]
+    if not by:
+        return f"select {', '.join(shown)} from {table}"
+    down, up = re.search(r"\b(top|best|highest|most|largest)\b", q), re.search(r"\b(bottom|worst|lowest|least|smallest)\b", q)
+    n = re.search(rf"\b(\d+|{'|'.join(_NUMBERS)})\b", q)
+    order = by[0] if by[0] in times else f"{metrics[0]}{'' if up else ' desc'}, {by[0]}"
+    limit = f" limit {_NUMBERS.get(n[1], None) or int(n[1]) if n else 5}" if down or up else ""
+    return f"select {by[0]}, {', '.join(shown)} from {table} group by {by[0]} order by {order}{limit}"
 
 
 def guarded(sql: str) -> str:
@@ -37,7 +68,7 @@ def guarded(sql: str) -> str:
 def answer(spark: SparkSession, sales: DataFrame, question: str) -> DataFrame:
     """The rows that answer a question."""
     sales.createOrReplaceTempView("sales")
-    return spark.sql(guarded(to_sql(question)))
+    return spark.sql(guarded(to_sql(question, {c: t.split("(")[0].replace("bigint", "long") for c, t in sales.dtypes})))
 
 
 def leads_by_region(s: DataFrame) -> DataFrame:

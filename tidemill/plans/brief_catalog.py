@@ -68,10 +68,14 @@ i4 as (select *, round_even(b.v + w, 3)::double as s0 from i3),
 i5 as (select *, case when len(bad) > 0 then 'excluded on ''' || list_min(bad) || '''' when b is null then 'no topic keywords matched' when not cert and w < {_T.bypass} and len(gate) = 0 then 'outside the domain' when s0 < {_T.least} then 'below the threshold' end as reject_reason from i4),
 rou as (select id, case when reject_reason is null or reject_reason = 'below the threshold' then s0 end as score, case when reject_reason is null or reject_reason = 'below the threshold' then b.id end as section_id,
  case when reject_reason is null or reject_reason = 'below the threshold' then array_to_string(b.m, '|') end as matched, reject_reason from i5)"""
-query("section_routing", f"with {ROU} select * from rou")(lambda s, d: routing.routed(_items(s, d), TOPICS).select("id", "score", "section_id", F.array_join("matched", "|").alias("matched"), "reject_reason"))
+query("section_routing", f"with {ROU} select * from rou")(
+    lambda s, d: routing.routed(_items(s, d), TOPICS).select("id", "score", "section_id", F.array_join("matched", "|").alias("matched"), "reject_reason")
+)
 _ORD = f"with {ROU}, o(section_id, ordinal) as (values {', '.join(f'''('{x.id}', {i})''' for i, x in enumerate(_T.sections))}), n as (select section_id, ordinal, count(*) as items from rou join o using (section_id) where reject_reason is null group by 1, 2) select section_id, items, (row_number() over (order by "
 query("sections_in_order", _ORD + "ordinal))::int as place from n")(lambda s, d: routing.section_order(routing.routed(_items(s, d), TOPICS), TOPICS))
-query("sections_by_volume", _ORD + "-items, ordinal))::int as place from n")(lambda s, d: routing.section_order(routing.routed(_items(s, d), TOPICS), TOPICS, by_volume=True))
+query("sections_by_volume", _ORD + "-items, ordinal))::int as place from n")(
+    lambda s, d: routing.section_order(routing.routed(_items(s, d), TOPICS), TOPICS, by_volume=True)
+)
 _ALL = sorted({k for x in _T.sections for k in (*x.strong, *x.supporting)} - {"first year premium"})
 query("keyword_hits", f"with {ITM}, h as (select id, unnest({_hits('coalesce(title, chr(32)) || chr(10) || coalesce(summary, chr(32))', _ALL)}) as keyword from itm) select keyword, count(*) as n from h group by 1")(
     lambda s, d: _items(s, d).select(F.explode(K.inflected(F.concat(F.coalesce("title", F.lit(" ")), F.lit("\n"), F.coalesce("summary", F.lit(" "))), _ALL)).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
@@ -95,14 +99,18 @@ def _heads(s, d):
 _CLEAN = """case when title is null then null when lower(coalesce(publisher, '')) = 'the desk' then
  case title when 'Rates rise - The Desk' then 'Rates rise' when 'Rates rise – the desk' then 'Rates rise' when 'A - B - The Desk' then 'A - B' when '<b>Rates</b> &amp; more - The Desk' then 'Rates & more' else title end
  when title = '<b>Rates</b> &amp; more - The Desk' then 'Rates & more - The Desk' else title end"""
-query("clean_titles", f"with {HDS} select id, {_CLEAN} as title from hds")(lambda s, d: _heads(s, d).select("id", X.clean_title(F.col("title"), F.col("publisher")).alias("title")))
+query("clean_titles", f"with {HDS} select id, {_CLEAN} as title from hds")(
+    lambda s, d: _heads(s, d).select("id", X.clean_title(F.col("title"), F.col("publisher")).alias("title"))
+)
 query("clean_publishers", f"with {HDS} select publisher as raw, case publisher when 'www.Wire.example' then 'The Wire' else publisher end as publisher, count(*) as n from hds group by 1, 2")(
     lambda s, d: _heads(s, d).groupBy(F.col("publisher").alias("raw"), X.clean_publisher(F.col("publisher"), {"wire.example": "The Wire"}).alias("publisher")).agg(F.count(F.lit(1)).alias("n"))
 )
 query("title_echoes", f"""with {HDS}, w as (select *, case summary when 'Rates rise The Desk' then ['rate', 'rise', 'desk'] when 'rates rising' then ['rate', 'rising'] when 'The' then [] when 'More rates than before' then ['more', 'rate', 'than', 'before'] end as own,
  list_concat(case when title is null then []::varchar[] when title like 'A - B%' or title = 'The Desk' then ['desk'] when title like '%Wire' then ['rate', 'rise', 'wire'] when title like '<b>%' then ['rate', 'amp', 'more', 'desk'] else ['rate', 'rise', 'desk'] end,
  case when lower(publisher) = 'the desk' or publisher = 'desk.example' then ['desk'] when publisher like 'www%' then ['wire'] else []::varchar[] end) as others from hds)
- select id, summary <> '' and len(list_filter(own, lambda x: not list_contains(others, x))) = 0 as echo from w""")(lambda s, d: _heads(s, d).select("id", X.echoes_title(F.col("summary"), F.col("title"), F.col("publisher")).alias("echo")))
+ select id, summary <> '' and len(list_filter(own, lambda x: not list_contains(others, x))) = 0 as echo from w""")(
+    lambda s, d: _heads(s, d).select("id", X.echoes_title(F.col("summary"), F.col("title"), F.col("publisher")).alias("echo"))
+)
 _DATES = {
     "Tue, 19 Aug 2025 06:30:00 +0530": "2025-08-19 01:00:00", "19 Aug 2025 06:30:00": "2025-08-19 06:30:00", "Tue, 19 Aug 2025 06:30 GMT": "2025-08-19 06:30:00", "Tue, 19 Aug 2025 06:30:00 EST": "2025-08-19 11:30:00", "2025-08-19T06:30:00Z": "2025-08-19 06:30:00",
     "2025-08-19T06:30:00+0530": "2025-08-19 01:00:00", "2025-08-19": "2025-08-19 00:00:00", "2025-08-19 06:30": "2025-08-19 06:30:00", "19/08/2025 06:30:00": "2025-08-19 06:30:00", "08/19/2025 06:30:00": "2025-08-19 06:30:00", "19 August 2025 06:30": "2025-08-19 06:30:00", "soon": None, "": None, "32/13/2025 00:00:00": None,

@@ -131,7 +131,9 @@ def _resolved(s, d):
     return ingest.campaign_ids(told, campaigns)
 
 
-query("campaign_resolution", f"with {RSV} select row, campaign_by, campaign_id, registered from rsv")(lambda s, d: _resolved(s, d).select("row", "campaign_by", "campaign_id", "registered"))
+query("campaign_resolution", f"with {RSV} select row, campaign_by, campaign_id, registered from rsv")(
+    lambda s, d: _resolved(s, d).select("row", "campaign_by", "campaign_id", "registered")
+)
 query("required_keys", f"with {RSV} select file, count(*) as rows_read, count(*) filter (recipient_key is null or campaign_id is null) as rows_rejected, count(*) filter (recipient_key is not null and campaign_id is not null) as rows_loaded from rsv group by 1")(
     lambda s, d: ingest.row_counts(_resolved(s, d), ["recipient_key", "campaign_id"])
 )
@@ -177,18 +179,19 @@ query("canonical_ids", """select c_custkey, case c_custkey % 5 when 0 then null
     ).select("c_custkey", F.when(F.col("c_custkey") % 5 == 2, ingest.canonical(F.col("x"), ["strip", "e164"])).otherwise(ingest.canonical(F.col("x"), ["strip", "lower", "strip_domain"])).alias("id"))
 )
 
-# the ledger: one load for each of 200 files, over a ledger of earlier loads
-_LED = "led as (select o_orderkey as batch_id, concat('sha-', o_orderkey % 400) as sha, case o_orderkey % 3 when 0 then 'loaded' when 1 then 'rejected' else 'duplicate' end as status, case when o_orderkey % 5 = 0 then -1::bigint end as superseded_by from orders where o_orderkey < 500)"
-_NEW = "nw as (select concat('f', lpad(o_orderkey::varchar, 4, '0')) as file, concat('sha-', o_orderkey) as sha, o_orderkey % 4 * 10 as rows_loaded, o_orderkey % 7 = 0 as bad from orders where o_orderkey < 200)"
+# the ledger: one load for each customer, over a ledger of earlier loads with one row for each order
+_BATCH = "case o_orderkey % 3 when 0 then 'loaded' when 1 then 'rejected' else 'duplicate' end"
+_LED = f"led as (select o_orderkey as batch_id, concat('sha-', o_custkey) as sha, {_BATCH} as status, case when o_orderkey % 5 <> 0 then -1::bigint end as superseded_by from orders)"
+_NEW = "nw as (select c_name as file, concat('sha-', c_custkey) as sha, c_custkey % 4 * 10 as rows_loaded, c_custkey % 7 = 0 as bad from customer)"
 _STA = "st as (select file, sha, case when sha in (select sha from led where status = 'loaded' and superseded_by is null) then 'duplicate' when bad or rows_loaded = 0 then 'rejected' else 'loaded' end as status, rows_loaded from nw)"
 
 
 def _ledger(s, d):
-    return B.table(s, d, "orders").where("o_orderkey < 500").selectExpr("o_orderkey as batch_id", "concat('sha-', o_orderkey % 400) as sha", "case o_orderkey % 3 when 0 then 'loaded' when 1 then 'rejected' else 'duplicate' end as status", "case when o_orderkey % 5 = 0 then cast(-1 as long) end as superseded_by")
+    return B.table(s, d, "orders").selectExpr("o_orderkey as batch_id", "concat('sha-', o_custkey) as sha", f"{_BATCH} as status", "case when o_orderkey % 5 <> 0 then cast(-1 as long) end as superseded_by")
 
 
 def _loads(s, d):
-    new = B.table(s, d, "orders").where("o_orderkey < 200").selectExpr("concat('f', lpad(cast(o_orderkey as string), 4, '0')) as file", "concat('sha-', o_orderkey) as sha", "o_orderkey % 4 * 10 as rows_loaded", "o_orderkey % 7 = 0 as bad")
+    new = B.table(s, d, "customer").selectExpr("c_name as file", "concat('sha-', c_custkey) as sha", "c_custkey % 4 * 10 as rows_loaded", "c_custkey % 7 = 0 as bad")
     issues = new.where("bad").select("file", F.lit("error").alias("severity"))
     return ingest.numbered(ingest.verdicts(new.drop("bad"), issues, ingest.standing(_ledger(s, d))), _ledger(s, d))
 
@@ -196,18 +199,18 @@ def _loads(s, d):
 query("ledger_append", f"with {_LED}, {_NEW}, {_STA} select file, status, case when status = 'loaded' then rows_loaded else 0 end::bigint as rows_loaded, (select max(batch_id) from led) + row_number() over (order by file) as batch_id from st")(
     lambda s, d: _loads(s, d).select("file", "status", "rows_loaded", "batch_id")
 )
-query("ledger_supersede", f"with {_LED} select batch_id, status, case when superseded_by is null and sha in ('sha-1', 'sha-3', 'sha-33') then -1 else superseded_by end as superseded_by from led")(
-    lambda s, d: ingest.superseded(_ledger(s, d), s.createDataFrame([("sha-1",), ("sha-3",), ("sha-33",)], "sha string")).select("batch_id", "status", "superseded_by")
+query("ledger_supersede", f"with {_LED} select batch_id, status, case when superseded_by is null and sha in (select concat('sha-', c_custkey) from customer where c_mktsegment = 'BUILDING') then -1 else superseded_by end as superseded_by from led")(
+    lambda s, d: ingest.superseded(_ledger(s, d), B.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("concat('sha-', c_custkey) as sha")).select("batch_id", "status", "superseded_by")
 )
 query("source_overrides", "select concat('sha-', o_custkey) as sha, arg_max(o_orderstatus, o_orderkey) as source, arg_max(o_orderpriority, o_orderkey) as campaign from orders group by 1")(
     lambda s, d: (lambda o: ingest.overrides(o.where("at % 2 = 0"), o.where("at % 2 = 1")).select("sha", "source", "campaign"))(B.table(s, d, "orders").selectExpr("concat('sha-', o_custkey) as sha", "o_orderstatus as source", "o_orderpriority as campaign", "o_orderkey as at"))
 )
-query("archive_names", """with f as (select concat('r', o_custkey % 40, '.csv') as file, case when o_orderkey % 9 = 0 then 'rejected' else 'loaded' end as status, o_orderkey as ord from orders where o_orderkey < 300),
+query("archive_names", """with f as (select concat('r', o_custkey, '.csv') as file, case when o_orderkey % 9 = 0 then 'rejected' else 'loaded' end as status, o_orderkey as ord from orders),
  n as (select *, case status when 'rejected' then 'rejected' else 'archive/2026-01' end as folder, split_part(file, '.', 1) as stem from f),
  r as (select *, row_number() over (partition by folder, file order by ord) - 1 + case when folder = 'archive/2026-01' and stem = 'r3' then 3 when folder = 'rejected' and stem = 'r5' then 1 else 0 end as k from n)
  select file, folder || '/' || stem || case when k > 0 then '__' || k else '' end || '.csv' as target from r""")(
     lambda s, d: ingest.archive_names(
-        B.table(s, d, "orders").where("o_orderkey < 300").selectExpr("concat('r', o_custkey % 40, '.csv') as file", "case when o_orderkey % 9 = 0 then 'rejected' else 'loaded' end as status", "o_orderkey as at"),
+        B.table(s, d, "orders").selectExpr("concat('r', o_custkey, '.csv') as file", "case when o_orderkey % 9 = 0 then 'rejected' else 'loaded' end as status", "o_orderkey as at"),
         s.createDataFrame([("archive/2026-01/r3.csv",), ("archive/2026-01/r3__2.csv",), ("rejected/r5.csv",)], "target string"), "2026-01",
     )
 )

@@ -111,8 +111,12 @@ def _fitted(s, d):
 
 
 query("fit_score", f"with {FIT} select id, fit, tier, reject_reason from fit")(lambda s, d: _fitted(s, d).select("id", "fit", "tier", "reject_reason"))
-query("fit_tiers", f"with {FIT}, x(tier, place) as (values ('strong', 1), ('possible', 2), ('stretch', 3)) select tier, place, count(*) as openings, max(fit) as best from fit join x using (tier) where reject_reason is null group by 1, 2")(lambda s, d: fit.by_tier(_fitted(s, d)))
-query("fit_seniority", f"with {FIT} select id, lv.lv as level, lv.h as marker from fit")(lambda s, d: _openings(s, d).withColumn("l", fit.seniority(F.coalesce("title", F.lit("")), PROFILE.levels)).select("id", F.col("l.level").alias("level"), F.col("l.hit").alias("marker")))
+query("fit_tiers", f"with {FIT}, x(tier, place) as (values ('strong', 1), ('possible', 2), ('stretch', 3)) select tier, place, count(*) as openings, max(fit) as best from fit join x using (tier) where reject_reason is null group by 1, 2")(
+    lambda s, d: fit.by_tier(_fitted(s, d))
+)
+query("fit_seniority", f"with {FIT} select id, lv.lv as level, lv.h as marker from fit")(
+    lambda s, d: _openings(s, d).withColumn("l", fit.seniority(F.coalesce("title", F.lit("")), PROFILE.levels)).select("id", F.col("l.level").alias("level"), F.col("l.hit").alias("marker"))
+)
 query("fit_region", f"with {FIT} select id, wh.id as region, wh.place as place from fit")(
     lambda s, d: _openings(s, d).withColumn("w", F.coalesce(fit.located(F.col("location"), PROFILE.regions), fit.located(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.concat_ws(" ", F.nullif("company", F.lit("")), F.nullif("summary", F.lit("")))), PROFILE.regions))).select("id", "w.id", "w.place").toDF("id", "region", "place")
 )
@@ -121,7 +125,9 @@ query("fit_reasons", f"""with {FIT} select id, array_to_string(list_concat(fm, d
  case when band <> '' then band || ' asked' || case when experience_min >= {_P.ideal_years} then ' — squarely in range' else '' end end, case when len(em) > 0 then 'your edge: ' || array_to_string(em[1:3], ', ') end], lambda x: x is not null), '; ') as reasons from fit where reject_reason is null""")(
     lambda s, d: _fitted(s, d).where("reject_reason is null").select("id", F.array_join("matched", "|").alias("matched"), F.array_join("reasons", "; ").alias("reasons"))
 )
-query("experience_bands", f"with {FIT} select band, count(*) as n from fit group by 1")(lambda s, d: _openings(s, d).groupBy(fit.experience_band(F.col("experience_min"), F.col("experience_max")).alias("band")).agg(F.count(F.lit(1)).alias("n")))
+query("experience_bands", f"with {FIT} select band, count(*) as n from fit group by 1")(
+    lambda s, d: _openings(s, d).groupBy(fit.experience_band(F.col("experience_min"), F.col("experience_max")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+)
 
 # titles and companies in comparable form
 _SYN = "lower(coalesce(title, ''))"
@@ -134,12 +140,16 @@ rol as (select *, list_filter(ws, lambda w: w in ({_quoted(roles.DISCRIMINATORS)
 query("role_titles", f"with {ROL} select id, nt as title, array_to_string(ws, ' ') as words, array_to_string(ms, ' ') as marks from rol")(
     lambda s, d: _openings(s, d).select("id", roles.normal_title(F.col("title")).alias("t"), roles.title_words(F.col("title")).alias("w")).select("id", F.col("t").alias("title"), F.array_join("w", " ").alias("words"), F.array_join(roles.marks(F.col("w")), " ").alias("marks"))
 )
-query("role_companies", f"with {ROL} select nc as company, count(*) as n from rol group by 1")(lambda s, d: _openings(s, d).groupBy(roles.normal_company(F.col("company")).alias("company")).agg(F.count(F.lit(1)).alias("n")))
-query("role_keys", f"with {ROL} select role_key, count(*) as n, min(id) as first_id from rol group by 1")(lambda s, d: roles.keys(_openings(s, d).withColumn("url", F.lit(""))).groupBy("role_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")))
+query("role_companies", f"with {ROL} select nc as company, count(*) as n from rol group by 1")(
+    lambda s, d: _openings(s, d).groupBy(roles.normal_company(F.col("company")).alias("company")).agg(F.count(F.lit(1)).alias("n"))
+)
+query("role_keys", f"with {ROL} select role_key, count(*) as n, min(id) as first_id from rol group by 1")(
+    lambda s, d: roles.keys(_openings(s, d).withColumn("url", F.lit(""))).groupBy("role_key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+)
 
 
 def _placed(s, d):
-    return _openings(s, d).where("id % 3 = 0").select("id", F.col("id").alias("place"), F.concat(F.lit("https://www.jobs.example/"), (F.col("id") % 5000).cast("string")).alias("url"), "company", "title")
+    return _openings(s, d).select("id", F.col("id").alias("place"), F.concat(F.lit("https://www.jobs.example/"), (F.col("id") % 5000).cast("string")).alias("url"), "company", "title")
 
 
 #: An ordered fold, which SQL does not express; a test holds it against a plain one.

@@ -91,22 +91,22 @@ _POST = "named_struct('title', concat('Role ', o_orderkey), 'externalPath', conc
 
 
 def _board(s, d, kind: str, item: str, wrap: str):
-    o = B.table(s, d, "orders").where("o_custkey % 5 = 0")
+    o = B.table(s, d, "orders")
     body = F.expr(f"to_json(named_struct('{wrap}', collect_list({item})))") if wrap else F.expr(f"to_json(collect_list({item}))")
     return feeds.read_board(o.groupBy(F.col("o_custkey").alias("source_id")).agg(body.alias("body")), kind)
 
 
-query("board_workday", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'Posted 3 Days Ago' as posted, 'Pune (+1 more)' as location from orders where o_custkey % 5 = 0")(
+query("board_workday", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'Posted 3 Days Ago' as posted, 'Pune (+1 more)' as location from orders")(
     lambda s, d: (lambda x: _board(s, d, "workday", _POST, "jobPostings").select("source_id", "title", "posted", x.location(F.col("location")).alias("location")))(__import__("tidemill.functions.text", fromlist=["text"]))
 )
-query("board_greenhouse", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'http://g.example/' || o_orderkey as link from orders where o_custkey % 5 = 0")(
+query("board_greenhouse", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'http://g.example/' || o_orderkey as link from orders")(
     lambda s, d: _board(s, d, "greenhouse", "named_struct('title', concat('Role ', o_orderkey), 'absolute_url', concat('http://g.example/', o_orderkey), 'location', named_struct('name', 'Goa'))", "jobs").select("source_id", "title", "link")
 )
-query("board_lever", "select o_custkey as source_id, 'Role ' || o_orderkey as title, '1970-01-02' as posted from orders where o_custkey % 5 = 0")(
+query("board_lever", "select o_custkey as source_id, 'Role ' || o_orderkey as title, '1970-01-02' as posted from orders")(
     lambda s, d: _board(s, d, "lever", "named_struct('text', concat('Role ', o_orderkey), 'hostedUrl', concat('u', o_orderkey), 'createdAt', 86400000L)", "").select("source_id", "title", "posted")
 )
 for _kind, _list, _link in (("adzuna", "results", "redirect_url"), ("careerjet", "jobs", "url"), ("jooble", "jobs", "link")):
-    query(f"board_{_kind}", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'u' || o_orderkey as link from orders where o_custkey % 5 = 0")(
+    query(f"board_{_kind}", "select o_custkey as source_id, 'Role ' || o_orderkey as title, 'u' || o_orderkey as link from orders")(
         lambda s, d, kind=_kind, wrap=_list, link=_link: _board(s, d, kind, f"named_struct('title', concat('Role ', o_orderkey), '{link}', concat('u', o_orderkey))", wrap).select("source_id", "title", "link")
     )
 query("keyed_boards", "select * from (values ('a', 'adzuna', 'ok'), ('b', 'jooble', 'skipped'), ('c', 'rss', 'ok'), ('d', 'nobody', 'error')) t(source_id, kind, state)")(
