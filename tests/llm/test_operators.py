@@ -383,7 +383,9 @@ def test_op6_archives_in_members():
     assert [h["warc-type"] for h, _ in warc.read_warc(b"".join(records))] == ["warcinfo", "resource", "resource", "resource"]
 
 
-def test_op8_scores(table, rows, none):
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 40])
+def test_op8_scores(table, rows, none, frequent, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     got = lm.op8(table).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     seqs = [(r[0], [*WORD.findall((r[1] or "").translate(LOW)), None]) for r in rows]
@@ -437,7 +439,7 @@ def test_op8_scores_equal_a_plain_loop(table):
     """score() against the same model, one token at a time; every training token is in some round, and in one only."""
     read = lm.read(table).cache()
     model = lm.fit(read)
-    got = {r.rid: r.score for r in lm.attended(read, model).collect()}
+    got = {r.rid: r.score for r in lm.attended(read, model, (np.zeros(0, np.int64), np.zeros(0))).collect()}
     p, scale = {k: v.astype(float) for k, v in model.p.items()}, lm.WIDTH**-0.5
     for r in read.collect():
         ids = np.frombuffer(r.ids, np.uint16).astype(int).tolist()
