@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 
-#: Issues in order of weight (fixed values).
-SEVERITIES = ["error", "warning", "info"]
 EXAMPLES = 3
 
 
