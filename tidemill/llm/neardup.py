@@ -174,7 +174,7 @@ def _links(nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
         return keep(by.join(several, "band"))
 
     def tell(pairs: DataFrame) -> DataFrame:
-        return keep(_confirmed(keep(pairs), slim, sets, percent))
+        return keep(_confirmed(pairs, slim, sets, percent))
 
     by = banded.select("band", "node", "n", F.col("n").alias("common"), F.col("node").alias("comp"))
     first = keep(spread(by).distinct())
@@ -243,7 +243,7 @@ def _confirmed(pairs: DataFrame, slim: DataFrame, sets: DataFrame, percent: int)
     y = slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     likely = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(near, "a binary, b binary, na long, nb long")
     x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = keep(likely).join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
+    both = likely.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
