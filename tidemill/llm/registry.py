@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lm, mixing, neardup, quality, sharding, substrings, tokens, warc
+from . import align, chat, compression, decontam, lm, mixing, neardup, quality, sharding, substrings, tokens, variants, warc
 from .common import table
 
 
@@ -60,6 +60,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words and forms."""
+    return variants.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by compression."""
+    return compression.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, aligned between two tokenizers."""
+    return align.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_tokens": op2_tokens,
@@ -71,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
+    "op11_variants": op11_variants,
+    "op12_compression": op12_compression,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op6_warc": warc.ORACLE}
