@@ -121,13 +121,15 @@ def test_greedy_equals_the_plain_fold(spark):
     got = {(r.doc_id, r.duplicates) for r in digest.greedy(items).collect()}
     k = digest.keys(digest.ranked(items)).select("doc_id", "place", "text_key", "title_key", X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p")).orderBy("place").collect()
     kept = []
+
+    def alike(r, x):
+        either = set(r.s) | set(x.s)
+        return either and len(set(r.s) & set(x.s)) >= 0.62 * len(either) - 1e-12 and not (r.p and x.p and not set(r.p) & set(x.p))
+
     for r in k:
-        for x in kept:
-            either = set(r.s) | set(x[0].s)
-            alike = either and len(set(r.s) & set(x[0].s)) >= 0.62 * len(either) - 1e-12 and not (r.p and x[0].p and not set(r.p) & set(x[0].p))
-            if r.text_key == x[0].text_key or r.title_key == x[0].title_key or alike:
-                x[1] += 1
-                break
+        found = [x for x in kept if x[0].text_key == r.text_key] or [x for x in kept if x[0].title_key == r.title_key] or [x for x in kept if alike(r, x[0])]
+        if found:
+            found[0][1] += 1
         else:
             kept.append([r, 1])
     assert got == {(r.doc_id, n) for r, n in kept}

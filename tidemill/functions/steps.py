@@ -1,8 +1,11 @@
-"""Plans in steps."""
+"""Plans in steps, and the folder that steps share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,3 +16,27 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     filters above it. For expressions that are dear, such as regular expressions over whole texts.
     """
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where that is unset, one machine gets a temporary one, and a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder: a lost executor costs no recomputation of what came before."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared(df.sparkSession))
+    return df.checkpoint()

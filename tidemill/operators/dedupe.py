@@ -1,11 +1,17 @@
-"""The ordered, greedy removal of near-duplicates, in the connected groups of possible matches."""
+"""The ordered, greedy removal of near-duplicates as rounds of joins: what is first within its reach stays."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.steps import cut
+
+
+def kind_hash(same_marks: bool) -> Column:
+    """Equal for sets with equal elements, marks and, where marks and groups must agree, group."""
+    return F.xxhash64(F.array_join("s", "\n"), F.array_join(F.array_sort("p"), "\n"), F.when(F.lit(same_marks), F.col("g")))
+
 
 def similar_pairs(sets: DataFrame, threshold: float, same_marks: bool = False) -> DataFrame:
     """id_a, id_b, similarity: pairs of sets s with a Jaccard similarity of threshold or more whose groups and marks agree.
@@ -18,8 +24,7 @@ def similar_pairs(sets: DataFrame, threshold: float, same_marks: bool = False) -
     one = sets.where("size(s) > 0").select("id", "s", F.array_sort("p").alias("p"), "g")
     if same_marks:
         one = one.where("g is not null")
-    kind = F.xxhash64(F.array_join("s", "\n"), F.array_join("p", "\n"), F.when(F.lit(same_marks), F.col("g")))
-    one = one.withColumn("kind", kind)
+    one = one.withColumn("kind", kind_hash(same_marks))
     kinds = one.groupBy("kind").agg(F.first("s").alias("s"), F.first("p").alias("p"), F.first("g").alias("g"))
     # an element counts inside its group and marks where these must agree
     spelled = kinds.select("kind", F.size("s").alias("n"), "g", "p", F.explode("s").alias("w")).select("kind", "n", F.xxhash64(*([F.col("g"), F.array_join("p", " ")] if same_marks else []), "w").alias("e"))
@@ -37,69 +42,70 @@ def similar_pairs(sets: DataFrame, threshold: float, same_marks: bool = False) -
 def kinds_of(sets: DataFrame, same_marks: bool = False) -> DataFrame:
     """id, kind: which sets similar_pairs() takes as one."""
     one = sets.where("size(s) > 0" + (" and g is not null" if same_marks else ""))
-    return one.select("id", F.xxhash64(F.array_join("s", "\n"), F.array_join(F.array_sort("p"), "\n"), F.when(F.lit(same_marks), F.col("g"))).alias("kind"))
+    return one.select("id", kind_hash(same_marks).alias("kind"))
 
 
 def greedy(items: DataFrame, threshold: float, same_marks: bool = False) -> DataFrame:
-    """Id, slot, duplicates of the items that are kept: in order of place, each item joins the first kept one that it matches.
+    """Id, slot, duplicates of the items that are kept: in order of place, each item joins a kept one that it matches.
 
-    Items match by key_a, by key_b, or by similar sets (see similar_pairs()). items: id (long), place, key_a, key_b,
-    s, p, g; places follow falling rank, so that the first of a slot is its best. Items that agree in both keys are
-    one with a count from the start, so copies of one item never meet in a fold; only groups of possible matches do,
-    each in one task, because their definition is an ordered fold.
+    Items match by key_a, by key_b, or by similar sets (see similar_pairs()); an item joins the kept one of its key_a, else
+    of its key_b, else the first similar one. items: id (long), place, key_a, key_b,
+    s, p, g; places follow falling rank, so that the first of a slot is its best, and none comes twice. Items that agree
+    in key_b must agree in s, p and g. Items that agree in both keys are one with a count from the start; first_free()
+    finds those that stay.
     """
     one = items.groupBy("key_a", "key_b").agg(F.min_by(F.struct("id", "place", "s", "p", "g"), "place").alias("x"), F.count(F.lit(1)).alias("n"))
-    one = cut(one.select("key_a", "key_b", "n", "x.*"))
-    star = [one.join(one.groupBy(F.col(c).alias("_k")).agg(F.min("id").alias("a")), F.col(c) == F.col("_k")).select("a", F.col("id").alias("b")).where("a != b") for c in ("key_a", "key_b")]
-    kinds = kinds_of(one, same_marks)
-    head = kinds.groupBy("kind").agg(F.min("id").alias("a"))
-    same = kinds.join(head, "kind").select("a", F.col("id").alias("b")).where("a != b")
-    pairs = similar_pairs(one, threshold, same_marks).join(head.select(F.col("kind").alias("k_a"), "a"), "k_a").join(head.select(F.col("kind").alias("k_b"), F.col("a").alias("b")), "k_b").select("a", "b")
-    groups = connected(pairs.union(same).union(star[0]).union(star[1]))
-    j = one.join(groups, one.id == groups.node, "left")
-    single = j.where("node is null").select("id", F.col("id").alias("slot"), F.col("n").alias("duplicates"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values("place").to_dict("records"):
-            mine, marked = set(r["s"]), set(r["p"])
-            for slot in kept:
-                both, either = len(mine & slot["s"]), len(mine | slot["s"])
-                if same_marks:
-                    near = r["g"] is not None and r["g"] == slot["g"] and marked == slot["p"]
-                else:
-                    near = not marked or not slot["p"] or bool(marked & slot["p"])
-                if r["key_a"] == slot["key_a"] or r["key_b"] == slot["key_b"] or (near and either and mine and slot["s"] and both >= threshold * either - 1e-12):
-                    slot["duplicates"] += r["n"]
-                    break
-            else:
-                kept.append({"id": r["id"], "slot": r["id"], "s": mine, "p": marked, "g": r["g"], "key_a": r["key_a"], "key_b": r["key_b"], "duplicates": r["n"]})
-        return pd.DataFrame([{f: x[f] for f in ("id", "slot", "duplicates")} for x in kept])
-
-    many = j.where("node is not null").select("comp", "id", "place", "n", "s", "p", "g", "key_a", "key_b").groupBy("comp").applyInPandas(fold, "id long, slot long, duplicates long")
-    return single.unionByName(many)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once: by a checkpoint where the session has a folder for it, so that a lost executor costs no recomputation; else cached."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """node, comp: connected groups by the smallest label, with a step through labels in each round, each of which is cut() off from those before."""
-    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    if both.isEmpty():
-        return both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+    one = one.select("key_a", "key_b", "n", "x.*")
+    kind = F.when(F.size("s") > 0, kind_hash(same_marks))
+    if same_marks:
+        kind = F.when(F.col("g").isNotNull(), kind)
+    named = F.array_compact(F.array(F.xxhash64(F.lit("a"), "key_a"), F.xxhash64(F.lit("b"), "key_b"), F.xxhash64(F.lit("k"), kind)))
+    # a null kind hashes to a group of its own, which must not join items
+    own = F.when(kind.isNull(), F.slice(named, 1, 2)).otherwise(named)
+    one = cut(one.withColumn("groups", own))
+    pairs = similar_pairs(one, threshold, same_marks).select(F.xxhash64(F.lit("k"), "k_a").alias("a"), F.xxhash64(F.lit("k"), "k_b").alias("b"))
+    links = cut(pairs.union(pairs.select("b", "a")))
+    kept = first_free(one.select("id", "place", "groups"), links)
+    best = reached(kept.select(F.explode("groups").alias("group"), "place"), links)
+    # an item may share a key with one that was kept after it; such a match came too late
+    before = one.select("id", "n", F.col("place").alias("own"), F.posexplode("groups").alias("i", "group")).join(best, "group").where("place <= own")
+    by = [F.min(F.when(F.col("i") == i, F.col("place"))) for i in range(3)]
+    joined = before.groupBy("id").agg(F.first("n").alias("n"), F.coalesce(*by).alias("place"))
+    total = joined.groupBy("place").agg(F.sum("n").alias("duplicates"))
+    return kept.join(total, "place").select("id", F.col("id").alias("slot"), "duplicates")
+
+
+def reached(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """group, place: the lowest place in each group or in one linked to it. groups: group, place; links: a, b, both ways round."""
+    low = groups.groupBy("group").agg(F.min("place").alias("place"))
+    far = links.join(low, links.b == low.group).select(F.col("a").alias("group"), "place")
+    return low.unionByName(far).groupBy("group").agg(F.min("place").alias("place"))
+
+
+def first_free(items: DataFrame, links: DataFrame) -> DataFrame:
+    """The items that an ordered fold keeps: of all items in order of place, those that meet none kept before.
+
+    Two items meet if they share a group or have groups that are linked. items: id, place, groups (array of long);
+    links: a, b, both ways round. In rounds: an item that is the first of all within its reach that are still open is
+    kept, and what it reaches goes. Every round decides the first open item of each connected part at least, most
+    rounds nearly all; each shuffles one row for each open item and group of it, minima are combined before the
+    shuffle, and only what is open goes on. The result is that of the fold, whatever the rounds.
+    """
+    kept, open_items, rounds = None, items, 0
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        new = cut(low)
-        if new.where("old != comp").isEmpty():
-            return new.select("node", "comp")
-        jump = new.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        labels = new.select("node", "comp").join(jump, "comp").select("node", F.least("comp", "next").alias("comp"))
+        rounds += 1
+        single = open_items.select("id", "place", F.explode("groups").alias("group"))
+        near = reached(single.select("group", "place"), links).withColumnRenamed("place", "first")
+        first = single.join(near, "group").groupBy("id").agg(F.min("first").alias("first"))
+        decided = cut(open_items.join(first, "id").withColumn("keep", F.col("first") == F.col("place")).drop("first"))
+        new = decided.where("keep").drop("keep")
+        if rounds > 1 and new.isEmpty():
+            return kept
+        kept = new if kept is None else kept.unionByName(new)
+        if rounds % 16 == 0:
+            kept = cut(kept)
+        taken = new.select(F.explode("groups").alias("group")).distinct()
+        taken = taken.unionByName(links.join(taken, links.b == taken.group).select(F.col("a").alias("group"))).distinct()
+        rest = decided.where("not keep").drop("keep")
+        gone = rest.select("id", F.explode("groups").alias("group")).join(taken, "group", "left_semi").select("id").distinct()
+        open_items = cut(rest.join(gone, "id", "left_anti"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.steps import cut
 from . import dedupe
 
 #: section: order, multiplier, keywords with weights. Our own vocabulary, from frequent words of the bound tables.
@@ -177,7 +178,7 @@ def first_counters(items: DataFrame, now: Column, hours: int) -> DataFrame:
 def counters(items: DataFrame, now: Column, hours: int, ledger: DataFrame | None = None) -> DataFrame:
     """How many items each step of the brief keeps: first_counters(), then after_dedupe, unseen, published."""
     ok = scored(within(items, now, hours)).where("reject_reason is null")
-    kept = dedupe.cut(ok.join(greedy(ok).select("doc_id"), "doc_id", "left_semi"))
+    kept = cut(ok.join(greedy(ok).select("doc_id"), "doc_id", "left_semi"))
     fresh = unseen(kept, ledger) if ledger is not None else kept
     out = first_counters(items, now, hours)
     for df, name in ((kept, "after_dedupe"), (fresh, "unseen"), (capped(fresh), "published")):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.steps import once
 from . import dedupe
 
 #: Grades and functions that are written in several ways (fixed values).
@@ -44,11 +45,13 @@ def _words(c: Column) -> Column:
 
 
 def normal_title(c: Column) -> Column:
-    """Lower case without marks, synonyms as one word, the longest first."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    for phrase in sorted(SYNONYMS, key=len, reverse=True):
-        t = F.regexp_replace(t, rf"(?U)\b{phrase}\b", SYNONYMS[phrase])
-    return _words(t)
+    """Lower case without marks, synonyms as one word, of those that begin alike the longest."""
+    phrases = "|".join(sorted(SYNONYMS, key=len, reverse=True))
+    # one scan puts marks round the phrases; what stands between two marks is then looked up
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"(?U)\b({phrases})\b", "\u0001$1\u0001"), "\u0001")
+    word = F.create_map(*(F.lit(x) for pair in SYNONYMS.items() for x in pair))
+    told = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(word, x), x)).otherwise(x))
+    return _words(F.array_join(told, ""))
 
 
 def normal_company(c: Column) -> Column:
@@ -58,9 +61,14 @@ def normal_company(c: Column) -> Column:
     return F.coalesce(F.nullif(short, F.lit("")), t)
 
 
-def title_words(c: Column) -> Column:
+def words_of(normal: Column) -> Column:
     """Distinct words of a normal title, of over two letters and no stopwords, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(normal_title(c), " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))))
+    return F.array_sort(F.array_distinct(F.filter(F.split(normal, " "), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))))
+
+
+def title_words(c: Column) -> Column:
+    """words_of() a title as it is written."""
+    return words_of(normal_title(c))
 
 
 def marks(words: Column) -> Column:
@@ -68,22 +76,36 @@ def marks(words: Column) -> Column:
     return F.filter(words, lambda w: w.isin(DISCRIMINATORS))
 
 
+def url_key(url: Column) -> Column:
+    """Where an opening was found."""
+    return X.key("u:", F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^([^:]*)://www\.", "$1://"))
+
+
+def role_key(normal_company: Column, normal_title: Column) -> Column:
+    """Which job it is."""
+    return X.key("r:", F.concat(normal_company, F.lit("|"), normal_title))
+
+
+def normal(openings: DataFrame) -> DataFrame:
+    """openings with _title and _company in comparable form and the title's _words, each computed once."""
+    d = once(openings, {"_title": normal_title(F.col("title")), "_company": normal_company(F.col("company"))})
+    return once(d, {"_words": words_of(F.col("_title"))})
+
+
 def keys(openings: DataFrame) -> DataFrame:
-    """url_key and role_key: where an opening was found, and which job it is."""
-    url = F.regexp_replace(F.lower(F.coalesce("url", F.lit(""))), r"^([^:]*)://www\.", "$1://")
-    return openings.withColumns({"url_key": X.key("u:", url), "role_key": X.key("r:", F.concat(normal_company(F.col("company")), F.lit("|"), normal_title(F.col("title"))))})
+    """Openings with url_key and role_key."""
+    return normal(openings).withColumns({"url_key": url_key(F.col("url")), "role_key": role_key(F.col("_company"), F.col("_title"))}).drop("_title", "_company", "_words")
 
 
 def one_of_each(openings: DataFrame, key: str = "key", similar: float = SIMILAR) -> DataFrame:
-    """Key, slot, duplicates: what is left when, in order of place, each opening joins the first kept one that is the same job.
+    """Key, slot, duplicates: what is left when, in order of place, each opening joins a kept one that is the same job.
 
     The same job: an equal URL, an equal company and title, or titles of one company (which must be known) that are
     similar and name the same regions. openings: key, place, url, company, title, in falling order of rank, so that
     the first of a slot is its best.
     """
-    words = title_words(F.col("title"))
-    company = normal_company(F.col("company"))
-    k = keys(openings).select(F.col(key).alias("id"), "place", F.col("url_key").alias("key_a"), F.col("role_key").alias("key_b"), words.alias("s"), marks(words).alias("p"), F.nullif(company, F.lit("")).alias("g"))
+    d = normal(openings.select(F.col(key).alias("id"), "place", "url", "company", "title"))
+    k = d.select("id", "place", url_key(F.col("url")).alias("key_a"), role_key(F.col("_company"), F.col("_title")).alias("key_b"), F.col("_words").alias("s"), marks(F.col("_words")).alias("p"), F.nullif("_company", F.lit("")).alias("g"))
     return dedupe.greedy(k, similar, same_marks=True).withColumnRenamed("id", key)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.steps import scratch  # noqa: F401
+
 STAGES = ["targeted", "delivered", "opened", "engaged", "completed"]
 CHANNELS = [("email", 1), ("whatsapp", 2), ("lms", 3), ("teams", 4), ("community", 5)]
 #: Stages a channel cannot measure; all others are measured.
@@ -21,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, one machine gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-    folder = folder or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def recipient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per campaign, channel and person, from events: five nullable stage flags, stamps, measures."""
     e = table(spark, sf_dir, "events")
