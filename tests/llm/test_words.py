@@ -226,10 +226,15 @@ def aligned(both, texts: list[str | None]) -> list[tuple]:
                 pairs.append((i, spans[1][k][2]))
                 k += 1
         common = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
-        groups, start = [], 0
+        groups, at = [], [0, 0]
         for end in common:
-            groups.append("|".join(",".join(str(i) for s, e, i in side if start <= s and e <= end) for side in spans))
-            start = end
+            both_sides = []
+            for k in (0, 1):
+                first = at[k]
+                while at[k] < len(spans[k]) and spans[k][at[k]][1] <= end:
+                    at[k] += 1
+                both_sides.append(",".join(str(i) for _, _, i in spans[k][first : at[k]]))
+            groups.append("|".join(both_sides))
         corpus.update(pairs)
         found.append((a, b, groups, pairs))
     best = collections.defaultdict(int)
@@ -250,7 +255,7 @@ def test_op13_equals_a_walk_along_the_tokens(spark, both):
     got = sorted(align.op13(frame(spark, rows)).collect())
     assert [tuple(r)[1:] for r in got] == aligned(both, texts)
     assert got[6].n_a == 0 and got[6].groups_sha256 == "" and got[13].n_a > 0
-    assert len(both.segments(texts[-1])) > 1
+    assert len(both.chunks(texts[-1])) > 2 * align.SEGMENT
 
 
 def test_op13_of_nothing(spark):
@@ -258,17 +263,18 @@ def test_op13_of_nothing(spark):
     assert [tuple(r)[1:] for r in align.op13(frame(spark, [(None, None, *REST)])).collect()] == [(0, 0, 0, 0, 0, 0, "")]
 
 
-def test_segments_change_no_token(both, monkeypatch):
-    monkeypatch.setattr(align, "SEGMENT", 5)
+def test_chunks_change_no_token(both):
     rng = random.Random(4)
-    parts = ["word", "Word's", "  ", " ", "\n", "x1", "12", "é", "ß", "☃", ".", ",", "the", "<s>", "'", "_a"]
-    for _ in range(300):
-        text = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(30))
-        some = both.segments(text)
-        assert "".join(some) == " " + text
-        a, b = both.encode(some)
-        assert sum(a, []) == both.a.encode(" " + text, add_special_tokens=False).ids
-        assert sum(b, []) == both.b.encode(text)
+    parts = ["word", "Word's", "  ", " ", "\n", "x1", "12", "é", "ß", "☃", ".", ",", "the", "<s>", "'", "_a", "'s", "\xa0", "\t", "…", "日本", "\0"]
+    for i in range(600):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 30)))
+        some = both.chunks(text)
+        assert "".join(some) == " " + text and all(c[0] == " " for c in some)
+        if i % 200 == 0:
+            both.forget()
+        number = both.numbers(some)
+        assert both.gathered(0, number)[0].tolist() == both.a.encode(" " + text, add_special_tokens=False).ids
+        assert both.gathered(1, number)[0].tolist() == both.b.encode(text)
 
 
 def test_shards_add_up_runs(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,11 @@ from .common import fresh_path
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark that stands for a space in pieces (fixed by the format).
 MARK = "▁"
-#: Characters after which a text is cut at the next place where no token reaches across, and those encoded at once.
-SEGMENT, AT_ONCE = 1 << 15, 1 << 18
+#: Chunks of a segment, characters of the texts encoded at once, and tokens that a worker remembers the chunks of.
+SEGMENT, AT_ONCE, REMEMBERED = 4096, 1 << 18, 1 << 22
+#: Characters beside a space that make the space begin a token on both sides: visible ones, none of them white space.
+VISIBLE = r"!-~\u00A1-\u024F"
+CUT, UNSAFE = re.compile(f"(?<=[{VISIBLE}])(?= [{VISIBLE}])"), re.compile(f"(?<![{VISIBLE}]) | (?![{VISIBLE}])|\0")
 #: Tokens whose links are held at once, and distinct pairs that a task sums before it passes them on.
 TOKENS, PAIRS = 1 << 18, 1 << 21
 #: Shards that a task keeps mapped.
@@ -55,39 +59,44 @@ class Tokenizers:
         self.b_bytes = [bytes([int(n[3:-1], 16)]) if self.b.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         #: No piece has a mark after another character, so none reaches across the start of a word.
         self.separable = not any(MARK in n.lstrip(MARK) for n in names)
+        self.forget()
         self.a_length, self.b_length = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.texts = {side: tuple(np.array([f"{i}{sep}".encode() for i in range(n)], object) for sep in seps) for side, n, seps in (("a", size, ",|"), ("b", len(names), ",;"))}
 
-    def segments(self, text: str) -> list[str]:
-        """space+text in parts of about SEGMENT characters, cut before a space between an ASCII letter or digit and an ASCII letter: both tokenizers begin a token there, whatever stands around."""
-        whole, out, at = " " + text, [], 0
-        while self.separable and len(whole) - at > SEGMENT:
-            cut = whole.find(" ", at + SEGMENT)
-            while cut > 0 and not (whole[cut - 1].isascii() and whole[cut - 1].isalnum() and whole[cut + 1 : cut + 2].isascii() and whole[cut + 1 : cut + 2].isalpha()):
-                cut = whole.find(" ", cut + 1)
-            if cut < 0:
-                break
-            out.append(whole[at:cut])
-            at = cut
-        return [*out, whole[at:]]
-
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of parts that begin with a space, under both."""
-        a, b, lo = [], [], 0
-        while lo < len(parts):
-            hi, held = lo, 0
-            while hi < len(parts) and (hi == lo or held + len(parts[hi]) <= AT_ONCE):
-                held += len(parts[hi])
-                hi += 1
-            a += [e.ids for e in self.a.encode_batch(parts[lo:hi], add_special_tokens=False)]
-            b += self.b.encode([p[1:] for p in parts[lo:hi]], num_threads=1)
-            lo = hi
-        return a, b
-
-    def same(self, part: str, a: list[int], b: list[int]) -> bool:
-        """Whether both sides' bytes are those of the part."""
-        data = part.encode()
-        return b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
+    def forget(self) -> None:
+        """Start anew with no chunks remembered."""
+        self.known: dict[str, int] = {}
+        self.ids: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.start: list[np.ndarray] = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.equal = np.zeros(0, bool)
+
+    def chunks(self, text: str) -> list[str]:
+        """space+text, cut before each space between two VISIBLE characters: there both tokenizers begin a token, whatever stands around, so chunks are encoded apart."""
+        if not self.separable:
+            return [" " + text]
+        if UNSAFE.search(text) is None:
+            return (" " + text).replace(" ", "\0 ")[1:].split("\0")
+        return CUT.split(" " + text)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk among those known; what is new is encoded first, each once."""
+        new = list(dict.fromkeys(c for c in chunks if c not in self.known))
+        if new:
+            found = [[e.ids for e in self.a.encode_batch(new, add_special_tokens=False)], self.b.encode([c[1:] for c in new], num_threads=1)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            same = [b"".join(map(self.a_bytes.__getitem__, a)) == c.encode() == b"".join(map(self.b_bytes.__getitem__, b)) for c, a, b in zip(new, *found, strict=True)]
+            self.equal = np.append(self.equal, same)
+            for side in (0, 1):
+                length = np.fromiter(map(len, found[side]), np.int64, len(new))
+                self.start[side] = np.append(self.start[side], self.start[side][-1] + np.cumsum(length))
+                self.ids[side] = np.append(self.ids[side], np.fromiter((i for x in found[side] for i in x), np.int32, int(length.sum())))
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def gathered(self, side: int, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        start, length = self.start[side][chunks], self.start[side][chunks + 1] - self.start[side][chunks]
+        before = np.cumsum(length) - length
+        return self.ids[side][np.repeat(start - before, length) + np.arange(int(length.sum()))], length
 
 
 @cache
@@ -96,13 +105,12 @@ def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
-def _lists(rows: list[list]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)])
-    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.fromiter((x for r in rows for x in r), np.int32, int(offsets[-1])))).cast(pa.list_(pa.int32()))
+def _lists(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values, pa.int32()))
 
 
 def encodings(docs: DataFrame, key: str, text: str, byte_level: str, pieces: str) -> DataFrame:
-    """key, a, b (ids of the whole text), a_part, b_part (how many of them each segment has); all empty for a text without tokens."""
+    """key, a, b (ids of the whole text), a_part, b_part (how many of them each SEGMENT of chunks has); all empty for a text without tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(byte_level, pieces)
@@ -121,20 +129,22 @@ def encodings(docs: DataFrame, key: str, text: str, byte_level: str, pieces: str
 
 
 def _encoded(both: Tokenizers, texts: list[str]) -> list[pa.Array]:
-    parts = [both.segments(t) if t else [] for t in texts]
-    flat_a, flat_b = both.encode([p for some in parts for p in some])
-    rows, at = [], 0
-    for some in parts:
-        a, b = flat_a[at : at + len(some)], flat_b[at : at + len(some)]
-        at += len(some)
-        whole_a, whole_b = [x for s in a for x in s], [x for s in b for x in s]
-        if all(map(both.same, some, a, b)):
-            rows.append((whole_a, whole_b, [*map(len, a)], [*map(len, b)]))
-        elif both.same("".join(some), whole_a, whole_b):  # equal as a whole only
-            rows.append((whole_a, whole_b, [len(whole_a)], [len(whole_b)]))
-        else:
-            rows.append(([], [], [], []))
-    return [_lists([r[i] for r in rows]) for i in range(4)]
+    if max(map(len, both.ids)) > REMEMBERED:
+        both.forget()
+    parts = [both.chunks(t) if t else [] for t in texts]
+    number = both.numbers([c for some in parts for c in some])
+    count = np.fromiter(map(len, parts), np.int64, len(parts))
+    row = np.repeat(np.arange(len(parts)), count)
+    # a text with a chunk whose bytes are lost has no tokens
+    whole = np.bincount(row[~both.equal[number]], minlength=len(parts)) == 0
+    number, row, count = number[whole[row]], row[whole[row]], np.where(whole, count, 0)
+    place = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    first = np.flatnonzero(place % SEGMENT == 0)
+    out = []
+    for side in (0, 1):
+        ids, length = both.gathered(side, number)
+        out.append((_lists(ids, np.bincount(row, length, len(parts)).astype(np.int64)), _lists(np.add.reduceat(length, first) if len(first) else first, -(-count // SEGMENT))))
+    return [out[0][0], out[1][0], out[0][1], out[1][1]]
 
 
 @dataclass
@@ -305,8 +315,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_level:
     those whose ids are linked as often, corpus-wide, as the B id is with any; count_sum adds up how often over all links.
     groups_sha256 digests the ids group by group. A null or empty text, and one whose tokens' bytes are not those of
     space+text on both sides, has no tokens: zeros and an empty digest. Repeated rows count each; other columns are
-    ignored; an empty table gives no rows. Texts are encoded once, in segments that no token crosses; encodings and
-    partial counts are written to the shared folder. The tokenizers' files must lie on every machine.
+    ignored; an empty table gives no rows. Texts are encoded once, in chunks that no token crosses, each of
+    which a worker remembers; encodings and partial counts are written to the shared folder. The tokenizers' files must lie on every machine.
     """
     spark = docs.sparkSession
     at = fresh_path(spark, "encodings")
