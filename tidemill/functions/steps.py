@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of a struct of values, each of which is computed once however often body uses it. For expressions that a function of columns nests deeply."""
+    return F.element_at(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 1)
+
+
 def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; where that is unset, one machine gets a temporary one, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "")

@@ -175,7 +175,17 @@ query("filtered_funnel", f"with {FUN}, x as (select channel, stage, sum(value)::
 )
 
 # coercions over a messy column
-_WORDS = ["Yes", "TRUE", " ✓ ", "", "85%", "0.85", "01:05:00", "45 min", "PT1H5M", "1.5 hours", "03/04/2026", "2026-01-14", "ages", "no", "1%", "45000", "1", "1,200", "90"]
+#: What each cell of a messy column is as a flag, as minutes and as a date, told by hand.
+_CELLS = {
+    "Yes": (True, None, None), "TRUE": (True, None, None), " ✓ ": (True, None, None), "": (None, None, None), "85%": (None, 85, None), "0.85": (None, 0.85, None),
+    "01:05:00": (None, 65, None), "45 min": (None, 45, None), "PT1H5M": (None, 65, None), "1.5 hours": (None, 90, None), "03/04/2026": (None, 3042026, "2026-04-03"), "2026-01-14": (None, None, "2026-01-14"),
+    "ages": (None, None, None), "no": (False, None, None), "1%": (None, 1, None), "45000": (None, 45000, None), "1": (True, 1, None), "1,200": (None, 1200, None), "90": (None, 90, None),
+    "Delivered": (True, None, None), "In Progress": (False, None, None), "failed": (False, None, None), "on": (True, None, None), "x": (True, None, None), "-": (None, None, None), "done": (None, None, None), "1.0": (True, 1, None), "opened": (True, None, None),
+    "about 65": (None, 65, None), "1h30": (None, 130, None), "1:75": (None, 175, None), "3/4/2026": (None, 342026, "2026-04-03"), "03-04-2026": (None, None, "2026-04-03"), "14 Jan 2026": (None, 142026, "2026-01-14"),
+    "2026-01-14 10:00:00": (None, None, "2026-01-14"), "Jan 14, 2026": (None, 142026, "2026-01-14"), "31/02/2026": (None, 31022026, None),
+}
+_WORDS = list(_CELLS)
+_told = lambda k, sql: "[" + ", ".join("null" if v[k] is None else sql(v[k]) for v in _CELLS.values()) + f"][((l_orderkey + l_linenumber) % {len(_WORDS)} + 1)::int]"
 _M = "m as (select l_orderkey, l_linenumber, [" + ", ".join(f"'{w}'" for w in _WORDS) + f"][((l_orderkey + l_linenumber) % {len(_WORDS)} + 1)::int] as x from lineitem)"
 
 
@@ -186,7 +196,7 @@ def _messy(s, d):
 
 _NUM = r"try_cast(regexp_replace(x, '[^\d.\-]', '', 'g') as double)"
 _in = lambda words: ", ".join(f"'{w}'" for w in words)
-query("coerce_bool", f"with {_M} select l_orderkey, l_linenumber, x, case when lower(trim(x)) in ({_in(C.TRUES)}) then true when lower(trim(x)) in ({_in(C.FALSES)}) then false end as v from m")(
+query("coerce_bool", f"with {_M} select l_orderkey, l_linenumber, x, {_told(0, str)}::boolean as v from m")(
     lambda s, d: _messy(s, d).withColumn("v", C.to_bool(F.col("x")))
 )
 query("coerce_number", f"with {_M} select l_orderkey, l_linenumber, x, {_NUM} as v, case when trim(x) <> '' then {_NUM} > 0 end as positive from m")(
@@ -195,13 +205,10 @@ query("coerce_number", f"with {_M} select l_orderkey, l_linenumber, x, {_NUM} as
 query("coerce_percent", f"with {_M}, n as (select *, {_NUM} as n from m) select l_orderkey, l_linenumber, x, round(case when ends_with(trim(x), '%') or n > 1 then n / 100 else n end, 8) as v from n")(
     lambda s, d: _messy(s, d).withColumn("v", F.round(C.to_percent(F.col("x")), 8))
 )
-query("coerce_duration", f"""with {_M}, t as (select *, lower(trim(x)) as t from m) select l_orderkey, l_linenumber, x, round(coalesce(try_cast(t as double),
- case when regexp_matches(t, '^\\d+:\\d{{1,2}}(:\\d{{1,2}})?$') then split_part(t, ':', 1)::double * 60 + split_part(t, ':', 2)::double + coalesce(try_cast(split_part(t, ':', 3) as double), 0) / 60 end,
- case when regexp_matches(t, '^pt?(\\d+(\\.\\d+)?h)?(\\d+(\\.\\d+)?m)?(\\d+(\\.\\d+)?s)?$') and regexp_matches(t, '\\d') then coalesce(try_cast(regexp_extract(t, '([\\d.]+)h', 1) as double), 0) * 60 + coalesce(try_cast(regexp_extract(t, '([\\d.]+)m', 1) as double), 0) + coalesce(try_cast(regexp_extract(t, '([\\d.]+)s', 1) as double), 0) / 60 end,
- case when regexp_matches(t, '\\d\\s*[hms]') then coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*h', 1) as double), 0) * 60 + coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*m', 1) as double), 0) + coalesce(try_cast(regexp_extract(t, '([\\d.]+)\\s*s', 1) as double), 0) / 60 end), 6) as v from t""")(
+query("coerce_duration", f"with {_M} select l_orderkey, l_linenumber, x, {_told(1, str)}::double as v from m")(
     lambda s, d: _messy(s, d).withColumn("v", F.round(C.to_minutes(F.col("x")), 6))
 )
-query("coerce_date", f"with {_M}, t as (select *, trim(x) as t from m) select l_orderkey, l_linenumber, x, coalesce(case when try_cast(t as double) between 32000 and 55000 then date '1899-12-30' + try_cast(t as double)::int end, try_strptime(t, '%Y-%m-%d')::date, try_strptime(t, '%d/%m/%Y')::date)::date as v from t")(
+query("coerce_date", f"with {_M} select l_orderkey, l_linenumber, x, {_told(2, lambda v: f"date '{v}'")}::date as v from m")(
     lambda s, d: _messy(s, d).withColumn("v", C.to_date(F.col("x")))
 )
 query("slug", "select c_custkey, trim(regexp_replace(lower(trim(c_name || ' / ' || c_mktsegment)), '[^a-z0-9]+', '-', 'g'), '-') as slug from customer")(
@@ -243,16 +250,18 @@ query("question_to_rows", f"with {B.SAL} select region, sum(leads)::bigint as le
 )
 
 # texts
-query("page_title", "select page_id, " + "trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as title from pages")(
+# the references that these pages hold, the ampersand last
+_REFS = r"regexp_replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+query("page_title", "select page_id, trim(regexp_replace(" + _REFS.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as title from pages")(
     lambda s, d: B.table(s, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title"))
 )
-query("strip_html", "select page_id, trim(regexp_replace(" + "replace(" * len(X.ENTITIES) + r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br[^>]*>|</p>|</li>|</div>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')" + "".join(f", '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in X.ENTITIES.items()) + r", '[ \t\n\r\x{a0}]+', ' ', 'g')) as body from pages")(
+query("strip_html", "select page_id, trim(regexp_replace(" + _REFS.format(r"regexp_replace(regexp_replace(regexp_replace(" + _REFS.format("html") + r", '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')") + r", '[\s\x{a0}]+', ' ', 'g')) as body from pages")(
     lambda s, d: B.table(s, d, "pages").select("page_id", X.strip_html(F.col("html")).alias("body"))
 )
 query("canonical_url", r"""with p as (select page_id, url, string_split(url, '#')[1] as u from pages),
  k as (select page_id, url, string_split(u, '://')[1] as sch, string_split(string_split(u, '://')[2], '?')[1] as hp, string_split(u, '?')[2:] as qs from p),
  h as (select *, string_split(hp, '/')[1] as host, '/' || array_to_string(string_split(hp, '/')[2:], '/') as path, coalesce(string_split(array_to_string(qs, '?'), '&'), []) as parts from k),
- t as (select *, list_filter(parts, lambda x: contains(x, '=') and not starts_with(x, '=') and split_part(x, '=', 2) <> '' and not regexp_matches(lower(x), '^(utm_|pk_|mc_|hsa_|ito_)') and not regexp_matches(lower(x), '^(""" + "|".join(X.TRACKING) + r""")=')) as kept from h)
+ t as (select *, list_filter(parts, lambda x: contains(x, '=') and not starts_with(x, '=') and split_part(x, '=', 2) <> '' and not regexp_matches(lower(x), '^(utm_|pk_|mc_|hsa_|ito_)') and not regexp_matches(lower(x), '^(fbclid|gclid|dclid|msclkid|igshid|ref|referrer|cmpid|campaign_id|source|src|from|feature|share|amp|output|ncid|smid|cid|utm|sh)=')) as kept from h)
  select page_id, case when coalesce(hp, '') = '' or host = '' then url else lower(sch) || '://' || regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || coalesce(nullif(rtrim(path, '/'), ''), '/') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as url from t""")(
     lambda s, d: B.table(s, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("url"))
 )
@@ -263,7 +272,8 @@ query("truncate_summary", r"""with s as (select doc_id, text, left(text, 161) as
     lambda s, d: B.table(s, d, "documents").select("doc_id", X.truncate(F.col("text")).alias("summary"))
 )
 _FLAT = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'), '[ \\t\\n\\r\\x{a0}]+', ' ', 'g'))"
-_TOK = f"list_filter(string_split({_FLAT}, ' '), lambda w: (length(w) > 2 or regexp_matches(w, '[0-9]')) and w not in (" + _in(X.STOPWORDS) + "))"
+_STOP = "a an the and or of to in on for at by with from as is are was were be been it its this that these those new says say said after over into amid ahead up down more most may might will would can could should percent pc cent".split()
+_TOK = f"list_filter(string_split({_FLAT}, ' '), lambda w: (length(w) > 2 or regexp_matches(w, '[0-9]')) and w not in (" + _in(_STOP) + "))"
 _STEM = "case " + " ".join(f"when ends_with(w, '{x}') and length(w) >= {len(x) + X.LEAST_STEM} then left(w, length(w) - {len(x)})" for x in X.SUFFIXES) + " else w end"
 query("title_tokens", f"with {ART} select doc_id, array_to_string({_TOK}, ' ') as tokens from art")(
     lambda s, d: _art(s, d).select("doc_id", F.array_join(X.tokens(F.col("title")), " ").alias("tokens"))
@@ -403,4 +413,4 @@ for _name, _ask, _sql in (
 
 
 # the other parts of the catalogue register themselves
-from . import brief_catalog, ingest_catalog, radar_catalog, source_catalog  # noqa: E402, F401
+from . import brief_catalog, cleaning_catalog, ingest_catalog, radar_catalog, source_catalog  # noqa: E402, F401
