@@ -23,7 +23,7 @@ BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece
 #: The mark that stands for a space in pieces (fixed by the format).
 MARK = "▁"
 #: Chunks of a segment, characters of the texts encoded at once, and tokens that a worker remembers the chunks of.
-SEGMENT, AT_ONCE, REMEMBERED = 4096, 1 << 18, 1 << 22
+SEGMENT, AT_ONCE, REMEMBERED = 4096, 1 << 18, 1 << 20
 #: Characters beside a space that make the space begin a token on both sides: visible ones, none of them white space.
 VISIBLE = r"!-~\u00A1-\u024F"
 CUT, UNSAFE = re.compile(f"(?<=[{VISIBLE}])(?= [{VISIBLE}])"), re.compile(f"(?<![{VISIBLE}]) | (?![{VISIBLE}])|\0")
