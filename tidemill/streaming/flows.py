@@ -18,6 +18,12 @@ def activity(events: DataFrame, length: str = "1 day", late: str = "26 hours") -
     return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def activity_by(events: DataFrame, grain: str) -> DataFrame:
+    """The same by calendar period: day, week (from Monday), month, quarter or year, which no window of fixed length gives."""
+    w = events.groupBy(F.date_trunc(grain, "ts").alias("start"), "event_type")
+    return w.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 def first_seen(items: DataFrame, key: str, late: str = "14 days") -> DataFrame:
     """Items whose key has not come within the watermark: a seen-ledger with retention."""
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
