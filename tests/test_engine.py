@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import coerce as C
 from tidemill.functions import text as X
-from tidemill.operators import coverage, digest, funnel, merge, nlq
-from tidemill.plans import catalog
+from tidemill.operators import coverage, digest, funnel, merge, nlq, routing
+from tidemill.plans import brief_catalog, catalog
 from tidemill.sources import delimited, feeds
 from tidemill.streaming import flows
 
@@ -117,7 +117,7 @@ def test_caps_equal_the_plain_fold(spark):
 
 def test_greedy_equals_the_plain_fold(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    items = digest.scored(digest.articles(docs)).cache()
+    items = routing.routed(digest.articles(docs), brief_catalog.BRIEF).cache()
     got = {(r.doc_id, r.duplicates) for r in digest.greedy(items).collect()}
     k = digest.keys(digest.ranked(items)).select("doc_id", "place", "text_key", "title_key", X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p")).orderBy("place").collect()
     kept = []
@@ -188,7 +188,8 @@ def test_seen_in_a_stream(spark):
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     items = digest.articles(docs)
-    assert digest.capped(digest.scored(items)).count() == 0 and digest.near_pairs(items).count() == 0 and digest.greedy(digest.scored(items)).count() == 0
+    scored = routing.routed(items, brief_catalog.BRIEF)
+    assert digest.capped(scored).count() == 0 and digest.near_pairs(items).count() == 0 and digest.greedy(scored).count() == 0
 
 
 def test_encoding_is_that_of_the_whole_file(spark, tmp_path):

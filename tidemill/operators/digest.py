@@ -1,4 +1,4 @@
-"""From items to a ranked, capped brief: window, score, route, remove near-duplicates and what was seen."""
+"""From routed items to a ranked, capped brief: window, rank, quotas, remove near-duplicates and what was seen."""
 
 from __future__ import annotations
 
@@ -9,12 +9,6 @@ from ..functions import text as X
 from ..functions.steps import cut
 from . import dedupe
 
-#: section: order, multiplier, keywords with weights. Our own vocabulary, from frequent words of the bound tables.
-SECTIONS = {"alpha": (1, 1.0, {"thing": 3.0, "tion": 1.0, "erth": 2.0}), "beta": (2, 1.2, {"nder": 3.0, "thble": 2.0, "onha": 1.0}), "gamma": (3, 0.9, {"for": 1.0, "with": 1.5, "attion": 3.0})}
-EXCLUDED = ["idiot", "pathetic"]
-TITLE_FACTOR, TOP_KEYWORDS = 1.5, 8
-
-
 def articles(documents: DataFrame, start: str = "2024-01-01 00:00:00") -> DataFrame:
     """Documents as items: the first line's head is the title, every 17th has no date."""
     head = F.regexp_replace(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), r"\s+", " ")
@@ -29,26 +23,6 @@ def within(items: DataFrame, now: Column, hours: int = 26, undated: bool = True,
     return items.withColumn("published", ts).where(F.col("published") >= now - F.expr(f"interval {hours} hours"))
 
 
-def scored(items: DataFrame) -> DataFrame:
-    """Keyword scores of each section, the best section, and why an item is rejected.
-
-    Words are matched whole in padded, folded text; a keyword in the title counts TITLE_FACTOR times; the
-    TOP_KEYWORDS highest contributions add up; of equal sections the first in order wins.
-    """
-    fold = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
-    x = items.withColumn("_t", fold(F.col("title"))).withColumn("_s", fold(F.col("summary")))
-    has = lambda c, k: F.contains(F.col(c), F.lit(f" {k} "))
-    best = []
-    for name, (order, factor, words) in SECTIONS.items():
-        parts = F.array(*(F.when(has("_t", k), F.lit(w * TITLE_FACTOR)).when(has("_s", k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in words.items()))
-        top = F.aggregate(F.slice(F.sort_array(parts, False), 1, TOP_KEYWORDS), F.lit(0.0), lambda a, b: a + b)
-        best.append(F.struct(F.round(top * factor, 10).alias("score"), F.lit(-order).alias("rank"), F.lit(name).alias("section")))
-    out = x.withColumn("_b", F.array_max(F.array(*best)))
-    bad = F.array_min(F.filter(F.array(*(F.when(has("_t", k) | has("_s", k), F.lit(k)) for k in EXCLUDED)), lambda k: k.isNotNull()))
-    reason = F.when(bad.isNotNull(), F.concat(F.lit("excluded:"), bad)).when(F.col("_b.score") <= 0, "no section")
-    return out.select(*items.columns, F.round("_b.score", 6).alias("score"), F.when(F.col("_b.score") > 0, F.col("_b.section")).alias("section_id"), reason.alias("reject_reason"))
-
-
 def ranked(items: DataFrame, score: str = "score", at: str = "published", key: str = "doc_id") -> DataFrame:
     """Place by score, then date, both falling, undated last; ties by key.
 
@@ -169,18 +143,21 @@ def failure_ratio(sources: DataFrame) -> DataFrame:
     return sources.agg(F.count(F.lit(1)).alias("sources"), failed.alias("failed"), F.coalesce(F.round(F.try_divide(failed, asked), 6), F.lit(0.0)).alias("ratio"))
 
 
-def first_counters(items: DataFrame, now: Column, hours: int) -> DataFrame:
-    """Fetched, in_window, accepted."""
-    w = scored(within(items, now, hours))
-    return items.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(w.agg(F.count(F.lit(1)).alias("in_window"), F.count_if(F.col("reject_reason").isNull()).alias("accepted")))
+def first_counters(items: DataFrame, routed: DataFrame) -> DataFrame:
+    """Fetched, in_window, accepted. routed: the items in the window, with reject_reason."""
+    return items.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(routed.agg(F.count(F.lit(1)).alias("in_window"), F.count_if(F.col("reject_reason").isNull()).alias("accepted")))
 
 
-def counters(items: DataFrame, now: Column, hours: int, ledger: DataFrame | None = None) -> DataFrame:
-    """How many items each step of the brief keeps: first_counters(), then after_dedupe, unseen, published."""
-    ok = scored(within(items, now, hours)).where("reject_reason is null")
+def counters(items: DataFrame, routed: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """How many items each step of the brief keeps: first_counters(), then after_dedupe, unseen, published.
+
+    routed: the items in the window with score, section_id and reject_reason, as routing.routed() gives them; written once.
+    """
+    told = cut(routed)
+    ok = told.where("reject_reason is null")
     kept = cut(ok.join(greedy(ok).select("doc_id"), "doc_id", "left_semi"))
     fresh = unseen(kept, ledger) if ledger is not None else kept
-    out = first_counters(items, now, hours)
+    out = first_counters(items, told)
     for df, name in ((kept, "after_dedupe"), (fresh, "unseen"), (capped(fresh), "published")):
         out = out.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))  # single rows
     return out

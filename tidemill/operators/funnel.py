@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 STAGES = ["targeted", "delivered", "opened", "engaged", "completed"]
 
 
@@ -68,10 +70,11 @@ def channel_wide(totals: DataFrame) -> DataFrame:
 def channel_extras(recipient: DataFrame) -> DataFrame:
     """Counts, means and the median of hours (as boundaries crossed) from first contact to opening."""
     hours = (F.unix_timestamp(F.date_trunc("hour", "opened_at")) - F.unix_timestamp(F.date_trunc("hour", "targeted_at"))) / 3600
-    return recipient.groupBy("channel").agg(
+    counts = recipient.groupBy("channel").agg(
         F.count(F.lit(1)).alias("recipients"), F.count_if(F.col("opened").eqNullSafe(True)).alias("opened"), F.count_if(~F.col("opened").eqNullSafe(True)).alias("not_opened"), F.round(F.avg("score"), 6).alias("avg_score"),
-        F.round(F.avg(F.when(F.col("attempts") > 0, F.col("score") / F.col("attempts"))), 6).alias("avg_score_per_attempt"), F.median(F.when(F.col("opened").eqNullSafe(True), hours)).alias("median_hours"),
+        F.round(F.avg(F.when(F.col("attempts") > 0, F.col("score") / F.col("attempts"))), 6).alias("avg_score_per_attempt"),
     )
+    return counts.join(medians(recipient.where("opened"), ["channel"], hours, "median_hours").withColumnRenamed("channel", "_c"), F.col("channel").eqNullSafe(F.col("_c")), "left").drop("_c")
 
 
 def unambiguous(identity: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
+from . import selection
 
 EXAMPLES = 3
 
@@ -149,10 +150,10 @@ def verdicts(counts: DataFrame, issues: DataFrame, loaded: DataFrame, file: str
 def numbered(loads: DataFrame, ledger: DataFrame, order: str = "file") -> DataFrame:
     """Loads with batch_id, going on from the ledger's highest; one row for each attempt, duplicates and rejects included.
 
-    Attempts of one sweep are files, so their numbers come from one ordered pass over them; the report is kept as JSON (X39).
+    order must tell loads apart; numbers follow it by the totals of its ranges. The report is kept as JSON (X39).
     """
     last = ledger.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("_last"))
-    placed = loads.withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    placed = selection.numbered(loads, [order], "_n")
     report = F.to_json(F.struct(*(c for c in loads.columns)))
     return placed.crossJoin(F.broadcast(last)).withColumns({"batch_id": F.col("_last") + F.col("_n"), "superseded_by": F.lit(None).cast("long"), "report": report}).drop("_n", "_last")
 

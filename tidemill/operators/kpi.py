@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 #: key, numerator stage, denominator stage, channels that it is for (none: all); the published set (fixed values).
 KPIS = [
     ("delivery_rate", "delivered", "targeted", None),
@@ -88,7 +90,9 @@ def pass_mark(rows: DataFrame, group: str, mark: str, default: float = 70.0) ->
 
 def typical_length(rows: DataFrame, group: str, minutes: str) -> DataFrame:
     """The median over groups of each group's median."""
-    return rows.groupBy(group).agg(F.median(minutes).alias("m")).agg(F.round(F.median("m"), 6).alias("typical"))
+    typical = medians(medians(rows, [group], minutes, "m").withColumn("_all", F.lit(1)), ["_all"], "m", "typical")
+    # a sum over no rows gives one row of null, as a median does
+    return typical.agg(F.round(F.sum("typical"), 6).alias("typical"))
 
 
 def headline(funnel: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -109,7 +113,7 @@ def rag(kpis: DataFrame, targets: DataFrame, amber: float = 0.8) -> DataFrame:
     """Green at the target, amber at a share of it, else red; grey without value or target. targets: kpi, channel (null: any), target."""
     own = targets.where("channel is not null").select("kpi", "channel", F.col("target").alias("own"))
     any_ = targets.where("channel is null").select("kpi", F.col("target").alias("general"))
-    j = kpis.join(F.broadcast(own), ["kpi", "channel"], "left").join(F.broadcast(any_), "kpi", "left")
+    j = kpis.join(own, ["kpi", "channel"], "left").join(any_, "kpi", "left")
     t = F.coalesce("own", "general")
     color = F.when(F.col("value").isNull() | t.isNull(), "grey").when(F.col("value") >= t, "green").when(F.col("value") >= t * amber, "amber").otherwise("red")
     shown = F.when(F.col("status") == "ok", F.format_string("%.1f%%", F.bround(F.col("value") * 100, 1))).when(F.col("status") == "not_applicable", "n/a").when(F.col("status") == "not_measured", "not measured").when(F.col("status") == "suppressed", "suppressed").otherwise("—")

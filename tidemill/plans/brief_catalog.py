@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import keywords as K
 from ..functions import text as X
-from ..operators import routing
+from ..functions.steps import cut
+from ..operators import digest, routing
 from . import bindings as B
+from . import radar_catalog
+from .catalog import ART
 from .radar_catalog import _duck, _quoted, _spark
 from .registry import query
 
@@ -43,32 +46,42 @@ def _spelled(keyword: str) -> str:
 
 def _hits(text: str, keywords) -> str:
     """Distinct keywords of a text, each by a search of its own (no keyword of these lists contains another)."""
-    each = ", ".join(f"case when regexp_matches(lower({text}), '\\b{_spelled(k)}\\b') then '{k}' end" for k in sorted(keywords))
+    each = ", ".join(f"case when regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_])({_spelled(k)})($|[^\\p{{L}}\\p{{N}}_])') then '{k}' end" for k in sorted(keywords))
     return f"list_filter([{each}], lambda k: k is not null)"
 
 
-_T = TOPICS
-_SEC = []
-for _i, _x in enumerate(_T.sections):
-    _SEC.append(f"{_hits('t', _x.strong)} as st{_i}, {_hits('x', _x.strong)} as sx{_i}, {_hits('t', _x.supporting)} as pt{_i}, {_hits('x', _x.supporting)} as px{_i}")
-
-
-def _weights(title: str, body: str, w: float) -> str:
-    return f"list_transform(list_distinct(list_concat({title}, {body})), lambda k: {{'w': case when list_contains({title}, k) then {w * _T.title_factor}::double else {w}::double end, 'k': k}})"
+def _weights(title: str, body: str, w: float, factor: float) -> str:
+    return f"list_transform(list_distinct(list_concat({title}, {body})), lambda k: {{'w': case when list_contains({title}, k) then {w * factor}::double else {w}::double end, 'k': k}})"
+
+
+def routed_sql(t: routing.Topics) -> str:
+    """CTEs from itm (id, title, summary, source_id, and others) to rou: itm with score, section_id, matched, reject_reason."""
+    each = list(enumerate(t.sections))
+    found = ", ".join(f"{_hits('t', x.strong)} as st{i}, {_hits('x', x.strong)} as sx{i}, {_hits('t', x.supporting)} as pt{i}, {_hits('x', x.supporting)} as px{i}" for i, x in each)
+    counted = ", ".join(
+        f"list_sort(list_concat({_weights(f'st{i}', f'sx{i}', t.strong_weight, t.title_factor)}, {_weights(f'pt{i}', f'px{i}', t.supporting_weight, t.title_factor)}), 'DESC')[1:{t.most_keywords}] as c{i}"
+        for i, _ in each
+    )
+    best = ", ".join(
+        f"case when len(c{i}) > 0 or hint = '{x.id}' then {{'v': coalesce(list_sum(list_transform(c{i}, lambda h: h.w)), 0) * {x.multiplier} + case when hint = '{x.id}' then {t.hint_bonus} else 0 end, 'r': {-i}, 'id': '{x.id}', 'm': list_sort(list_transform(c{i}, lambda h: h.k))}} end"
+        for i, x in each
+    )
+    certified = " or ".join(f"(len(st{i}) + len(sx{i}) > 0 and (len(pt{i}) + len(px{i}) > 0 or len(list_filter(list_concat(st{i}, sx{i}), lambda k: k not in ({_quoted(x.ambiguous or ('',))}))) > 0))" for i, x in each if x.certifies)
+    weight = f"case source_id {' '.join(f'when {_quoted([k])} then {w}' for k, (w, _) in t.sources.items())} else 0 end" if t.sources else "0"
+    hints = {k: h for k, (_, h) in t.sources.items() if h}
+    hint = f"case source_id {' '.join(f'when {_quoted([k])} then {_quoted([h])}' for k, h in hints.items())} end" if hints else "null::varchar"
+    told = "reject_reason is null or reject_reason = 'below the threshold'"
+    return f"""i0 as (select *, coalesce(title, '') as t, coalesce(summary, '') as x, ({weight})::double as w, {hint} as hint from itm),
+i1 as (select *, {found}, {_hits("t || '. ' || x", t.exclude)} as bad, {_hits("t || '. ' || x", t.gate)} as gate from i0), i2 as (select *, {counted} from i1),
+i3 as (select *, list_sort(list_filter([{best}], lambda b: b is not null), 'DESC')[1] as b, {certified} as cert from i2),
+i4 as (select *, round_even(b.v + w, 3)::double as s0 from i3),
+i5 as (select *, case when len(bad) > 0 then 'excluded on ''' || list_min(bad) || '''' when b is null then 'no topic keywords matched' when not cert and w < {t.bypass} and len(gate) = 0 then 'outside the domain' when s0 < {t.least} then 'below the threshold' end as reject_reason from i4),
+rou as (select * exclude (reject_reason), case when {told} then s0 end as score, case when {told} then b.id end as section_id, case when {told} then array_to_string(b.m, '|') end as matched, reject_reason from i5)"""
 
 
-_CNT = ", ".join(f"list_sort(list_concat({_weights(f'st{i}', f'sx{i}', _T.strong_weight)}, {_weights(f'pt{i}', f'px{i}', _T.supporting_weight)}), 'DESC')[1:{_T.most_keywords}] as c{i}" for i in range(len(_T.sections)))
-_BEST = ", ".join(f"case when len(c{i}) > 0 or hint = '{x.id}' then {{'v': coalesce(list_sum(list_transform(c{i}, lambda h: h.w)), 0) * {x.multiplier} + case when hint = '{x.id}' then {_T.hint_bonus} else 0 end, 'r': {-i}, 'id': '{x.id}', 'm': list_sort(list_transform(c{i}, lambda h: h.k))}} end" for i, x in enumerate(_T.sections))
-_CERT = " or ".join(f"(len(st{i}) + len(sx{i}) > 0 and (len(pt{i}) + len(px{i}) > 0 or len(list_filter(list_concat(st{i}, sx{i}), lambda k: k not in ({_quoted(x.ambiguous or ('',))}))) > 0))" for i, x in enumerate(_T.sections) if x.certifies)
-ROU = f"""{ITM}, i0 as (select *, coalesce(title, '') as t, coalesce(summary, '') as x, case source_id {' '.join(f"when '{k}' then {w}" for k, (w, _) in _T.sources.items())} else 0 end::double as w,
- case source_id {' '.join(f"when '{k}' then '{h}'" for k, (_, h) in _T.sources.items() if h)} end as hint from itm),
-i1 as (select *, {', '.join(_SEC)}, {_hits("t || '. ' || x", _T.exclude)} as bad, {_hits("t || '. ' || x", _T.gate)} as gate from i0), i2 as (select *, {_CNT} from i1),
-i3 as (select *, list_sort(list_filter([{_BEST}], lambda b: b is not null), 'DESC')[1] as b, {_CERT} as cert from i2),
-i4 as (select *, round_even(b.v + w, 3)::double as s0 from i3),
-i5 as (select *, case when len(bad) > 0 then 'excluded on ''' || list_min(bad) || '''' when b is null then 'no topic keywords matched' when not cert and w < {_T.bypass} and len(gate) = 0 then 'outside the domain' when s0 < {_T.least} then 'below the threshold' end as reject_reason from i4),
-rou as (select id, case when reject_reason is null or reject_reason = 'below the threshold' then s0 end as score, case when reject_reason is null or reject_reason = 'below the threshold' then b.id end as section_id,
- case when reject_reason is null or reject_reason = 'below the threshold' then array_to_string(b.m, '|') end as matched, reject_reason from i5)"""
-query("section_routing", f"with {ROU} select * from rou")(
+_T = TOPICS
+ROU = f"{ITM}, {routed_sql(TOPICS)}"
+query("section_routing", f"with {ROU} select id, score, section_id, matched, reject_reason from rou")(
     lambda s, d: routing.routed(_items(s, d), TOPICS).select("id", "score", "section_id", F.array_join("matched", "|").alias("matched"), "reject_reason")
 )
 _ORD = f"with {ROU}, o(section_id, ordinal) as (values {', '.join(f'''('{x.id}', {i})''' for i, x in enumerate(_T.sections))}), n as (select section_id, ordinal, count(*) as items from rou join o using (section_id) where reject_reason is null group by 1, 2) select section_id, items, (row_number() over (order by "
@@ -118,3 +131,64 @@ _DATES = {
 query("parse_dates", f"select o_orderkey as id, [{', '.join('null' if v is None else f'''timestamp '{v}' ''' for v in _DATES.values())}][(o_orderkey % {len(_DATES)})::int + 1] as stamp from orders")(
     lambda s, d: B.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), X.parse_date(F.element_at(F.array(*map(F.lit, _DATES)), (F.col("o_orderkey") % len(_DATES) + 1).cast("int"))).alias("stamp"))
 )
+
+
+# the brief: documents as items, routed, ranked, capped, without near-duplicates
+BRIEF = routing.Topics(
+    sections=(
+        routing.Topic("alpha", ("thing", "erth"), ("tion",), 1.0, True),
+        routing.Topic("beta", ("nder", "thble"), ("onha",), 1.2, True),
+        routing.Topic("gamma", ("attion",), ("with", "for"), 0.9, True),
+    ),
+    exclude=("idiot", "pathetic"),
+    sources={"src0": (0.5, None), "src1": (1.0, "beta")},
+    least=1.0,
+)
+NOW = "2024-01-01 14:00:00"
+SCO = f"{ART}, itm as (select doc_id as id, doc_id, source_id, title, summary, published from art), {routed_sql(BRIEF)}"
+
+
+def _brief(s, d, hours: int | None = None):
+    """Documents as items, or those of the last hours, routed."""
+    items = digest.articles(B.table(s, d, "documents"))
+    return routing.routed(items if hours is None else digest.within(items, F.lit(NOW).cast("timestamp"), hours), BRIEF)
+
+
+def _ok(s, d):
+    return _brief(s, d).where("reject_reason is null")
+
+
+query("keyword_score", f"with {SCO} select doc_id, score, section_id, reject_reason from rou")(
+    lambda s, d: _brief(s, d).select("doc_id", "score", "section_id", "reject_reason")
+)
+query("hard_exclusions", f"with {SCO} select reject_reason, count(*) as n from rou where reject_reason like 'excluded%' group by 1")(
+    lambda s, d: _brief(s, d).where("reject_reason like 'excluded%'").groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+)
+query("ranking", f"with {SCO} select doc_id, row_number() over (order by score desc, published desc nulls last, doc_id)::int as place from rou where reject_reason is null")(
+    lambda s, d: digest.ranked(cut(_ok(s, d).select("doc_id", "score", "published"))).select("doc_id", "place")
+)
+#: Quotas follow an ordered fold, which SQL does not express; tests hold them against a plain one.
+query("ranked_caps")(lambda s, d: digest.capped(_ok(s, d)).select("doc_id", "place", "source_id", "section_id"))
+query("section_counts", f"with {SCO} select section_id, count(*) as n, round(max(score), 6) as top from rou where reject_reason is null group by 1")(
+    lambda s, d: _ok(s, d).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top"))
+)
+query("dedupe_greedy")(lambda s, d: digest.greedy(cut(_brief(s, d).drop("matched"))))
+query("pipeline_steps", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from rou), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
+ select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted from i""")(
+    lambda s, d: digest.first_counters(B.table(s, d, "documents"), _brief(s, d, 26))
+)
+query("pipeline_counters")(lambda s, d: digest.counters(B.table(s, d, "documents"), _brief(s, d, 26)))
+
+# openings by fit and date, and their quotas by tier
+_POSTED = "case when id % 11 <> 0 then timestamp '2024-01-01 00:00:00' + to_minutes(id % 5000) end"
+
+
+def _offers(s, d):
+    posted = F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + (F.col("id") % 5000) * 60))
+    return radar_catalog._fitted(s, d).where("reject_reason is null").select(F.col("id").alias("doc_id"), "company", "fit", "tier", posted.alias("posted"))
+
+
+query("fit_ranking", f"with {radar_catalog.FIT} select id as doc_id, row_number() over (order by fit desc, {_POSTED} desc nulls last, id)::int as place from fit where reject_reason is null")(
+    lambda s, d: digest.ranked(cut(_offers(s, d)), "fit", "posted").select("doc_id", "place")
+)
+query("capped_tiers")(lambda s, d: digest.capped(_offers(s, d).where("tier != 'below'").select("doc_id", F.col("company").alias("source_id"), "tier", F.col("fit").alias("score"), F.col("posted").alias("published")), 8, 10, 30, "tier"))

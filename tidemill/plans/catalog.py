@@ -289,26 +289,6 @@ query("window_filter", f"with {ART}, w as (select doc_id, coalesce(published, ti
 query("window_filter_dated", f"with {ART} select doc_id, published from art where published >= timestamp '{NOW}' - interval 6 hour")(
     lambda s, d: digest.within(_art(s, d), F.lit(NOW).cast("timestamp"), 6, undated=False, clamp=False).select("doc_id", "published")
 )
-_fold = lambda c: f"(' ' || regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g') || ' ')"
-SCO = (
-    f"{ART}, fo as (select *, {_fold('title')} as t, {_fold('summary')} as x from art), sc as (select *, "
-    + ", ".join(f"round(({' + '.join(f'''case when contains(t, ' {k} ') then {w * digest.TITLE_FACTOR} when contains(x, ' {k} ') then {w} else 0 end''' for k, w in words.items())})::double * {m}, 10) as {n}" for n, (_, m, words) in digest.SECTIONS.items())
-    + ", [" + ", ".join(f"case when contains(t, ' {k} ') or contains(x, ' {k} ') then '{k}' end" for k in digest.EXCLUDED) + "] as bad from fo), "
-    + "sb as (select *, greatest(alpha, beta, gamma) as best from sc), "
-    + "sco as (select doc_id, source_id, title, summary, published, round(best, 6) as score, case when best > 0 then case when alpha = best then 'alpha' when beta = best then 'beta' else 'gamma' end end as section_id, "
-    + "case when list_min(list_filter(bad, lambda k: k is not null)) is not null then 'excluded:' || list_min(list_filter(bad, lambda k: k is not null)) when best <= 0 then 'no section' end as reject_reason from sb)"
-)
-query("keyword_score", f"with {SCO} select doc_id, score, section_id, reject_reason from sco")(
-    lambda s, d: digest.scored(_art(s, d)).select("doc_id", "score", "section_id", "reject_reason")
-)
-_ok = lambda s, d: digest.scored(_art(s, d)).where("reject_reason is null")
-query("ranking", f"with {SCO} select doc_id, row_number() over (order by score desc, published desc nulls last, doc_id)::int as place from sco where reject_reason is null")(
-    lambda s, d: digest.ranked(_ok(s, d)).select("doc_id", "place")
-)
-query("ranked_caps")(lambda s, d: digest.capped(_ok(s, d)).select("doc_id", "place", "source_id", "section_id"))
-query("section_counts", f"with {SCO} select section_id, count(*) as n, round(max(score), 6) as top from sco where reject_reason is null group by 1")(
-    lambda s, d: _ok(s, d).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top"))
-)
 query("dedupe_exact_keys", "select 'u:' || left(sha1(text), 16) as text_key, count(*) as items, min(doc_id) as first_id from documents group by 1")(
     lambda s, d: digest.exact_groups(_art(s, d))
 )
@@ -321,7 +301,6 @@ query("dedupe_near_pairs", f"""with {CLS}, w as (select id, p, unnest(s) as e, l
  select id_a, id_b, round(i / (na + nb - i), 6) as similarity from i where i / (na + nb - i) >= 0.62 and (len(pa) = 0 or len(pb) = 0 or list_has_any(pa, pb))""")(
     lambda s, d: digest.near_pairs(_art(s, d))
 )
-query("dedupe_greedy")(lambda s, d: digest.greedy(digest.scored(_art(s, d))))
 query("seen_filter", f"with {ART}, k as (select doc_id, sha1(summary) as u, {_FLAT} as t from art) select doc_id from k where doc_id % 3 <> 0 and u not in (select u from k where doc_id % 3 = 0) and t not in (select t from k where doc_id % 3 = 0)")(
     lambda s, d: digest.unseen(_art(s, d).where("doc_id % 3 != 0"), digest.keys(_art(s, d).where("doc_id % 3 = 0"))).select("doc_id")
 )
@@ -330,12 +309,6 @@ query("seen_ledger", f"""with {ART}, k as (select doc_id, [case when doc_id % 3
  m as (select key, min(seen_at) as seen_at from (select * from l union all select * from n) group by 1) select key, seen_at from m where seen_at >= timestamp '{NOW}' - interval 14 day""")(
     lambda s, d: (lambda k, now: digest.pruned(digest.marked(k.where("doc_id % 3 = 1").select(F.explode(F.array("text_key", "title_key")).alias("key"), (now - F.expr("make_dt_interval(cast(doc_id % 40 as int))")).alias("seen_at")), _art(s, d).where("doc_id % 3 = 2"), now), now))(digest.keys(_art(s, d)), F.lit(NOW).cast("timestamp"))
 )
-query("pipeline_steps", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from sco), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
- select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted from i""")(
-    lambda s, d: digest.first_counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26)
-)
-#: The later steps follow an ordered fold, which SQL does not express.
-query("pipeline_counters")(lambda s, d: digest.counters(_art(s, d), F.lit(NOW).cast("timestamp"), 26))
 query("failure_ratio", "select count(*) as sources, count(*) filter (s_suppkey % 4 = 1) as failed, round(count(*) filter (s_suppkey % 4 = 1) / count(*) filter (s_suppkey % 4 <> 2), 6) as ratio from supplier")(
     lambda s, d: digest.failure_ratio(B.table(s, d, "supplier").select(F.expr("case s_suppkey % 4 when 1 then 'error' when 2 then 'skipped' else 'ok' end").alias("status")))
 )
@@ -366,7 +339,6 @@ query("status_override", f"with {B.REC}, {B.SUP}, m as (select channel, case whe
 query("ordered_funnel", f"with {FUN}, o as (select channel, stage, sort_order, ordinal from fun) select channel, stage, (row_number() over (order by sort_order, ordinal))::int as place from o")(
     lambda s, d: views.numbered(_funnel(s, d), ["sort_order", "ordinal"]).select("channel", "stage", "place")
 )
-query("capped_tiers")(lambda s, d: digest.capped(_ok(s, d).withColumn("tier", F.when(F.col("score") >= 5, "strong").when(F.col("score") >= 3, "possible").otherwise("stretch")), 8, 10, 30, "tier"))
 
 
 @query("stream_equals_batch", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
