@@ -15,7 +15,7 @@ from tidemill.functions import coerce as C
 from tidemill.functions import text as X
 from tidemill.operators import coverage, digest, funnel, merge, nlq, routing
 from tidemill.plans import brief_catalog, catalog
-from tidemill.sources import delimited, feeds
+from tidemill.sources import delimited, feeds, files
 from tidemill.streaming import flows
 
 SF = "/root/testdata/sf0.001"
@@ -152,13 +152,13 @@ def test_delimited(spark):
     rows = delimited.read_delimited(spark, f"{folder}/a.csv").orderBy("_row").collect()
     assert [(r["Name"], r["Score"]) for r in rows] == [("Zoë", "1"), ("Bob", None)]
     prints = {"email": {"name": "mail", "strong": ["Recipient Email"], "weak": ["Bounced"]}, "lms": {"strong": ["Course Name"], "exclude": ["Bounced"]}}
-    assert delimited.detect(["recipient_email", "Bounced"], prints, "email_x.csv") == "email"
-    assert delimited.detect(["Column A"], prints) is None
+    told = files.detected(spark.createDataFrame([("mail_x.csv", ["recipient_email", "Bounced"]), ("y.csv", ["Column A"]), ("z.csv", []), ("mail_y.csv", None)], "file string, names array<string>"), prints)
+    assert {r.file: r.source for r in told.collect()} == {"mail_x.csv": "email", "y.csv": None, "z.csv": None, "mail_y.csv": None}
     ledger = spark.createDataFrame([], "sha256 string, status string")
-    new = delimited.new_files(spark, folder, ledger).collect()
+    new = files.new_files(spark, folder, ledger).collect()
     assert len(new) == 1
     done = spark.createDataFrame([(new[0]["sha256"], "loaded")], "sha256 string, status string")
-    assert delimited.new_files(spark, folder, done).count() == 0
+    assert files.new_files(spark, folder, done).count() == 0
 
 
 def test_feeds(spark):

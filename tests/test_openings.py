@@ -48,7 +48,7 @@ def test_gates_come_in_order(spark):
     assert [got[i].reject_reason and got[i].reject_reason.startswith(s) if s else got[i].reject_reason is None for i, s in enumerate(starts, 1)] == [True] * 8
     # 30 for VP, 30 * 2 / 3 for one function in the title, 20 * 1 / 2 for the domain, 8 for Northland
     assert (got[7].fit, got[7].tier, got[7].region) == (68.0, "possible", "home")
-    assert list(got[7].reasons) == ["VP (VP)", "alliances", "life cover", "Home — Northland", "12-20 yrs asked — squarely in range"]
+    assert list(got[7].reasons) == ["VP (VP)", "alliances", "life cover", "Home — Northland", "12-20 yrs asked, which fits"]
     assert got[1].fit is None and got[1].matched is None
     assert fit.fitted(spark.createDataFrame([], OPENING), PROFILE).count() == 0
 

@@ -126,7 +126,7 @@ def fitted(openings: DataFrame, p: Profile) -> DataFrame:
         "_edge": _dimension([("edge", 1.0)], p.title_factor, p.most_keywords, p.saturation["edge"]),
     }).withColumn("_named", F.size("_n_function") > 0)
     reason = (
-        F.when(F.col("_not_title").isNotNull(), F.concat(F.lit("title names '"), "_not_title", F.lit("', which is a different function")))
+        F.when(F.col("_not_title").isNotNull(), F.concat(F.lit("title names '"), "_not_title", F.lit("', another line of work")))
         .when(F.col("_not_any").isNotNull(), F.concat(F.lit("posting names '"), "_not_any", F.lit("'")))
         .when(F.col("_level").isNull(), F.lit("no grade marker in the title"))
         .when(~F.col("_named"), F.lit("names no function that is looked for"))
@@ -145,8 +145,8 @@ def fitted(openings: DataFrame, p: Profile) -> DataFrame:
         some("_function.matched", listed("_function.matched", 3, " · ")),
         some("_domain.matched", listed("_domain.matched", 1, "")),
         F.concat("_where.title", F.lit(" — "), place),
-        F.when(F.col("_band") != "", F.concat("_band", F.lit(" asked"), F.when(F.col("experience_min") >= p.ideal_years, F.lit(" — squarely in range")).otherwise(F.lit("")))),
-        some("_edge.matched", F.concat(F.lit("your edge: "), listed("_edge.matched", 3, ", "))),
+        F.when(F.col("_band") != "", F.concat("_band", F.lit(" asked"), F.when(F.col("experience_min") >= p.ideal_years, F.lit(", which fits")).otherwise(F.lit("")))),
+        some("_edge.matched", F.concat(F.lit("stands out by "), listed("_edge.matched", 3, ", "))),
     ))
     ok = F.col("reject_reason").isNull()
     out = {"fit": F.col("_fit"), "tier": tier, "seniority": F.col("_level.level"), "region": F.col("_where.id"), "region_title": F.col("_where.title"), "matched": F.concat("_function.matched", "_domain.matched", "_edge.matched"), "reasons": reasons}

@@ -163,15 +163,23 @@ query("coercion_issues", f"""with m as (select concat('file-', l_suppkey % 7) as
     )
 )
 FIELDS = {"recipient": ["email", "e_mail", "recipient"], "opened": ["opened", "open_date"], "campaign": ["campaign", "mailing"]}
-_HEAD = [("a.csv", ["email", "opened", "campaign", "notes", "region"]), ("b.csv", ["e_mail", "mailing"]), ("c.csv", ["name", "open_date"])]
-query("header_issues", """select * from (values ('a.csv', 'info', 'UNMAPPED_COLUMNS', null, 2::bigint, 'notes, region'), ('b.csv', 'info', 'OPTIONAL_COLUMN_MISSING', 'opened', 1, ''), ('c.csv', 'error', 'MISSING_REQUIRED_COLUMN', 'recipient', 1, ''),
- ('c.csv', 'error', 'MISSING_REQUIRED_COLUMN', 'campaign', 1, ''), ('c.csv', 'info', 'UNMAPPED_COLUMNS', null, 1, 'name')) t(file, severity, code, column_name, occurrence_count, example_values)""")(
-    lambda s, d: ingest.header_issues(s.createDataFrame(_HEAD, "file string, names array<string>"), FIELDS, ["recipient", "campaign"])
-)
-query("header_probe", """select * from (values ('a.csv', 'plain', 'email, opened', 2), ('b.csv', 'skip 2', 'mailing, x', 1)) t(file, spec, names, hits)""")(
-    lambda s, d: ingest.mapped_headers(s.createDataFrame([("a.csv", 0, "plain", ["email", "opened"]), ("a.csv", 1, "skip 2", ["x"]), ("b.csv", 0, "plain", ["", None]), ("b.csv", 1, "skip 2", ["mailing", "", "x"])], "file string, place int, spec string, names array<string>"), FIELDS)
-    .select("file", "spec", F.array_join("names", ", ").alias("names"), "hits")
+_HEAD = [["email", "opened", "campaign", "notes", "region"], ["e_mail", "mailing"], ["name", "open_date"]]
+query("header_issues", """with n as (select n_name || '.csv' as file, n_nationkey % 3 as k from nation), i(k, severity, code, column_name, occurrence_count, example_values) as (values (0, 'info', 'UNMAPPED_COLUMNS', null, 2::bigint, 'notes, region'), (1, 'info', 'OPTIONAL_COLUMN_MISSING', 'opened', 1, ''),
+ (2, 'error', 'MISSING_REQUIRED_COLUMN', 'recipient', 1, ''), (2, 'error', 'MISSING_REQUIRED_COLUMN', 'campaign', 1, ''), (2, 'info', 'UNMAPPED_COLUMNS', null, 1, 'name')) select file, severity, code, column_name, occurrence_count, example_values from n join i using (k)""")(
+    lambda s, d: ingest.header_issues(B.table(s, d, "nation").select(F.concat("n_name", F.lit(".csv")).alias("file"), F.element_at(F.array(*(F.array(*map(F.lit, h)) for h in _HEAD)), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("names")), FIELDS, ["recipient", "campaign"])
 )
+query("header_probe", """select s_name as file, case when s_suppkey % 2 = 0 then 'plain' else 'skip 2' end as spec, case when s_suppkey % 2 = 0 then 'email, opened' else 'mailing, ' || s_name end as names, case when s_suppkey % 2 = 0 then 2 else 1 end as hits from supplier""")(
+    lambda s, d: ingest.mapped_headers(
+        B.table(s, d, "supplier").select(
+            F.col("s_name").alias("file"),
+            F.inline(F.array(
+                F.struct(F.lit(0).alias("place"), F.lit("plain").alias("spec"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("email"), F.lit("opened"))).otherwise(F.array(F.lit(""), F.lit(None).cast("string"))).alias("names")),
+                F.struct(F.lit(1).alias("place"), F.lit("skip 2").alias("spec"), F.array(F.lit("mailing"), F.lit(""), F.col("s_name")).alias("names")),
+            )),
+        ),
+        FIELDS,
+    ).select("file", "spec", F.array_join("names", ", ").alias("names"), "hits")
+)
 query("canonical_ids", """select c_custkey, case c_custkey % 5 when 0 then null when 1 then 'customer' || c_custkey when 2 then '+91' || (7000000000 + c_custkey) when 3 then 'some text' else 'none of these' end as id from customer""")(
     lambda s, d: B.table(s, d, "customer").select(
         "c_custkey",
@@ -199,6 +207,9 @@ def _loads(s, d):
 query("ledger_append", f"with {_LED}, {_NEW}, {_STA} select file, status, case when status = 'loaded' then rows_loaded else 0 end::bigint as rows_loaded, (select max(batch_id) from led) + row_number() over (order by file) as batch_id from st")(
     lambda s, d: _loads(s, d).select("file", "status", "rows_loaded", "batch_id")
 )
+query("load_reports", f"with {_LED}, {_NEW}, {_STA} select file, file as reported, status as outcome, case when status = 'loaded' then rows_loaded else 0 end::bigint as loaded from st")(
+    lambda s, d: _loads(s, d).select("file", F.from_json("report", "file string, status string, rows_loaded long").alias("r")).select("file", F.col("r.file").alias("reported"), F.col("r.status").alias("outcome"), F.col("r.rows_loaded").alias("loaded"))
+)
 query("ledger_supersede", f"with {_LED} select batch_id, status, case when superseded_by is null and sha in (select concat('sha-', c_custkey) from customer where c_mktsegment = 'BUILDING') then -1 else superseded_by end as superseded_by from led")(
     lambda s, d: ingest.superseded(_ledger(s, d), B.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("concat('sha-', c_custkey) as sha")).select("batch_id", "status", "superseded_by")
 )

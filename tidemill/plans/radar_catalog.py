@@ -100,7 +100,7 @@ f1 as (select *, {', '.join(f'{_found(text, k)} as {n}' for n, (text, k) in _LIS
 f2 as (select *, list_sort({_LEVELS}, 'DESC')[1] as lv, coalesce({', '.join(_where('w') + _where('h'))}) as wh, {_named(_FUN)} as fm, {_named(_DOM)} as dm, {_named(_EDG)} as em,
  {_dim(_FUN, _P.saturation['function'])} as fv, {_dim(_DOM, _P.saturation['domain'])} as dv, {_dim(_EDG, _P.saturation['edge'])} as ev,
  case when experience_min is not null and experience_max is not null then experience_min || '-' || experience_max || ' yrs' when experience_min is not null then experience_min || '+ yrs' when experience_max is not null then 'up to ' || experience_max || ' yrs' else '' end as band from f1),
-f3 as (select *, case when len(xt) > 0 then 'title names ''' || xt[1] || ''', which is a different function' when len(xa) > 0 then 'posting names ''' || xa[1] || '''' when lv is null then 'no grade marker in the title'
+f3 as (select *, case when len(xt) > 0 then 'title names ''' || xt[1] || ''', another line of work' when len(xa) > 0 then 'posting names ''' || xa[1] || '''' when lv is null then 'no grade marker in the title'
  when len(fs) = 0 then 'names no function that is looked for' when wh is null then 'location (' || coalesce(nullif(location, ''), 'no location given') || ') is outside the target regions' when experience_max < {_P.floor_years} then 'advertises ' || band || ', below the {_P.floor_years}-year floor' end as reject_reason,
  round_even(least(100.0, {_P.points['seniority']} * lv.v + {_P.points['function']} * fv + {_P.points['domain']} * dv + {_P.points['geography']} * wh.value + {_P.points['edge']} * ev), 1)::double as fit0 from f2),
 fit as (select *, case when reject_reason is null then fit0 end as fit, case when reject_reason is null then case when fit0 >= {_P.tiers['strong']} then 'strong' when fit0 >= {_P.tiers['possible']} then 'possible' when fit0 >= {_P.tiers['stretch']} then 'stretch' else 'below' end end as tier from f3)"""
@@ -122,7 +122,7 @@ query("fit_region", f"with {FIT} select id, wh.id as region, wh.place as place f
 )
 query("fit_reasons", f"""with {FIT} select id, array_to_string(list_concat(fm, dm, em), '|') as matched,
  array_to_string(list_filter([lv.lv || ' (' || lv.h || ')', case when len(fm) > 0 then array_to_string(fm[1:3], ' · ') end, case when len(dm) > 0 then dm[1] end, wh.title || ' — ' || case when wh.preferred then wh.place else coalesce(nullif(location, ''), wh.place) end,
- case when band <> '' then band || ' asked' || case when experience_min >= {_P.ideal_years} then ' — squarely in range' else '' end end, case when len(em) > 0 then 'your edge: ' || array_to_string(em[1:3], ', ') end], lambda x: x is not null), '; ') as reasons from fit where reject_reason is null""")(
+ case when band <> '' then band || ' asked' || case when experience_min >= {_P.ideal_years} then ', which fits' else '' end end, case when len(em) > 0 then 'stands out by ' || array_to_string(em[1:3], ', ') end], lambda x: x is not null), '; ') as reasons from fit where reject_reason is null""")(
     lambda s, d: _fitted(s, d).where("reject_reason is null").select("id", F.array_join("matched", "|").alias("matched"), F.array_join("reasons", "; ").alias("reasons"))
 )
 query("experience_bands", f"with {FIT} select band, count(*) as n from fit group by 1")(
@@ -156,10 +156,9 @@ def _placed(s, d):
 query("role_dedupe")(lambda s, d: roles.one_of_each(_placed(s, d), key="id"))
 
 # searches and what is sent
-BOARDS = [("Home", "jobs.example", 1), ("Home", "roles.example", 2), ("Gulf", "gulf.example", 3)]
-query("search_links", f"""with b(region_title, site) as (values {', '.join(f"('{r}', '{w}')" for r, w, _ in BOARDS)}) select site || ' · ' || region_title || ' (past week)' as label,
- 'https://www.google.com/search?q=site%3A' || site || '+%28%22vice+president+alliances%22+OR+%22head+key+accounts%22+OR+%22AVP+partner+banking%22%29&tbs=qdr:w' as url from b""")(
-    lambda s, d: roles.searches(s.createDataFrame(BOARDS, "region_title string, site string, place int"), list(PROFILE.queries))
+query("search_links", """select 'jobs.' || lower(replace(n_name, ' ', '')) || '.example · ' || r_name || ' (past week)' as label,
+ 'https://www.google.com/search?q=site%3Ajobs.' || lower(replace(n_name, ' ', '')) || '.example+%28%22vice+president+alliances%22+OR+%22head+key+accounts%22+OR+%22AVP+partner+banking%22%29&tbs=qdr:w' as url from nation join region on n_regionkey = r_regionkey""")(
+    lambda s, d: roles.searches(B.table(s, d, "nation").join(B.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region_title"), F.concat(F.lit("jobs."), F.lower(F.replace("n_name", F.lit(" "), F.lit(""))), F.lit(".example")).alias("site")), list(PROFILE.queries))
 )
 query("saved_searches", "select url, min(o_orderkey) as place from (select concat('https://x.example/', o_custkey % 50) as url, o_orderkey from orders) group by 1")(
     lambda s, d: roles.first_of_url(B.table(s, d, "orders").selectExpr("concat('https://x.example/', o_custkey % 50) as url", "o_orderkey as place"))
@@ -167,6 +166,7 @@ query("saved_searches", "select url, min(o_orderkey) as place from (select conca
 query("query_expansion", f"with s as (select s_suppkey, case when s_suppkey % 3 = 0 then s_name when s_suppkey % 3 = 1 then '' end as q from supplier) select s_suppkey, q as phrase from s where q <> '' union all select s_suppkey, p from s, unnest([{_quoted([q for q in PROFILE.queries if q])}]) u(p) where coalesce(q, '') = ''")(
     lambda s, d: roles.queries_of(B.table(s, d, "supplier").selectExpr("s_suppkey", "case when s_suppkey % 3 = 0 then s_name when s_suppkey % 3 = 1 then '' end as query"), [q for q in PROFILE.queries if q]).select("s_suppkey", "phrase")
 )
-query("empty_brief_policy", """select o_orderdate::date as day, count(*) filter (o_orderstatus = 'X') as published, case when dayname(o_orderdate::date) = 'Monday' then 'empty, but monday is the proof-of-life day' end as why from orders group by 1, 3""")(
-    lambda s, d: B.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count_if(F.col("o_orderstatus") == "X").alias("published")).select("day", "published", roles.goes_out(F.col("published"), F.lit(False), F.lit("Monday"), F.col("day")).alias("why"))
+query("empty_brief_policy", """with x as (select o_orderdate::date as day, count(*) filter (o_orderstatus = 'P') as published from orders group by 1)
+ select day, published, case when published > 0 then 'items' when dayname(day) = 'Monday' then 'empty, but monday is the proof-of-life day' end as why from x""")(
+    lambda s, d: B.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("published")).select("day", "published", roles.goes_out(F.col("published"), F.lit(False), F.lit("Monday"), F.col("day")).alias("why"))
 )

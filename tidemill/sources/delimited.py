@@ -3,14 +3,8 @@
 from __future__ import annotations
 
 import csv
-import io
-import re
-import xml.etree.ElementTree as ET
-import zipfile
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,54 +83,3 @@ def shaped(df: DataFrame) -> DataFrame:
     last = df.groupBy(F.col("_file").alias("_f")).agg(F.max("_row").alias("_last"))
     total = F.coalesce(F.lower(F.trim(F.col(f"`{used[0]}`"))).isin(TOTALS), F.lit(False))
     return df.join(last, F.col("_file") == F.col("_f")).where(~((F.col("_row") == F.col("_last")) & total)).drop("_f", "_last")
-
-
-def detect(headers: list[str], fingerprints: dict[str, dict], name: str = "") -> str | None:
-    """The source whose fingerprint fits best: 2 for the file name, 3 for each strong header, 1 for a weak, -5 for an excluded one; none if undecided."""
-    fold = lambda h: re.sub("[^a-z0-9]+", "", h.strip().lower())
-    seen = {fold(h) for h in headers}
-    score = {s: 2 * bool(f.get("name") and re.search(f["name"], name)) + 3 * len(seen & set(map(fold, f.get("strong", ())))) + len(seen & set(map(fold, f.get("weak", ())))) - 5 * len(seen & set(map(fold, f.get("exclude", ())))) for s, f in fingerprints.items()}
-    best, *rest = sorted(score.items(), key=lambda x: -x[1])
-    return best[0] if best[1] >= fingerprints[best[0]].get("least", 4) and (not rest or best[1] - rest[0][1] >= 2) else None
-
-
-def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-def new_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
-    """Files whose content no loaded batch of the ledger (sha256, status) has; dimensions come first."""
-    done = ledger.where("status = 'loaded'").select("sha256").distinct()
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    order = F.when(name.rlike("roster|employee"), 0).when(name.contains("campaign") & name.contains("registry"), 1).otherwise(2)
-    return content_hashes(spark, path).join(done, "sha256", "left_anti").withColumn("load_order", order).orderBy("load_order", "path")
-
-
-def read_xlsx(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """Cells of a sheet as text: path, row, values in column order; each workbook is opened by one task."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-    def cells(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-            for row in ET.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{ns['m']}}}row"):
-                out: list[str | None] = []
-                for c in row:
-                    at = 0
-                    for ch in re.match("[A-Z]+", c.get("r")).group():
-                        at = at * 26 + ord(ch) - 64
-                    out += [None] * (at - len(out))
-                    v = c.find("m:v", ns)
-                    inline = c.find("m:is", ns)
-                    text = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else v.text if v is not None else None
-                    out[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                yield int(row.get("r")), out
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(cells(data))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows)), pa.array([r for r, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.string()))], names=["path", "row", "values"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "path string, row int, values array<string>")
