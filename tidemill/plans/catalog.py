@@ -385,4 +385,4 @@ for _name, _ask, _sql in (
 
 
 # the other parts of the catalogue register themselves
-from . import brief_catalog, cleaning_catalog, ingest_catalog, radar_catalog, source_catalog, stream_catalog  # noqa: E402, F401
+from . import brief_catalog, cleaning_catalog, ingest_catalog, question_catalog, radar_catalog, source_catalog, stream_catalog  # noqa: E402, F401
