@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more. It does so once the driver's garbage is collected, which between the rounds of a loop may be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text) -> F.Column:
     """Number of words of a text column; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 from .components import components
 from .textscan import SMALL, mix64, shingles, slices
 
@@ -174,7 +174,9 @@ def _links(nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
         return keep(by.join(several, "band"))
 
     def tell(pairs: DataFrame) -> DataFrame:
-        return keep(_confirmed(pairs, slim, sets, percent))
+        found = keep(_confirmed(pairs, slim, sets, percent))
+        release(nodes.sparkSession)
+        return found
 
     by = banded.select("band", "node", "n", F.col("n").alias("common"), F.col("node").alias("comp"))
     first = keep(spread(by).distinct())
