@@ -24,7 +24,7 @@ NAME, STRONG, WEAK, EXCLUDED, LEAST, LEAD = 2, 3, 1, -5, 4, 2
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """path, length of the files below path; none is opened."""
+    """path, length of the files below path that hold anything (Spark lists no empty ones); none is opened."""
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
@@ -52,7 +52,7 @@ def _dealt(files: DataFrame) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Path, sha256 of each file, read chunk by chunk inside a task, whatever its size; an empty folder gives no rows."""
+    """Path, sha256 of each file, read chunk by chunk inside a task, whatever its size; files without bytes are left out."""
     files = listed(spark, path).select("path")
     own = F.lower(F.regexp_extract("path", "^([A-Za-z0-9+.-]*):", 1)).isin(*OPENED)
 
@@ -82,7 +82,7 @@ def new_files(spark: SparkSession, path: str, ledger: DataFrame) -> DataFrame:
 
 
 def headers(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
-    """Path, names of delimited files, from the first HEAD bytes of each; a file without that row has none."""
+    """Path, names of delimited files, from the first HEAD bytes of each that has any; a file without that row has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
