@@ -73,7 +73,7 @@ def test_texts(spark):
     assert values(spark, lambda c: X.truncate(c, 10), "short", "one two three four", "abcdefghijklmnop") == ["short", "one two…", "abcdefghij…"]
     assert [tuple(v) for v in values(spark, X.experience, "12-8 years", "15+ yrs", "none")] == [(8, 12), (15, None), (None, None)]
     assert values(spark, X.location, "3 Locations", "Pune; Delhi;Goa", "Here") == ["", "Pune (+2 more)", "Here"]
-    assert [str(v) for v in values(spark, lambda c: X.relative_date(c, F.lit("2026-03-31").cast("date")), "Posted 3 days ago", "yesterday", "2 weeks ago", "1 month ago", "?")] == ["2026-03-28", "2026-03-30", "2026-03-17", "2026-03-01", "None"]
+    assert [str(v) for v in values(spark, lambda c: X.relative_date(c, F.lit("2026-03-31")).cast("date"), "Posted 3 days ago", "yesterday", "2 weeks ago", "1 month ago", "?")] == ["2026-03-28", "2026-03-30", "2026-03-17", "2026-03-01", "None"]
 
 
 def test_merge_never_regresses(spark):

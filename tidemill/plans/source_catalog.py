@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.steps import cut
+from ..operators import ingest
 from ..sources import asked, config, delimited, feeds, files, workbooks
 from . import bindings as B
 from .registry import query
 
 
-def _files(s, what: str, files: dict[str, bytes]) -> str:
-    """A new shared folder with these few, small files, each written through Spark's own file system."""
-    folder = B.scratch(s, what)
+def _files(s, what: str, files: dict[str, bytes], folder: str | None = None) -> str:
+    """A new shared folder, or the given one, with these few, small files, each written through Spark's own file system."""
+    folder = folder or B.scratch(s, what)
     jvm = s.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(folder)
     fs = base.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
@@ -135,6 +136,23 @@ def inbox_sweep(s, d):
     return files.new_files(s, folder, ledger).select(F.element_at(F.split("path", "/"), -1).alias("file"), "load_order", "sha256")
 
 
+@query("archive_moves", """select case when n_nationkey % 3 = 0 then 'rejected/' else 'archive/2024-01/' end || n_name || case when n_nationkey % 3 <> 0 and n_nationkey % 4 = 0 then '__1' else '' end || '.csv' as target, sha256(n_name || chr(10)) as sha256 from nation
+ union all select 'archive/2024-01/' || n_name || '.csv', sha256('old' || chr(10)) from nation where n_nationkey % 4 = 0""")
+def archive_moves(s, d):
+    """A file for each nation is put away; every fourth finds its name taken in the archive."""
+    n = B.table(s, d, "nation")
+    named = n.select("n_nationkey", F.concat("n_name", F.lit(".csv")).alias("name"), F.col("n_name").alias("content"))
+    folder = _laid(s, "sweep", named.select("name", "content"))
+    old = named.where("n_nationkey % 4 = 0")
+    for r in old.select("name").toLocalIterator():  # what an earlier sweep has put away
+        _files(s, "old", {r["name"]: b"old\n"}, f"{folder}/archive/2024-01")
+    loads = named.select(F.col("name").alias("file"), F.when(F.col("n_nationkey") % 3 == 0, "rejected").otherwise("loaded").alias("status"), F.col("n_nationkey").alias("at"))
+    taken = old.select(F.concat(F.lit("archive/2024-01/"), "name").alias("target"))
+    files.put_away(s, folder, ingest.archive_names(loads, taken, "2024-01"))
+    got = files.content_hashes(s, f"{folder}/*/").unionByName(files.content_hashes(s, f"{folder}/archive/*/"))
+    return got.distinct().select(F.url_decode(F.regexp_extract("path", "/((?:rejected|archive/2024-01)/[^/]*)$", 1)).alias("target"), "sha256")
+
+
 _PRINTS = {"email": {"name": "^mail", "strong": ["Recipient Email"], "weak": ["Bounced"]}, "lms": {"strong": ["Course Name"], "weak": ["Progress"], "exclude": ["Bounced"]}}
 _HEADS = [["recipient_email", "Bounced"], ["Course Name", "progress"], ["Course Name", "Bounced"], ["a"], ["Recipient Email", "Course Name", "progress"], ["Recipient Email"]]
 query("source_detection", """select case when s_suppkey % 2 = 0 then 'mail_' else 'x_' end || s_suppkey as file, case when s_suppkey % 6 = 0 or (s_suppkey % 6 = 5 and s_suppkey % 12 = 2) then 'email' when s_suppkey % 6 = 1 then 'lms' end as source,

@@ -127,3 +127,22 @@ def detected(files: DataFrame, fingerprints: dict[str, dict]) -> DataFrame:
     second = F.greatest(second, F.when(F.size("s") < len(fingerprints), F.lit(0)).otherwise(second)) if len(fingerprints) > 1 else F.lit(-(10**6))
     sure = ranked.select("file", F.when((top >= least) & (top - second >= LEAD), F.col("s")[0]["source"]).alias("source"), top.alias("points"))
     return files.select("file").join(sure, "file", "left").select("file", "source", F.coalesce("points", F.lit(0).cast("long")).alias("points"))
+
+
+def put_away(spark: SparkSession, folder: str, names: DataFrame) -> int:
+    """Each file of names (file, target) below folder is renamed to its target below it; how many were.
+
+    Renaming moves no data, and names are those of one sweep, taken one by one. A target that is there already, which
+    ingest.archive_names() never gives, is an error, and what was renamed before stays so.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = 0
+    for r in names.select("file", "target").toLocalIterator():
+        source, target = (jvm.org.apache.hadoop.fs.Path(base, x) for x in (r["file"], r["target"]))
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(source, target):
+            raise FileExistsError(f"{r['file']} was not moved to {r['target']}")
+        done += 1
+    return done
