@@ -287,3 +287,42 @@ def test_shards_add_up_runs(spark):
     keys = np.array(sorted(total))
     assert made.lookup(keys, {}).tolist() == [total[k] for k in keys.tolist()]
     assert made.best.tolist() == [max(n for k, n in total.items() if k >> 32 == b) for b in range(40)]
+
+
+# 10
+
+
+def test_op10_verdicts_are_those_of_a_plain_walk(spark):
+    from tidemill.llm import quality
+
+    rng = random.Random(10)
+    good = [" ".join(rng.choice(GOOD) for _ in range(rng.randrange(60, 200))).capitalize() + "." for _ in range(120)]
+    bad = [" ".join(w.upper() + rng.choice(["!!", "###", "$"]) for w in rng.choices(GOOD, k=rng.randrange(60, 120))) for _ in range(30)]
+    docs = rows_of([*good, *bad, None, "", "few words", "same words again " * 60, "x" * 100_000 + " y" * 80])
+    labels = spark.createDataFrame([(i, int(i < 120), "") for i in range(150)], LABELS)
+    d = frame(spark, docs)
+    forest, cut = quality.calibrated(d, labels)
+    got = {r.doc_id: r for r in quality.op10(d, labels).collect()}
+
+    def path(tree, row) -> float:
+        feature, at, left, right, length = tree
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] if row[feature[node]] <= at[node] else right[node]
+        return length[node]
+
+    for key, text, *_ in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = set()
+        for i in range(len(words) - 2):
+            if windows[tuple(words[i : i + 3])] > 1:
+                repeated |= {i, i + 1, i + 2}
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        chars = sum(map(len, words))
+        marks = sum(1 for w in words for c in w if ord(c) < 128 and not c.isalnum())
+        row = [chars / max(len(words), 1), sum(c in "#*$%&|<>" for c in text or "") / max(len(words), 1), sum("A" <= c <= "Z" for c in text or "") / max(chars, 1), marks / max(len(words), 1)]
+        score = 2 ** (-sum(path(t, row) for t in forest.trees) / len(forest.trees) / quality.mean_path(forest.size))
+        assert got[key].base_failed == failed and got[key].score == pytest.approx(score, rel=1e-9)
+        assert got[key].kept == (not failed and got[key].score <= cut)
+    assert sum(got[i].kept for i in range(120)) >= 118 and sum(got[i].kept for i in range(120, 150)) <= 3
