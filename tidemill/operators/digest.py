@@ -124,18 +124,6 @@ def pruned(ledger: DataFrame, now: Column, days: int = 14) -> DataFrame:
     return ledger.where(F.col("seen_at") >= now - F.expr(f"interval {days} days"))
 
 
-def saved(ledger: DataFrame, folder: str, version: int) -> str:
-    """The ledger written as a new snapshot below folder, whole or not at all; readers go by latest()."""
-    path = f"{folder}/seen-{version:012d}"
-    ledger.write.parquet(path)
-    return path
-
-
-def latest(ledger_paths: list[str]) -> str | None:
-    """The newest snapshot whose writing was completed; ledger_paths are those of the folders that hold _SUCCESS."""
-    return max(ledger_paths, default=None)
-
-
 def failure_ratio(sources: DataFrame) -> DataFrame:
     """Failed sources by those that were asked; skipped ones were not; nothing asked, nothing failed. sources: status ok, error or skipped."""
     asked = F.count_if(F.col("status") != "skipped")

@@ -131,4 +131,4 @@ def chart(df: DataFrame) -> DataFrame:
 
 def needs_chart(question: F.Column) -> F.Column:
     """Whether a question asks for something that can be drawn."""
-    return F.when(F.lower(question).rlike("trend|by|per|compare|top|share|month"), "YES").otherwise("NO")
+    return F.when(F.lower(question).rlike(r"\b(trend|by|per|compare|top|share|months?|monthly)\b"), "YES").otherwise("NO")

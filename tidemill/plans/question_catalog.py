@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import questions
+from ..operators import nlq, questions
 from . import bindings as B
 from .registry import query
 
@@ -27,3 +27,8 @@ for _name, _question, _sql in _ASKED:
         """One of _ASKED."""
         got = questions.ask(B.sales(s, d), question)
         return got.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
+
+_DRAWN = {"What is the trend of revenue?": "YES", "Leads by region": "YES", "Compare the channels": "YES", "Top five campaigns": "YES", "What was the total spend": "NO", "Who are you": "NO"}
+query("chart_wanted", "select o_orderkey as id, [" + ", ".join(f"'{v}'" for v in _DRAWN.values()) + f"][(o_orderkey % {len(_DRAWN)})::int + 1] as wanted from orders")(
+    lambda s, d: B.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), nlq.needs_chart(F.element_at(F.array(*map(F.lit, _DRAWN)), (F.col("o_orderkey") % len(_DRAWN) + 1).cast("int"))).alias("wanted"))
+)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.steps import scratch
+from ..functions.steps import cut, scratch
 from ..operators import digest, merge
+from ..sources import versions
 from ..streaming import flows, upserts
 from . import bindings as B
 from . import catalog as C
-from .registry import ORACLES, query
+from .registry import ORACLES, QUERIES, query
 
 _KEYS = ["campaign_id", "channel", "recipient_key"]
 
@@ -51,3 +52,14 @@ for _grain, _length in (("week", "7 days"), ("month", None)):
         """§2.11: activity by week or month, read as a stream."""
         stream = s.readStream.schema(B.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
         return flows.drained(flows.activity_by(stream, grain), scratch(s, grain))
+
+
+@query("seen_snapshots", ORACLES["seen_ledger"])
+def seen_snapshots(s, d):
+    """The ledger as versions: a first snapshot, a second by a writer that wins, and one by a writer that comes too late and is not read."""
+    ledger = cut(QUERIES["seen_ledger"](s, d))
+    folder = scratch(s, "snapshots")
+    for number, name, rows in ((1, "first", ledger.limit(0)), (2, "winner", ledger), (2, "late", ledger.where("false"))):
+        rows.write.parquet(f"{folder}/data/{name}")
+        versions.commit(s, folder, versions.Version(number, {"seen": [f"{folder}/data/{name}"]}))
+    return versions.read(s, versions.latest(s, folder), ledger.schema)
