@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -298,7 +299,7 @@ def test_op10_verdicts_are_those_of_a_plain_walk(spark):
     rng = random.Random(10)
     good = [" ".join(rng.choice(GOOD) for _ in range(rng.randrange(60, 200))).capitalize() + "." for _ in range(120)]
     bad = [" ".join(w.upper() + rng.choice(["!!", "###", "$"]) for w in rng.choices(GOOD, k=rng.randrange(60, 120))) for _ in range(30)]
-    docs = rows_of([*good, *bad, None, "", "few words", "same words again " * 60, "x" * 100_000 + " y" * 80])
+    docs = rows_of([*good, *bad, None, "", "few words", "same words again " * 60, "x" * 100_000 + " y" * 80, good[0] + "\nshort line\n\nshort line\n"])
     labels = spark.createDataFrame([(i, int(i < 120), "") for i in range(150)], LABELS)
     d = frame(spark, docs)
     forest, cut = quality.calibrated(d, labels)
@@ -321,7 +322,10 @@ def test_op10_verdicts_are_those_of_a_plain_walk(spark):
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         chars = sum(map(len, words))
         marks = sum(1 for w in words for c in w if ord(c) < 128 and not c.isalnum())
-        row = [chars / max(len(words), 1), sum(c in "#*$%&|<>" for c in text or "") / max(len(words), 1), sum("A" <= c <= "Z" for c in text or "") / max(chars, 1), marks / max(len(words), 1)]
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        again = len(lines) - len(set(lines))
+        n = max(len(words), 1)
+        row = [chars / n, sum(c in "#*$%&|<>" for c in text or "") / n, math.log1p(again), math.log1p(len(repeated)), marks / n]
         score = 2 ** (-sum(path(t, row) for t in forest.trees) / len(forest.trees) / quality.mean_path(forest.size))
         assert got[key].base_failed == failed and got[key].score == pytest.approx(score, rel=1e-9)
         assert got[key].kept == (not failed and got[key].score <= cut)
