@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -66,6 +67,26 @@ def test_suffix_array_sorts_suffixes():
         assert suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_op1_windows_of_a_crowded_anchor():
+    rng = np.random.default_rng(1)
+    gram = bytes(rng.integers(97, 122, substrings.GRAM, dtype=np.uint8))
+    pool = [bytes(rng.integers(97, 122, 95, dtype=np.uint8)) for _ in range(8)]
+    texts = []
+    for _ in range(600):
+        a, b = (bytearray(pool[rng.integers(8)]) for _ in range(2))
+        a[rng.integers(95)], b[rng.integers(95)] = 65 + rng.integers(20, size=2)
+        texts.append(bytes(a) + gram + bytes(b))
+    texts = sorted(set(texts))
+    n = len(texts)
+    tracemalloc.start()
+    got = substrings.repeated_windows(np.full(n, 7, np.uint64), np.ones(n, np.int64), np.full(n, 95), np.full(n, 95), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    seen = collections.Counter(t[i : i + 200] for t in texts for i in range(96))
+    assert [g.tolist() for g in got] == [[seen[t[i : i + 200]] > 1 for i in range(96)] for t in texts]
+    assert peak < 60 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize("crowd", [substrings.CROWD, 1])
 def test_op1_removes_repeated_strings(table, rows, crowd, monkeypatch):
     monkeypatch.setattr(substrings, "CROWD", crowd)

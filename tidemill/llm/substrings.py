@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,7 @@ def repeated_windows(h: np.ndarray, count: np.ndarray, left: np.ndarray, right:
         pieces += [text[g + BLOCK * j : g + BLOCK * (j + 1)] for j in range(r)]
         rows.append((l, r))
     names: dict[bytes, int] = {}
-    symbols, where, owner = [], [], []
+    symbols, where, owner, part = (array("i") for _ in range(4))
     at = 0
     taken = iter(pieces)
     for i, (l, r) in enumerate(rows):
@@ -113,50 +114,57 @@ def repeated_windows(h: np.ndarray, count: np.ndarray, left: np.ndarray, right:
             symbols.append(names.setdefault(piece, len(names) + 2))
         for k in range(max(0, PARTS - 1 - r), min(l, PARTS - 1) + 1):  # k blocks left, PARTS - 1 - k right
             where.append(at + l - k)
-            owner.append((i, k))
+            owner.append(i)
+            part.append(k)
         symbols.append(1)
         at += l + 2 + r
     core, cores = _equal(symbols, where, PARTS)
+    del pieces, names, taken
     # fine: for each segment and part of its windows whose core occurs more than once
     total = np.zeros(cores, np.int64)
-    np.add.at(total, core, count[[i for i, _ in owner]])
-    symbols, where, owners, at = [], [], [], 0
-    for j, (i, k) in enumerate(owner):
+    np.add.at(total, core, count[np.frombuffer(owner, np.int32)])
+    symbols, where, owners, windows = (array("i") for _ in range(4))
+    at = 0
+    for j, (i, k) in enumerate(zip(owner, part, strict=True)):
         if total[core[j]] < 2:
             continue
         a = int(left[i])
         begin, stop = a - BLOCK * k, a + GRAM + BLOCK * (PARTS - 1 - k)
         before = texts[i][max(0, begin - BLOCK + 1) : begin]
         behind = texts[i][stop : stop + BLOCK - 1]
-        symbols += [b + 2 for b in before]
+        symbols.extend(b + 2 for b in before)
         symbols.append(258 + int(core[j]))
-        symbols += [b + 2 for b in behind]
+        symbols.extend(b + 2 for b in behind)
         symbols.append(1)
         for x in range(max(0, BLOCK - 1 - len(behind)), len(before) + 1):  # x bytes before the core
             where.append(at + len(before) - x)
-            owners.append((i, a - BLOCK * k - x))
+            owners.append(i)
+            windows.append(a - BLOCK * k - x)
         at += len(before) + 2 + len(behind)
     if not where:
         return out
     same, n = _equal(symbols, where, BLOCK)
     total = np.zeros(n, np.int64)
-    np.add.at(total, same, count[[i for i, _ in owners]])
-    for (i, start), again in zip(owners, (total[same] > 1).tolist(), strict=True):
-        if again:
-            out[i][start] = True
+    np.add.at(total, same, count[np.frombuffer(owners, np.int32)])
+    for j in np.flatnonzero(total[same] > 1):
+        out[owners[j]][windows[j]] = True
     return out
 
 
-def _equal(symbols: list[int], where: list[int], n: int) -> tuple[np.ndarray, int]:
+def _equal(symbols: Sequence[int], where: Sequence[int], n: int) -> tuple[np.ndarray, int]:
     """Class of each position in `where`, and their number: positions are of one class if n symbols from them agree."""
-    s = np.array(symbols, np.int64)
+    s = np.array(symbols, np.int32)
     order = suffix_array(s)
-    rank = np.empty(len(s), np.int64)
+    rank = np.empty(len(s), np.int32)
     rank[order] = np.arange(len(s))
-    w = np.array(where, np.int64)
+    w = np.array(where, np.int32)
     by = np.argsort(rank[w])
-    rows = s[w[by][:, None] + np.arange(n)]
-    fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]) if len(w) else np.zeros(0, bool)
+    at = w[by]
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = False
+    for j in range(n):
+        symbol = s[at + j]
+        fresh[1:] |= symbol[1:] != symbol[:-1]
     out = np.empty(len(w), np.int64)
     out[by] = np.cumsum(fresh) - 1
     return out, int(fresh.sum())

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
+def _ints(values: np.ndarray) -> array:
+    """An array of 32-bit integers: read one by one as fast as a list, in a tenth of the memory."""
+    return array("i", values.astype(np.int32).tobytes())
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of symbols (integers of 1 and more) in ascending order.
 
@@ -18,21 +25,21 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     putting every suffix that points at the current one into the next free place of its group fills all places.
     """
     n = len(symbols) + 1
-    s = np.append(np.asarray(symbols, np.int64), 0)
+    s = np.append(np.asarray(symbols, np.int32), np.int32(0))
     order = np.argsort(s, kind="stable")
     new = np.concatenate([[True], s[order][1:] != s[order][:-1]])
     starts = np.flatnonzero(new)
     first = starts[np.cumsum(new) - 1]
-    group = np.empty(n, np.int64)
+    group = np.empty(n, np.int32)
     group[order] = first
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
-    sizes = np.zeros(n, np.int64)
+    sizes = np.zeros(n, np.int32)
     sizes[starts] = np.diff(np.append(starts, n))
-    sa, group, place, size = order.tolist(), group.tolist(), place.tolist(), sizes.tolist()
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    left.append(n - 1)  # what stands after the end
-    length = [1] * n
+    sa, group, place, size = _ints(order), _ints(group), _ints(place), _ints(sizes)
+    del s, order, new, starts, first, sizes
+    left, right = _ints(np.arange(-1, n)), _ints(np.arange(1, n + 1))  # the last of left is for what stands after the end
+    length = _ints(np.ones(n))
 
     end = n
     while end:
@@ -96,12 +103,13 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                 size[g + size[g]] = k
         end = begin
 
-    after = np.arange(n) + np.array(length)
+    del sa, place, size, left, right
+    after = np.arange(n, dtype=np.int32) + np.frombuffer(length, np.int32)
     by = np.argsort(after, kind="stable")
-    bounds = np.searchsorted(after[by], np.arange(n + 1)).tolist()
-    by = by.tolist()
-    free = list(range(n))
-    out = [n - 1] * n
+    bounds = _ints(np.searchsorted(after[by], np.arange(n + 1)))
+    by = _ints(by)
+    free = _ints(np.arange(n))
+    out = _ints(np.full(n, n - 1))
     for k in range(n):
         j = out[k]
         for i in by[bounds[j] : bounds[j + 1]]:
