@@ -22,6 +22,8 @@ B, RATE, TOP = 1.001, 20.0, 65535
 SLACK = 0.16
 #: Pairs whose likelihoods are laid out at once: each takes a dozen rows of GRID doubles.
 PAIRS, GRID = 256, 201
+#: Nodes that may share a rarest element before only those of one band are paired for it.
+TOGETHER = 16
 _rng = np.random.default_rng(99)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
 _MUL = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -90,7 +92,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     have too many elements of their own to be linked with anything are left out, and the rest are compared with the
     most typical node of the band. Then pairs of different components that share one of their rarest elements are
     compared, which all links that are left must do. So a band of thousands of near copies costs about one
-    comparison each, and no link between components is passed over. Candidates whose joint estimate comes near the
+    comparison each, and no link between components is passed over. An element that more than TOGETHER nodes have among
+    their rarest, as in texts made of few templates, pairs only nodes that share a band too. Candidates whose joint estimate comes near the
     threshold are confirmed on full sets.
 
     component_id is the smallest key of the component, and kept says key = component_id. Empty and null texts are
@@ -192,9 +195,14 @@ def _links(nodes: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame
     merged = components(links)
     # what could still be linked shares one of its rarest elements with the other: all pairs of different components
     # (at the first that they share, neither can have fewer behind it than a link needs)
-    left = rare.join(merged, "node", "left").select("e", "node", "n", "behind", F.coalesce("comp", "node").alias("comp"))
-    x, y = (left.select("e", *(F.col(c).alias(c + at) for c in ("node", "n", "behind", "comp"))) for at in "xy")
-    met = x.join(y, "e").where(F.expr("nodex < nodey and compx != compy") & possible("nx", "ny", "behindx", "behindy"))
+    by = open_bands(by.drop("comp").join(merged, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    bands = by.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list("band").alias("bands"))
+    left = keep(rare.join(bands, "node").select("e", "node", "n", "behind", "comp", "bands"))
+    crowded = left.groupBy("e").agg((F.count(F.lit(1)) > TOGETHER).alias("crowded"))
+    at = F.when(F.col("crowded"), F.transform("bands", lambda b: F.xxhash64("e", b))).otherwise(F.array("e"))
+    left = left.join(crowded, "e").select(F.explode(at).alias("at"), "node", "n", "behind", "comp")
+    x, y = (left.select("at", *(F.col(c).alias(c + side) for c in ("node", "n", "behind", "comp"))) for side in "xy")
+    met = x.join(y, "at").where(F.expr("nodex < nodey and compx != compy") & possible("nx", "ny", "behindx", "behindy"))
     third = met.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct().join(first.union(second), ["a", "b"], "left_anti")
     return links.union(tell(third))
 
