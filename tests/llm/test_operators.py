@@ -443,6 +443,21 @@ def test_op8_probabilities_sum_to_one_and_training_helps():
     assert np.allclose(a, [net.score(np.array(seq[:50]), np.zeros(50, int), 1)[0], net.score(np.array(seq[:20]), np.zeros(20, int), 1)[0]], rtol=1e-4)
 
 
+def test_op8_attention_tells_more_than_the_commonest_ids_apart(spark):
+    """What stood three places before decides between 120 ids, which no counts of pairs know."""
+    rng = np.random.default_rng(4)
+    seq = [7, 8, 9]
+    while len(seq) < 12000:
+        seq.append(seq[-3] if rng.random() < 0.9 else int(rng.integers(3, 123)))
+    n = collections.Counter(zip(seq, seq[1:], strict=False))
+    model = lm._start(spark.createDataFrame([(a, b, k) for (a, b), k in n.items()], "a long, b long, n long"), 600)
+    ids, of = np.array(seq), np.zeros(len(seq), int)
+    before = model.score(ids, of, 1)[0]
+    for k in range(6):
+        model.train(lm.training_windows(ids, of, 1), k)
+    assert model.score(ids, of, 1)[0] > 0.5 * before
+
+
 def test_op8_trains_on_every_id():
     rng = random.Random(5)
     texts = [[rng.randrange(3, 900) for _ in range(n)] + [lm.END] for n in (0, 1, 15, 16, 17, 33, 200, 3000)]

@@ -15,14 +15,14 @@ from .textscan import SMALL, slices
 
 #: Where the public tokenizer lies; a parameter of scores().
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Classes of ids, those of one id only among them; width of the model; half of a context window.
-CLASSES, ALONE, WIDTH, HALF = 32, 24, 8, 16
+#: Classes of ids, those of one id only among them; width of the model; half of a context window. Inside a class counts decide, so these say how much the attention does.
+CLASSES, ALONE, WIDTH, HALF = 192, 160, 16, 16
 #: Contexts: so many of the commonest ids are told apart as the last one, the others by class.
 CONTEXTS = 512
 #: Rounds of local training and averaging, each over another share of the training texts; rate and batch of the local steps.
-ROUNDS, RATE, BATCH = 4, 0.02, 128
-#: Ids that are laid out as windows at once, or those of one text.
-IDS = 1 << 18
+ROUNDS, RATE, BATCH = 4, 0.02, 64
+#: Ids that are laid out as windows at once, or those of one text; half windows that are scored at once, which a core's cache holds.
+IDS, AT_ONCE = 1 << 18, 32
 #: So many of the commonest training words are looked up in every task; the others meet their counts in a join.
 FREQUENT = 20_000
 #: Words that are encoded in one string.
@@ -207,21 +207,23 @@ class Attention:
         np.exp(s, out=s)
         s /= s @ np.ones((2 * HALF, 1), np.float32)
         h = s @ v
-        logits = (h.reshape(-1, d) @ p["U"]).reshape(*now.shape, CLASSES)
-        logits += _rows_of(self.bigram, context)
-        return logits, (c, q, k, v, s, h)
+        logits = _rows_of(self.bigram, context.ravel())
+        logits += h.reshape(-1, d) @ p["U"]
+        return logits.reshape(*now.shape, CLASSES), (c, q, k, v, s, h)
 
-    def shares(self, *given: np.ndarray | None) -> tuple:
-        """forward(), the exponentials of its logits, less a number for each place, their sums and those numbers."""
+    def shares(self, goal: np.ndarray, *given: np.ndarray | None) -> tuple:
+        """The logits of goal, the exponentials of all, both less a number for each place, and their sums; then the parts of forward()."""
         with np.errstate(over="ignore", invalid="ignore"):
             for careful in (False, True):
-                logits, parts = self.forward(*given, careful)
-                top = logits.max(axis=2) if careful else np.float32(0)
-                e = np.exp(logits - top[..., None] if careful else logits)
+                e, parts = self.forward(*given, careful)
+                if careful:
+                    e -= e.max(axis=2, keepdims=True)
+                chosen = e.reshape(-1)[np.arange(goal.size) * CLASSES + goal.ravel()].reshape(goal.shape)
+                np.exp(e, out=e)
                 total = (e.reshape(-1, CLASSES) @ np.ones(CLASSES, np.float32)).reshape(e.shape[:2])
                 if np.isfinite(total).all() and (total > 1e-25).all():
                     break
-        return logits, e, total, top, parts
+        return chosen, e, total, parts
 
     def score(self, ids: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         """log10 probability of each row's ids, END last; each token is scored once, in the second half of a window."""
@@ -245,11 +247,11 @@ class Attention:
         valid = np.concatenate([np.repeat(~opening[:, None], HALF, axis=1), np.ones_like(real)], axis=1)
         target = np.maximum(target, 0).reshape(total, HALF)
         out = np.zeros((total, HALF), np.float32)
-        for a in range(0, total, 256):
-            logits, _, sums, top, _ = self.shares(past[a : a + 256], c[a : a + 256], context[a : a + 256], valid[a : a + 256])
-            t = target[a : a + 256]
-            chosen = logits.reshape(-1)[np.arange(t.size) * CLASSES + self.classes[t].ravel()].reshape(t.shape) - top
-            out[a : a + 256] = (chosen - np.log(sums)) * np.float32(1 / np.log(10)) + np.take(self.inner.reshape(-1), context[a : a + 256] * self.inner.shape[1] + np.take(self.column, t, mode="clip"), mode="clip")
+        for a in range(0, total, AT_ONCE):
+            b = a + AT_ONCE
+            t = target[a:b]
+            chosen, _, sums, _ = self.shares(self.classes[t], past[a:b], c[a:b], context[a:b], valid[a:b])
+            out[a:b] = (chosen - np.log(sums)) * np.float32(1 / np.log(10)) + np.take(self.inner.reshape(-1), context[a:b] * self.inner.shape[1] + np.take(self.column, t, mode="clip"), mode="clip")
         owner = np.repeat(np.arange(n_rows), halves)
         return np.bincount(owner, (out * real).sum(axis=1, dtype=np.float64), n_rows)
 
@@ -275,7 +277,7 @@ class Attention:
         c = self.classes[np.maximum(w, 0)]
         before, now, goal = c[:, :HALF], c[:, HALF : 2 * HALF], c[:, HALF + 1 :]
         weigh = (real[:, HALF : 2 * HALF] & real[:, HALF + 1 :]).astype(np.float32)
-        _, d, total, _, (_, q, k, v, s, h) = self.shares(before, now, self.contexts[np.maximum(w[:, HALF : 2 * HALF], 0)], real[:, : 2 * HALF])
+        _, d, total, (_, q, k, v, s, h) = self.shares(goal, before, now, self.contexts[np.maximum(w[:, HALF : 2 * HALF], 0)], real[:, : 2 * HALF])
         weigh /= max(1.0, float(weigh.sum()))
         d *= (weigh / total)[..., None]
         d.reshape(-1)[np.arange(goal.size) * CLASSES + goal.ravel()] -= weigh.ravel()
@@ -287,12 +289,13 @@ class Attention:
         ds = da
         ds *= scale
         dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh
-        # what reaches the queries, keys and values of each class, and from there their embeddings and maps
-        one = _rows_of(np.eye(CLASSES, dtype=np.float32), c[:, : 2 * HALF])
-        eq = flat(one[:, HALF:]).T @ flat(dq)
-        ekv = flat(one).T @ flat(np.concatenate([dk, dv], axis=2))
-        ek, ev = ekv[:, :WIDTH], ekv[:, WIDTH:]
-        return {"E": eq @ p["Q"].T + ek @ p["K"].T + ev @ p["V"].T, "Q": p["E"].T @ eq, "K": p["E"].T @ ek, "V": p["E"].T @ ev, "R": np.bincount(self.gap.ravel(), ds.sum(axis=0).ravel() / scale, 2 * HALF).astype(np.float32), "U": flat(h).T @ flat(d)}
+        # what reaches the embedding of each place, summed by class
+        x = _rows_of(p["E"], c[:, : 2 * HALF])
+        dx = dk @ p["K"].T + dv @ p["V"].T
+        dx[:, HALF:] += dq @ p["Q"].T
+        to = (c[:, : 2 * HALF, None] * WIDTH + np.arange(WIDTH)).ravel()
+        de = np.bincount(to, dx.ravel(), CLASSES * WIDTH).astype(np.float32).reshape(CLASSES, WIDTH)
+        return {"E": de, "Q": flat(x[:, HALF:]).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "R": np.bincount(self.gap.ravel(), ds.sum(axis=0).ravel() / scale, 2 * HALF).astype(np.float32), "U": flat(h).T @ flat(d)}
 
 
 def _start(pairs: DataFrame, size: int) -> Attention:
