@@ -330,3 +330,31 @@ def test_op10_verdicts_are_those_of_a_plain_walk(spark):
         assert got[key].base_failed == failed and got[key].score == pytest.approx(score, rel=1e-9)
         assert got[key].kept == (not failed and got[key].score <= cut)
     assert sum(got[i].kept for i in range(120)) >= 118 and sum(got[i].kept for i in range(120, 150)) <= 3
+
+
+def test_op10_learns_from_every_label(spark):
+    """A kind of good document that only labels beyond the first 20,000, by the hash of the id, know."""
+    from pyspark.sql import functions as F
+
+    from tidemill.llm import quality
+
+    order = [r.id for r in spark.range(24_000).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(11)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7))) for _ in range(3000)]
+    text = lambda tail: " ".join(w + tail for w in rng.choices(some, k=55))
+    late = set(order[20_000:])
+    junk = set(order[100:200])
+    rows = [(i, text("###" if i in junk else "abcdefgh" if i in late else "")) for i in order]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in junk)) for i in order], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.op10(docs, labels).where("kept").select("doc_id").collect()}
+    assert len(late & kept) > 0.95 * len(late) and len(junk & kept) < 5
+
+
+def test_every_row_is_in_a_tree_and_in_none_twice():
+    from tidemill.llm import quality
+
+    for n in (1, 500, 40_000, 300_000):
+        copies = quality.copies_of(n)
+        rows, tree = quality.dealt(np.arange(n)[:, None], np.random.default_rng(n).integers(0, 2**63, n), copies)
+        assert copies >= 1 and len(np.unique(rows[:, 0] * quality.TREES + tree)) == n * copies
