@@ -278,6 +278,26 @@ def test_chunks_change_no_token(both):
         assert both.gathered(1, number)[0].tolist() == both.b.encode(text)
 
 
+def test_chunks_encoded_together_are_those_encoded_alone(both, monkeypatch):
+    chunks = [f" w{i}x" for i in range(300)] + [" a\0b", " \uff46\uff55", " x\u0301\u00e9", " <s>", " ", " \tq", " z\u200bz"]
+    real, texts = both.b, []
+
+    class Counting:
+        def encode(self, some, **more):
+            texts.extend(some)
+            return real.encode(some, **more)
+
+    both.forget()
+    monkeypatch.setattr(both, "b", Counting())
+    number = both.numbers(chunks)
+    assert len(texts) < len(chunks) / 2
+    for c, i in zip(chunks, number.tolist(), strict=True):
+        want = both.a.encode(c, add_special_tokens=False).ids, real.encode(c[1:])
+        assert [both.gathered(side, np.array([i]))[0].tolist() for side in (0, 1)] == [*want]
+        assert both.equal[i] == (b"".join(both.a_bytes[x] for x in want[0]) == c.encode() == b"".join(both.b_bytes[x] for x in want[1]))
+    both.forget()
+
+
 def test_shards_add_up_runs(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(40) << 32 | rng.randrange(30), rng.randrange(1, 9)) for _ in range(4000)]

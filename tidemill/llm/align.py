@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, filterfalse
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -27,6 +28,8 @@ SEGMENT, AT_ONCE, REMEMBERED = 4096, 1 << 18, 1 << 20
 #: Characters beside a space that make the space begin a token on both sides: visible ones, none of them white space.
 VISIBLE = r"!-~\u00A1-\u024F"
 CUT, UNSAFE = re.compile(f"(?<=[{VISIBLE}])(?= [{VISIBLE}])"), re.compile(f"(?<![{VISIBLE}]) | (?![{VISIBLE}])|\0")
+#: The same characters as a set; new chunks that are encoded in one text.
+SEEN, TOGETHER = {chr(i) for i in (*range(0x21, 0x7F), *range(0xA1, 0x250))}, 64
 #: Tokens whose links are held at once, and distinct pairs that a task sums before it passes them on.
 TOKENS, PAIRS = 1 << 18, 1 << 21
 #: Shards that a task keeps mapped.
@@ -81,17 +84,45 @@ class Tokenizers:
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The number of each chunk among those known; what is new is encoded first, each once."""
         new = list(dict.fromkeys(c for c in chunks if c not in self.known))
-        if new:
-            found = [[e.ids for e in self.a.encode_batch(new, add_special_tokens=False)], self.b.encode([c[1:] for c in new], num_threads=1)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            same = [b"".join(map(self.a_bytes.__getitem__, a)) == c.encode() == b"".join(map(self.b_bytes.__getitem__, b)) for c, a, b in zip(new, *found, strict=True)]
-            self.equal = np.append(self.equal, same)
-            for side in (0, 1):
-                length = np.fromiter(map(len, found[side]), np.int64, len(new))
-                self.start[side] = np.append(self.start[side], self.start[side][-1] + np.cumsum(length))
-                self.ids[side] = np.append(self.ids[side], np.fromiter((i for x in found[side] for i in x), np.int32, int(length.sum())))
+        # chunks that begin and end with VISIBLE characters stand behind one another as they would in a text
+        apart = [c for c in new if c[1:2] not in SEEN or c[-1] not in SEEN] if self.separable else new
+        joined = list(filterfalse(set(apart).__contains__, new))
+        runs = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[c] for c in apart]
+        if runs:
+            self.learn(runs)
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
+    def learn(self, runs: list[list[str]]) -> None:
+        """Encode new chunks, those of a run in one text. Where its tokens do not end where its chunks do, or lose bytes, each is encoded alone."""
+        texts = ["".join(run) for run in runs]
+        found = [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        whole = np.array([b"".join(map(self.a_bytes.__getitem__, a)) == t.encode() == b"".join(map(self.b_bytes.__getitem__, b)) for t, a, b in zip(texts, *found, strict=True)])
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        while True:
+            kept = np.flatnonzero(whole).tolist()
+            chunks = [c for i in kept for c in runs[i]]
+            stop = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+            ids = [np.fromiter(chain.from_iterable(side[i] for i in kept), np.int32) for side in found]
+            ends = [np.cumsum(length[x]) for length, x in zip((self.a_length, self.b_length), ids, strict=True)]
+            at = [np.searchsorted(e, stop) for e in ends]
+            crossed = np.logical_or.reduce([e[i] != stop for e, i in zip(ends, at, strict=True)])
+            if not crossed.any():
+                break
+            whole[np.repeat(kept, size[kept])[crossed]] = False
+        self.add(chunks, ids, [np.diff(np.append(-1, i)) for i in at], True)
+        lost = np.flatnonzero(~whole & (size == 1)).tolist()
+        self.add([runs[i][0] for i in lost], [np.fromiter(chain.from_iterable(side[i] for i in lost), np.int32) for side in found], [np.fromiter((len(side[i]) for i in lost), np.int64, len(lost)) for side in found], False)
+        if again := [[c] for i in np.flatnonzero(~whole & (size > 1)).tolist() for c in runs[i]]:
+            self.learn(again)
+
+    def add(self, chunks: list[str], ids: list[np.ndarray], length: list[np.ndarray], equal: bool) -> None:
+        """Remember the ids of chunks, how many each has, and whether they keep its bytes."""
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.equal = np.append(self.equal, np.full(len(chunks), equal))
+        for side in (0, 1):
+            self.start[side] = np.append(self.start[side], self.start[side][-1] + np.cumsum(length[side]))
+            self.ids[side] = np.append(self.ids[side], ids[side])
+
     def gathered(self, side: int, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks in a row, and how many each has."""
         start, length = self.start[side][chunks], self.start[side][chunks + 1] - self.start[side][chunks]
