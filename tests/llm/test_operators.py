@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,6 +496,43 @@ def test_op8_scores_equal_a_plain_loop(table):
     assert sum(shares) == read.count()
 
 
+def test_op8_encodes_a_word_once_a_worker(monkeypatch):
+    """Words of earlier slices are not encoded again, and what is remembered, or forgotten, changes no ids."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}x" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=40_000)) for _ in range(6)] + [None, "", "one\u00a0two \u2581 A"]
+    with open(lm.MODEL, "rb") as f:
+        model = f.read()
+    encoded, plain = [], lm.Subwords.encode
+    monkeypatch.setattr(lm.Subwords, "encode", lambda self, words: encoded.append(len(words)) or plain(self, words))
+    monkeypatch.setattr(lm, "SMALL", 1 << 17)
+    read = lambda: [np.concatenate(x) for x in zip(*((ids, n) for *_, ids, n in lm.Subwords(model).read(pa.array(texts))), strict=True)]
+    got = read()
+    assert len(encoded) > 1 and sum(encoded) <= len(vocabulary) + 3
+    monkeypatch.setattr(lm, "REMEMBERED", 100)
+    again = read()
+    reader = lm.Subwords(model)
+    want = [plain(reader, [w])[0] for t in texts for w in [*WORD.findall((t or "").translate(LOW)), None] if w is not None]
+    assert all((a == b).all() for a, b in zip(got, again, strict=True))
+    assert got[0][got[0] != lm.END].tolist() == [int(i) for x in want for i in x]
+
+
+def test_op8_counts_are_added_up_in_tasks(monkeypatch):
+    monkeypatch.setattr(lm, "TALLIED", 50)
+    rng = np.random.default_rng(7)
+    runs = [(rng.integers(-90, 90, n), rng.integers(1, 9, n)) for n in (0, 10, 300, 40, 45, 0, 7)]
+    want, got = collections.Counter(), collections.Counter()
+    for keys, n in runs:
+        for k, x in zip(keys.tolist(), n.tolist(), strict=True):
+            want[k] += x
+    made = list(lm._added_up(iter(runs)))
+    for b in made:
+        assert len(set(b.column(0).to_pylist())) == b.num_rows
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[k] += x
+    assert got == want and sum(b.num_rows for b in made) < 402 and [b.num_rows for b in lm._added_up(iter([]))] == [0]
+
+
 def test_op8_later_ids_are_learned(spark, tmp_path):
     """Texts that differ from id 34 on only give models that differ."""
     made = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,10 +23,17 @@ CONTEXTS = 512
 ROUNDS, RATE, BATCH = 4, 0.02, 64
 #: Ids that are laid out as windows at once, or those of one text; half windows that are scored at once, which a core's cache holds.
 IDS, AT_ONCE = 1 << 18, 32
+LOG2E = np.float32(np.log2(np.e))
+#: Places whose logits are made, used and given up at once: they stay in a core's cache, and BLAS copies nothing for products so small.
+PLACES = 256
 #: So many of the commonest training words are looked up in every task; the others meet their counts in a join.
 FREQUENT = 20_000
-#: Words that are encoded in one string.
-TOGETHER = 64
+#: Words that are encoded in one string; words whose ids a worker remembers, besides those of one slice.
+TOGETHER, REMEMBERED = 64, 1 << 19
+#: Words, or pairs of ids, that a task adds up before it hands them on.
+TALLIED = 1 << 19
+#: A distinct word of a text, by hash, and the times that it has it.
+TIMES = np.dtype([("word", "<i8"), ("times", "<i4")])
 #: Weight of the coarser distribution in smoothed ones.
 PRIOR = 5.0
 #: Documents with this remainder of crc32(id) by FOLDS are held out.
@@ -45,6 +52,24 @@ class Subwords:
         self.size = self.encoder.get_piece_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.begins = np.array([self.encoder.id_to_piece(i).startswith("\u2581") for i in range(self.size)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Words that are known, by hash and in order; where their ids begin in store, and how many each has."""
+        self.known, self.begin, self.sizes, self.store = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def look_up(self, distinct: np.ndarray, spelt: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Places among the known words of distinct ones, by hash and in order; those that are new are encoded, spelt by their places in distinct."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.known, distinct)
+        new = self.known[np.minimum(at, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            flat, sizes = self.encode(spelt(np.flatnonzero(new)))
+            self.known, self.begin, self.sizes = (np.insert(x, at[new], y) for x, y in ((self.known, distinct[new]), (self.begin, len(self.store) + np.cumsum(sizes) - sizes), (self.sizes, sizes)))
+            self.store = np.concatenate([self.store, flat.astype(self.kind)])
+            at += np.cumsum(new) - new
+        return at
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one behind the other, and how many each has.
@@ -82,10 +107,10 @@ class Subwords:
             at, back = order[fresh], np.empty(len(words), np.int64)
             distinct, back[order] = words[at], np.cumsum(fresh) - 1
             data = s.buf.tobytes()
-            flat, sizes = self.encode([data[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            n = sizes[back]
-            ids = flat[np.repeat(begin[back] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(int(n.sum()))] if len(back) else flat
+            first, last = start[at], end[at]
+            known = self.look_up(distinct, lambda which, data=data, first=first, last=last: [data[a:b].decode("utf-8", "replace") for a, b in zip(first[which].tolist(), last[which].tolist(), strict=True)])[back]
+            n = self.sizes[known]
+            ids = self.store[np.repeat(self.begin[known] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             of = np.repeat(row, n)
             # one END behind each row
             cut = np.searchsorted(of, np.arange(1, s.n + 1))
@@ -105,15 +130,15 @@ def _subwords(model: bytes) -> Subwords:
 def read(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """rid, id, held, n_tokens, words, ids for each row, written to the shared folder: texts are read and split once.
 
-    rid tells rows apart and is fixed by the writing. words holds the distinct words of the text, by hash, with the
-    times that it has them; ids its subword ids and END, two or four bytes each.
+    rid tells rows apart and is fixed by the writing. words holds the distinct words of the text, a TIMES each; ids its
+    subword ids and END, two or four bytes each.
     """
     spark = docs.sparkSession
     with open(path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"rid long, id {dict(docs.dtypes)[key]}, held boolean, n_tokens long, words array<struct<word:long,times:int>>, ids binary"
+    schema = f"rid long, id {dict(docs.dtypes)[key]}, held boolean, n_tokens long, words binary, ids binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _subwords(model.value)
@@ -122,12 +147,10 @@ def read(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "t
             for n, row, back, distinct, ids, n_ids in reader.read(batch.column(3)):
                 pair, times = np.unique(row * max(1, len(distinct)) + back, return_counts=True)
                 of, word = pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))]
-                each = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times.astype(np.int32))], names=["word", "times"])
-                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), each)
-                flat = ids.astype(reader.kind)
-                ends = np.concatenate([[0], np.cumsum(n_ids)]) * flat.itemsize
-                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, n) for i in range(3)), pa.array(np.bincount(row, minlength=n) + 1), words, packed], names=["rid", "id", "held", "n_tokens", "words", "ids"])
+                each = np.empty(len(of), TIMES)
+                each["word"], each["times"] = word.view(np.int64), times
+                packed = _packed(each, np.searchsorted(of, np.arange(n + 1))), _packed(ids.astype(reader.kind), np.concatenate([[0], np.cumsum(n_ids)]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, n) for i in range(3)), pa.array(np.bincount(row, minlength=n) + 1), *packed], names=["rid", "id", "held", "n_tokens", "words", "ids"])
                 done += n
 
     made = fresh_path(spark, "ids")
@@ -135,14 +158,23 @@ def read(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "t
     return spark.read.schema(schema).parquet(made)
 
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of runs of values; ends: where they begin and the last one ends."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _plain(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What _packed() was given, up to the first of ends."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+    return np.frombuffer(column.buffers()[2], kind) if column.buffers()[2] is not None else np.zeros(0, kind), offs
+
+
 def _unpacked(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Ids, their rows and the number of rows, for runs of rows of up to IDS ids."""
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return
-    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    flat = np.frombuffer(column.buffers()[2], kind)
-    offs = offs // flat.itemsize
+    flat, offs = _plain(column, kind)
     a = 0
     while a < len(column):
         b = min(max(a + 1, int(np.searchsorted(offs, offs[a] + IDS, side="right")) - 1), len(column))
@@ -150,6 +182,25 @@ def _unpacked(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np
         a = b
 
 
+def _added_up(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """key and n: the keys of all runs with the sums of their numbers, of some TALLIED keys at once."""
+    keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for run in chain(runs, [None]):
+        if run is not None:
+            keys.append(run[0])
+            sums.append(run[1])
+            if sum(map(len, keys[1:])) < TALLIED:
+                continue
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        keys, sums = [key[first]], [np.add.reduceat(np.concatenate(sums)[order], first)] if len(key) else sums[:1]
+        if run is None or len(first) > TALLIED:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(sums[0])], names=["key", "n"])
+            keys, sums = [keys[0][:0]], [sums[0][:0]]
+
+
 def training_windows(ids: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     """Windows of 2 HALF + 1 ids (-1 before and behind the text) at every HALF ids: each id is once in a second half, the first ones included."""
     n = np.bincount(row, minlength=n_rows)
@@ -168,6 +219,12 @@ def _rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, axis=0, mode="clip")
 
 
+def _windows(halves: np.ndarray) -> np.ndarray:
+    """Each of the halves (n + 1, HALF, WIDTH) but the first, with that before it: (n, 2 HALF, WIDTH), a view."""
+    n, size, width = halves.shape
+    return np.ndarray((n - 1, 2 * size, width), halves.dtype, halves, strides=halves.strides)
+
+
 class Attention:
     """One layer of causal self-attention over classes of ids, on top of what the last class says alone.
 
@@ -186,116 +243,157 @@ class Attention:
         i, j = np.arange(HALF)[:, None] + HALF, np.arange(2 * HALF)[None, :]
         self.gap = np.clip(i - j, 0, 2 * HALF - 1)
         self.future = j > i
+        # logits are taken to the base of 2, whose powers numpy has at half the price
+        self.bits = self.bigram * LOG2E
+        self.lines = np.arange(PLACES) * CLASSES
+        self.cells = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+
+    def projected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Queries (scaled), keys and values of the classes, and what is added to the scores by place: the bias of a distance, or no attention to what comes."""
+        p = self.p
+        return p["E"] @ (p["Q"] * np.float32(WIDTH**-0.5)), p["E"] @ p["K"], p["E"] @ p["V"], np.where(self.future, np.float32(-1e9), p["R"][self.gap])
+
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, some: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of the scores (rows, HALF, 2 HALF); their sums and what is attended to, by place.
+
+        q are queries (rows, HALF, WIDTH), k and v keys and values (rows, 2 HALF, WIDTH) of windows; hidden says which places
+        of some of them are not to be seen. Exponentials are taken as they are, or less their maxima where that fails.
+        """
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            for careful in (False, True):
+                s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+                s += bias
+                if len(some):
+                    s[some] = np.where(hidden[:, None, :], np.float32(-1e9), s[some])
+                if careful:
+                    s -= s.max(axis=2, keepdims=True)
+                np.exp(s, out=s)
+                z = s.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, np.float32)
+                if np.isfinite(z).all() and z.min(initial=1) > 1e-25:
+                    break
+        h = (s @ v).reshape(-1, WIDTH)
+        h /= z[:, None]
+        return s, z, h
 
-    def forward(self, before: np.ndarray, now: np.ndarray, context: np.ndarray, valid: np.ndarray | None, careful: bool = False) -> tuple:
-        """Logits (rows, HALF, CLASSES) at the places of now; before and now are (rows, HALF) classes, context those of now, valid (rows, 2 HALF), if not all are.
+    def shares(self, h: np.ndarray, u: np.ndarray, context: np.ndarray, at: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of up to PLACES places, the logits, to the base of 2, at some cells of (places, CLASSES); the powers of all; their sums. All are less a number for each place.
 
-        Exponentials are taken as they are, or less their maxima if careful.
+        u: U times LOG2E. room: two arrays for logits, which are written again by the next call.
         """
-        p, d = self.p, WIDTH
-        c = np.concatenate([before, now], axis=1)
-        q, kv = _rows_of(p["E"] @ p["Q"], now), _rows_of(np.concatenate([p["E"] @ p["K"], p["E"] @ p["V"]], axis=1), c)
-        k, v = kv[..., :d], kv[..., d:]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(d**-0.5)
-        s += np.where(self.future, np.float32(-1e9), p["R"][self.gap])
-        if valid is not None:
-            some = np.flatnonzero(~valid.all(axis=1))
-            s[some] = np.where(valid[some][:, None, :], s[some], np.float32(-1e9))
-        if careful:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s @ np.ones((2 * HALF, 1), np.float32)
-        h = s @ v
-        logits = _rows_of(self.bigram, context.ravel())
-        logits += h.reshape(-1, d) @ p["U"]
-        return logits.reshape(*now.shape, CLASSES), (c, q, k, v, s, h)
-
-    def shares(self, goal: np.ndarray, *given: np.ndarray | None) -> tuple:
-        """The logits of goal, the exponentials of all, both less a number for each place, and their sums; then the parts of forward()."""
+        e, part = room[0, : len(h)], room[1, : len(h)]
         with np.errstate(over="ignore", invalid="ignore"):
             for careful in (False, True):
-                e, parts = self.forward(*given, careful)
+                np.take(self.bits, context, axis=0, out=e, mode="clip")
+                e += np.matmul(h, u, out=part)
                 if careful:
-                    e -= e.max(axis=2, keepdims=True)
-                chosen = e.reshape(-1)[np.arange(goal.size) * CLASSES + goal.ravel()].reshape(goal.shape)
-                np.exp(e, out=e)
-                total = (e.reshape(-1, CLASSES) @ np.ones(CLASSES, np.float32)).reshape(e.shape[:2])
-                if np.isfinite(total).all() and (total > 1e-25).all():
+                    e -= e.max(axis=1, keepdims=True)
+                chosen = e.reshape(-1)[at]
+                np.exp2(e, out=e)
+                total = e @ np.ones(CLASSES, np.float32)
+                if np.isfinite(total).all() and total.min() > 1e-25:
                     break
-        return chosen, e, total, parts
+        return chosen, e, total
 
     def score(self, ids: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         """log10 probability of each row's ids, END last; each token is scored once, in the second half of a window."""
         n = np.bincount(row, minlength=n_rows)
         halves = -(-n // HALF)
-        first = np.concatenate([[0], np.cumsum(halves)])[:-1]
-        begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-        place = np.arange(len(ids)) - np.repeat(begin - first * HALF, n)
+        first, begin = np.cumsum(halves) - halves, np.cumsum(n) - n
         total = int(halves.sum())
-        before, target = np.full(total * HALF, END), np.full(total * HALF, -1)
+        place = np.arange(len(ids)) + np.repeat(first * HALF - begin, n)
+        # half windows one behind the other; the first one has nothing before it
+        before, target = np.full((total + 1) * HALF, END, ids.dtype), np.full(total * HALF, -1, ids.dtype)
         target[place] = ids
-        last = np.concatenate([[END], ids[:-1]])
-        last[begin] = END
-        before[place] = last
-        c, context = self.classes[before].reshape(total, HALF), self.contexts[before].reshape(total, HALF)
-        real = (target >= 0).reshape(total, HALF)
-        opening = np.zeros(total, bool)
-        opening[first[halves > 0]] = True
-        past = np.concatenate([c[:1], c[:-1]]) if total else c
+        before[HALF + 1 + place[:-1]] = ids[:-1]
+        before[HALF + first[n > 0] * HALF] = END
+        c, context = _rows_of(self.classes, before).reshape(-1, HALF), _rows_of(self.contexts, before[HALF:])
+        real = target >= 0
+        target = np.maximum(target, 0)
+        goal = _rows_of(self.classes, target)
         # what is padded stands behind all that is real, where nothing real looks
-        valid = np.concatenate([np.repeat(~opening[:, None], HALF, axis=1), np.ones_like(real)], axis=1)
-        target = np.maximum(target, 0).reshape(total, HALF)
-        out = np.zeros((total, HALF), np.float32)
+        opening, earlier = first[halves > 0], np.arange(2 * HALF)[None, :] < HALF
+        openings = np.searchsorted(opening, np.arange(0, total + AT_ONCE, AT_ONCE)).tolist()
+        eq, ek, ev, bias = self.projected()
+        room, u = np.empty((2, PLACES, CLASSES), np.float32), self.p["U"] * LOG2E
+        out = np.empty(total * HALF, np.float32)
         for a in range(0, total, AT_ONCE):
-            b = a + AT_ONCE
-            t = target[a:b]
-            chosen, _, sums, _ = self.shares(self.classes[t], past[a:b], c[a:b], context[a:b], valid[a:b])
-            out[a:b] = (chosen - np.log(sums)) * np.float32(1 / np.log(10)) + np.take(self.inner.reshape(-1), context[a:b] * self.inner.shape[1] + np.take(self.column, t, mode="clip"), mode="clip")
-        owner = np.repeat(np.arange(n_rows), halves)
-        return np.bincount(owner, (out * real).sum(axis=1, dtype=np.float64), n_rows)
+            b = min(a + AT_ONCE, total)
+            k, v = (_windows(_rows_of(x, c[a : b + 1])) for x in (ek, ev))
+            some = opening[openings[a // AT_ONCE] : openings[a // AT_ONCE + 1]] - a
+            _, _, h = self.attend(_rows_of(eq, c[a + 1 : b + 1]), k, v, bias, some, earlier)
+            for i in range(a * HALF, b * HALF, PLACES):
+                j = min(i + PLACES, b * HALF)
+                chosen, _, sums = self.shares(h[i - a * HALF : j - a * HALF], u, context[i:j], goal[i:j] + self.lines[: j - i], room)
+                out[i:j] = chosen * np.float32(np.log10(2)) - np.log10(sums)
+        out += np.take(self.inner.reshape(-1), context * self.inner.shape[1] + _rows_of(self.column, target), mode="clip")
+        out *= real
+        return np.bincount(np.repeat(np.arange(n_rows), halves), out.reshape(-1, HALF).sum(axis=1, dtype=np.float64), n_rows)
 
     def train(self, windows: np.ndarray, seed: int, state: dict | None = None) -> None:
         """Adam steps on windows of 2 HALF + 1 ids (-1 where there is none); the second half is predicted. state goes on from the windows before."""
         rng = np.random.default_rng(seed)
         state = {} if state is None else state
+        # all parameters in one array, of which p has views
+        flat = np.concatenate([v.ravel() for v in self.p.values()])
+        cut = np.cumsum([v.size for v in self.p.values()])[:-1]
+        self.p = {k: part.reshape(v.shape) for (k, v), part in zip(self.p.items(), np.split(flat, cut), strict=True)}
         if not state:
-            state |= {"t": 0, "m": {k: np.zeros_like(v) for k, v in self.p.items()}, "u": {k: np.zeros_like(v) for k, v in self.p.items()}}
+            state |= {"t": 0, "m": np.zeros_like(flat), "u": np.zeros_like(flat)}
         m, u = state["m"], state["u"]
         order = rng.permutation(len(windows))
+        room = np.empty((2, PLACES, CLASSES), np.float32)
         for a in range(0, len(windows), BATCH):
             state["t"] = t = state["t"] + 1
-            for k, g in self._gradients(windows[order[a : a + BATCH]]).items():
-                m[k] += 0.1 * (g - m[k])
-                u[k] += 0.02 * (g * g - u[k])
-                step = m[k] / (1 - 0.9**t) / (np.sqrt(u[k] / (1 - 0.98**t)) + 1e-7)
-                self.p[k] -= (RATE * step).astype(np.float32)
-
-    def _gradients(self, w: np.ndarray) -> dict[str, np.ndarray]:
+            got = self._gradients(windows[order[a : a + BATCH]], room)
+            g = np.concatenate([got[k].ravel() for k in self.p])
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            g -= u
+            u += np.float32(0.02) * g
+            step = np.sqrt(u / np.float32(1 - 0.98**t))
+            step += np.float32(1e-7)
+            np.divide(m, step, out=step)
+            step *= np.float32(RATE / (1 - 0.9**t))
+            flat -= step
+
+    def _gradients(self, w: np.ndarray, room: np.ndarray) -> dict[str, np.ndarray]:
         p, scale = self.p, np.float32(WIDTH**-0.5)
         real = w >= 0
-        c = self.classes[np.maximum(w, 0)]
-        before, now, goal = c[:, :HALF], c[:, HALF : 2 * HALF], c[:, HALF + 1 :]
-        weigh = (real[:, HALF : 2 * HALF] & real[:, HALF + 1 :]).astype(np.float32)
-        _, d, total, (_, q, k, v, s, h) = self.shares(goal, before, now, self.contexts[np.maximum(w[:, HALF : 2 * HALF], 0)], real[:, : 2 * HALF])
+        known = np.maximum(w, 0)
+        c = _rows_of(self.classes, known)
+        seen, now = c[:, :-1], c[:, HALF:-1]
+        weigh = (real[:, HALF:-1] & real[:, HALF + 1 :]).ravel().astype(np.float32)
+        some = np.flatnonzero(~real.all(axis=1))
+        eq, ek, ev, bias = self.projected()
+        q, k, v, x = _rows_of(eq, now), _rows_of(ek, seen), _rows_of(ev, seen), _rows_of(p["E"], seen)
+        s, z, h = self.attend(q, k, v, bias, some, ~real[some, :-1])
         weigh /= max(1.0, float(weigh.sum()))
-        d *= (weigh / total)[..., None]
-        d.reshape(-1)[np.arange(goal.size) * CLASSES + goal.ravel()] -= weigh.ravel()
+        goal, context = c[:, HALF + 1 :].ravel(), _rows_of(self.contexts, known[:, HALF:-1]).ravel()
+        u, back_u = p["U"] * LOG2E, np.ascontiguousarray(p["U"].T)
+        dh, du = np.empty_like(h), np.zeros_like(p["U"])
+        for i in range(0, len(h), PLACES):
+            j = min(i + PLACES, len(h))
+            at = goal[i:j] + self.lines[: j - i]
+            _, d, total = self.shares(h[i:j], u, context[i:j], at, room)
+            # shares of the classes less those that should be, both times total
+            d.reshape(-1)[at] -= total
+            part = (weigh[i:j] / total)[:, None]
+            np.multiply(d @ back_u, part, out=dh[i:j])
+            du += (h[i:j] * part).T @ d
+        back = dh / z[:, None]
+        ds = back.reshape(q.shape) @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds -= np.einsum("ij,ij->i", back, h).reshape(*q.shape[:2], 1)
+        ds *= s
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        dh = (flat(d) @ p["U"].T).reshape(h.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        da -= ((da * s) @ np.ones((2 * HALF, 1), np.float32))
-        da *= s
-        ds = da
-        ds *= scale
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dh
+        dq, dk, dv = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(s.transpose(0, 2, 1) @ back.reshape(q.shape))
         # what reaches the embedding of each place, summed by class
-        x = _rows_of(p["E"], c[:, : 2 * HALF])
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, HALF:] += dq @ p["Q"].T
-        to = (c[:, : 2 * HALF, None] * WIDTH + np.arange(WIDTH)).ravel()
-        de = np.bincount(to, dx.ravel(), CLASSES * WIDTH).astype(np.float32).reshape(CLASSES, WIDTH)
-        return {"E": de, "Q": flat(x[:, HALF:]).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv), "R": np.bincount(self.gap.ravel(), ds.sum(axis=0).ravel() / scale, 2 * HALF).astype(np.float32), "U": flat(h).T @ flat(d)}
+        dx = dk @ np.ascontiguousarray(p["K"].T)
+        dx += dv @ np.ascontiguousarray(p["V"].T)
+        dx.reshape(x.shape)[:, HALF:] += (dq @ np.ascontiguousarray(p["Q"].T * scale)).reshape(q.shape)
+        de = np.bincount(_rows_of(self.cells, seen).ravel(), dx.ravel(), CLASSES * WIDTH)
+        dr = np.bincount(self.gap.ravel(), np.ones(len(w), np.float32) @ ds.reshape(len(w), -1), 2 * HALF)
+        xs = flat(x).T
+        return {"E": de.astype(np.float32), "Q": flat(x[:, HALF:]).T @ (dq * scale), "K": xs @ dk, "V": xs @ dv, "R": dr.astype(np.float32), "U": du}
 
 
 def _start(pairs: DataFrame, size: int) -> Attention:
@@ -348,15 +446,15 @@ def fit(rows: DataFrame, path: str = MODEL) -> Attention:
     kind = reader.kind
     texts = rows.where("not held").select("rid", "ids")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for ids, row, _ in _unpacked(batch.column(0), kind):
                 before = np.concatenate([[END], ids[:-1]])
                 before[1:][row[1:] != row[:-1]] = END
-                p, n = np.unique((before << 32) | ids, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p >> 32), pa.array(p & 0xFFFFFFFF), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+                yield (before << 32) | ids, np.ones(len(ids), np.int64)
 
-    counted = keep(texts.select("ids").mapInArrow(pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    summed = texts.select("ids").mapInArrow(lambda batches: _added_up(pairs(batches)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = keep(summed.select(F.shiftright("key", 32).alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "n"))
     model = _start(counted, reader.size)
     shapes = {k: v.shape for k, v in model.p.items()}
     for turn in range(ROUNDS):
@@ -404,11 +502,10 @@ def attended(rows: DataFrame, model: Attention, counted: tuple[np.ndarray, np.nd
             found = [net.score(ids, row, n) for ids, row, n in _unpacked(batch.column(4), kind)]
             if not found:
                 continue
-            lists = batch.column(5)
-            n = len(lists)
-            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten()
-            word, times = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            flat, offs = _plain(batch.column(5), TIMES)
+            n = len(offs) - 1
+            row = np.repeat(np.arange(n), np.diff(offs))
+            word, times = (np.ascontiguousarray(flat[x][offs[0] : offs[-1]]) for x in ("word", "times"))
             at = np.minimum(np.searchsorted(frequent, word), max(0, len(frequent) - 1))
             hit = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
             known, logs = np.bincount(row[hit], times[hit], n), np.bincount(row[hit], times[hit] * worth[at[hit]], n)
@@ -435,7 +532,14 @@ def scores(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str =
     text; repeated rows are each scored, and count each; an empty table gives no rows.
     """
     rows = read(docs, path, key, text)
-    total = keep(rows.where("not held").select(F.inline("words")).groupBy("word").agg(F.sum("times").cast("long").alias("c")))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            flat, offs = _plain(batch.column(0), TIMES)
+            yield flat["word"][offs[0] : offs[-1]], flat["times"][offs[0] : offs[-1]].astype(np.int64)
+
+    counted = rows.where("not held").select("words").mapInArrow(lambda batches: _added_up(words(batches)), "key long, n long")
+    total = keep(counted.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")))
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("not held").count()
     n_train, n_distinct = size["n"] + ends, size["v"] + int(ends > 0)
