@@ -24,16 +24,16 @@ ROUNDS, RATE, BATCH = 4, 0.02, 64
 #: Ids that are laid out as windows at once, or those of one text; half windows that are scored at once, which a core's cache holds.
 IDS, AT_ONCE = 1 << 18, 32
 LOG2E = np.float32(np.log2(np.e))
-#: Places whose logits are made, used and given up at once: they stay in a core's cache, and BLAS copies nothing for products so small.
-PLACES = 256
+#: Places whose logits are made, used and given up at once, so that they stay in a core's cache; rows of one matrix product, for which BLAS copies nothing.
+PLACES, ROWS = 512, 256
 #: So many of the commonest training words are looked up in every task; the others meet their counts in a join.
 FREQUENT = 20_000
 #: Words that are encoded in one string; words whose ids a worker remembers, besides those of one slice.
 TOGETHER, REMEMBERED = 64, 1 << 19
 #: Words, or pairs of ids, that a task adds up before it hands them on.
 TALLIED = 1 << 19
-#: A distinct word of a text, by hash, and the times that it has it.
-TIMES = np.dtype([("word", "<i8"), ("times", "<i4")])
+#: How words, by hash, and the times that a text has them are written.
+WORD, TIMES = np.dtype("<i8"), np.dtype("<i4")
 #: Weight of the coarser distribution in smoothed ones.
 PRIOR = 5.0
 #: Documents with this remainder of crc32(id) by FOLDS are held out.
@@ -130,15 +130,15 @@ def _subwords(model: bytes) -> Subwords:
 def read(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """rid, id, held, n_tokens, words, ids for each row, written to the shared folder: texts are read and split once.
 
-    rid tells rows apart and is fixed by the writing. words holds the distinct words of the text, a TIMES each; ids its
-    subword ids and END, two or four bytes each.
+    rid tells rows apart and is fixed by the writing. words holds the distinct words of the text, by hash, times how
+    often it has each; ids its subword ids and END, two or four bytes each.
     """
     spark = docs.sparkSession
     with open(path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     held = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), held.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"rid long, id {dict(docs.dtypes)[key]}, held boolean, n_tokens long, words binary, ids binary"
+    schema = f"rid long, id {dict(docs.dtypes)[key]}, held boolean, n_tokens long, words binary, times binary, ids binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _subwords(model.value)
@@ -147,10 +147,9 @@ def read(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str = "t
             for n, row, back, distinct, ids, n_ids in reader.read(batch.column(3)):
                 pair, times = np.unique(row * max(1, len(distinct)) + back, return_counts=True)
                 of, word = pair // max(1, len(distinct)), distinct[pair % max(1, len(distinct))]
-                each = np.empty(len(of), TIMES)
-                each["word"], each["times"] = word.view(np.int64), times
-                packed = _packed(each, np.searchsorted(of, np.arange(n + 1))), _packed(ids.astype(reader.kind), np.concatenate([[0], np.cumsum(n_ids)]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, n) for i in range(3)), pa.array(np.bincount(row, minlength=n) + 1), *packed], names=["rid", "id", "held", "n_tokens", "words", "ids"])
+                ends = np.searchsorted(of, np.arange(n + 1))
+                packed = _packed(word.view(WORD), ends), _packed(times.astype(TIMES), ends), _packed(ids.astype(reader.kind), np.concatenate([[0], np.cumsum(n_ids)]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, n) for i in range(3)), pa.array(np.bincount(row, minlength=n) + 1), *packed], names=["rid", "id", "held", "n_tokens", "words", "times", "ids"])
                 done += n
 
     made = fresh_path(spark, "ids")
@@ -164,12 +163,13 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _plain(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """What _packed() was given, up to the first of ends."""
+    """The values of a column that _packed() made, and where its rows begin and the last one ends."""
     if not len(column):
         return np.zeros(0, kind), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary())
     offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
-    return np.frombuffer(column.buffers()[2], kind) if column.buffers()[2] is not None else np.zeros(0, kind), offs
+    flat = np.frombuffer(column.buffers()[2], kind) if column.buffers()[2] is not None else np.zeros(0, kind)
+    return flat[offs[0] : offs[-1]], offs - offs[0]
 
 
 def _unpacked(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -219,6 +219,11 @@ def _rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, axis=0, mode="clip")
 
 
+def _in_parts(x: np.ndarray) -> np.ndarray:
+    """x (n, width) as a stack of matrices of ROWS rows, or of one matrix if these don't come out even."""
+    return x.reshape(-1, ROWS if len(x) % ROWS == 0 else len(x), x.shape[1])
+
+
 def _windows(halves: np.ndarray) -> np.ndarray:
     """Each of the halves (n + 1, HALF, WIDTH) but the first, with that before it: (n, 2 HALF, WIDTH), a view."""
     n, size, width = halves.shape
@@ -245,7 +250,7 @@ class Attention:
         self.future = j > i
         # logits are taken to the base of 2, whose powers numpy has at half the price
         self.bits = self.bigram * LOG2E
-        self.lines = np.arange(PLACES) * CLASSES
+        self.lines, self.ones = np.arange(PLACES) * CLASSES, np.ones(CLASSES, np.float32)
         self.cells = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 
     def projected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +274,7 @@ class Attention:
                     s -= s.max(axis=2, keepdims=True)
                 np.exp(s, out=s)
                 z = s.reshape(-1, 2 * HALF) @ np.ones(2 * HALF, np.float32)
-                if np.isfinite(z).all() and z.min(initial=1) > 1e-25:
+                if z.min() > 1e-25 and z.max() < np.inf:
                     break
         h = (s @ v).reshape(-1, WIDTH)
         h /= z[:, None]
@@ -284,13 +289,14 @@ class Attention:
         with np.errstate(over="ignore", invalid="ignore"):
             for careful in (False, True):
                 np.take(self.bits, context, axis=0, out=e, mode="clip")
-                e += np.matmul(h, u, out=part)
+                np.matmul(_in_parts(h), u, out=_in_parts(part))
+                e += part
                 if careful:
                     e -= e.max(axis=1, keepdims=True)
                 chosen = e.reshape(-1)[at]
                 np.exp2(e, out=e)
-                total = e @ np.ones(CLASSES, np.float32)
-                if np.isfinite(total).all() and total.min() > 1e-25:
+                total = e @ self.ones
+                if total.min() > 1e-25 and total.max() < np.inf:
                     break
         return chosen, e, total
 
@@ -378,8 +384,8 @@ class Attention:
             # shares of the classes less those that should be, both times total
             d.reshape(-1)[at] -= total
             part = (weigh[i:j] / total)[:, None]
-            np.multiply(d @ back_u, part, out=dh[i:j])
-            du += (h[i:j] * part).T @ d
+            np.multiply((_in_parts(d) @ back_u).reshape(-1, WIDTH), part, out=dh[i:j])
+            du += (_in_parts(h[i:j] * part).transpose(0, 2, 1) @ _in_parts(d)).sum(axis=0)
         back = dh / z[:, None]
         ds = back.reshape(q.shape) @ np.ascontiguousarray(v.transpose(0, 2, 1))
         ds -= np.einsum("ij,ij->i", back, h).reshape(*q.shape[:2], 1)
@@ -502,10 +508,9 @@ def attended(rows: DataFrame, model: Attention, counted: tuple[np.ndarray, np.nd
             found = [net.score(ids, row, n) for ids, row, n in _unpacked(batch.column(4), kind)]
             if not found:
                 continue
-            flat, offs = _plain(batch.column(5), TIMES)
+            (word, offs), (times, _) = _plain(batch.column(5), WORD), _plain(batch.column(6), TIMES)
             n = len(offs) - 1
             row = np.repeat(np.arange(n), np.diff(offs))
-            word, times = (np.ascontiguousarray(flat[x][offs[0] : offs[-1]]) for x in ("word", "times"))
             at = np.minimum(np.searchsorted(frequent, word), max(0, len(frequent) - 1))
             hit = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
             known, logs = np.bincount(row[hit], times[hit], n), np.bincount(row[hit], times[hit] * worth[at[hit]], n)
@@ -514,7 +519,7 @@ def attended(rows: DataFrame, model: Attention, counted: tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(np.concatenate(found)), pa.array(known.astype(np.int64)), pa.array(logs.astype(float)), far], names=[*names, "score", "known", "logs", "far"])
 
     made = fresh_path(rows.sparkSession, "scored")
-    rows.select(*names, "ids", "words").mapInArrow(score, schema).write.parquet(made)
+    rows.select(*names, "ids", "words", "times").mapInArrow(score, schema).write.parquet(made)
     return rows.sparkSession.read.schema(schema).parquet(made)
 
 
@@ -535,10 +540,9 @@ def scores(docs: DataFrame, path: str = MODEL, key: str = "doc_id", text: str =
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            flat, offs = _plain(batch.column(0), TIMES)
-            yield flat["word"][offs[0] : offs[-1]], flat["times"][offs[0] : offs[-1]].astype(np.int64)
+            yield _plain(batch.column(0), WORD)[0], _plain(batch.column(1), TIMES)[0].astype(np.int64)
 
-    counted = rows.where("not held").select("words").mapInArrow(lambda batches: _added_up(words(batches)), "key long, n long")
+    counted = rows.where("not held").select("words", "times").mapInArrow(lambda batches: _added_up(words(batches)), "key long, n long")
     total = keep(counted.groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")))
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = rows.where("not held").count()
