@@ -6,6 +6,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from tidemill.operators import merge, selection
+from tidemill.plans import stream_catalog
+from tidemill.plans.catalog import QUERIES
 from tidemill.sources import versions
 from tidemill.streaming import upserts
 
@@ -83,3 +85,39 @@ def test_keys_are_seen_for_as_long_as_they_are_kept(spark, tmp_path):
     stream = spark.readStream.schema("id long, at timestamp, marks boolean, keys array<string>").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     # 4 asks for a key of 19 days before, 7 comes after its key was published
     assert sorted(r.id for r in upserts.unseen(stream, f"file://{tmp_path}/state").collect()) == [3, 4]
+
+
+def test_ledger_equals_the_plain_fold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upserts, "FOLDERS", 3)
+    rng, day, days = random.Random(8), 86_400_000_000, 3
+    seen, want, folder = {}, {}, f"file://{tmp_path}/state"
+    write = upserts.asked_of(spark, folder, days)
+    for number in range(8):  # over FOLDERS, so the ledger is written together
+        rows = [(number * 100 + i, (number + rng.randrange(12)) * day // 2, rng.random() < 0.4, k) for i in range(12) for k in rng.sample("abcdefgh", 2)]
+        told = {}
+        for k in "abcdefgh":
+            state = seen.get(k)
+            for i, at, marks, _ in sorted((r for r in rows if r[3] == k), key=lambda r: (r[1], not r[2], r[0])):
+                if state is not None and at - state > days * day:
+                    state = None
+                if marks and state is None:
+                    state = at
+                elif not marks:
+                    told.setdefault(i, []).append(state is None)
+            seen[k] = seen.get(k) if state is None else state
+        want[number] = {i for i, new in told.items() if all(new)}
+        batch = spark.createDataFrame(rows, "id long, at long, marks boolean, key string")
+        write(batch, number)
+        if number == 3:
+            write(batch, number)  # again
+        assert {r.id for r in spark.read.parquet(f"{folder}/result/batch={number:09d}").collect()} == want[number]
+    assert any(want.values()) and len(versions.latest(spark, folder).parts["seen"]) <= 3
+
+
+def test_many_files_are_few_batches(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(stream_catalog, "scratch", lambda s, what: f"file://{tmp_path}/{what}")
+    got = {r.doc_id for r in QUERIES["stream_seen"](spark, str(tmp_path)).collect()}
+    assert got == {r.doc_id for r in QUERIES["seen_filter"](spark, str(tmp_path)).collect()} and got
+    assert len(list((tmp_path / "seen/state/result").glob("batch=*"))) == 2

@@ -39,10 +39,11 @@ def stream_seen(s, d):
     """§2.11, D03: documents as items under two keys: every third is published, then the others ask."""
     k = digest.keys(digest.articles(B.table(s, d, "documents"))).select(F.col("doc_id").alias("id"), F.lit("2024-01-01 14:00:00").cast("timestamp").alias("at"), (F.col("doc_id") % 3 == 0).alias("marks"), F.array("text_key", "title_key").alias("keys"))
     folder = scratch(s, "seen")
-    k.where("marks").write.parquet(f"{folder}/in/a")
-    k.where("not marks").write.parquet(f"{folder}/in/b")
-    stream = s.readStream.schema(k.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return upserts.unseen(stream, f"{folder}/state").withColumnRenamed("id", "doc_id")
+    for name, rows in (("a", k.where("marks")), ("b", k.where("not marks"))):
+        rows.write.parquet(f"{folder}/in/{name}")
+        stream = s.readStream.schema(k.schema).option("recursiveFileLookup", True).option("maxBytesPerTrigger", 256 << 20).parquet(f"{folder}/in")
+        out = upserts.unseen(stream, f"{folder}/state")
+    return out.withColumnRenamed("id", "doc_id")
 
 
 for _grain, _length in (("week", "7 days"), ("month", None)):

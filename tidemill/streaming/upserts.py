@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.steps import cut
 from ..sources import versions
 from ..sources.versions import Version
 
@@ -57,69 +55,81 @@ def drained_into(stream: DataFrame, write: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class Ledger(StatefulProcessor):
-    """One state a key: when it was first published. Rows: key, at (microseconds), marks (whether the item counts as published), id.
+#: A ledger of keys: when each was published, and when that was written down.
+LEDGER = "key string, at bigint, set_at timestamp"
+#: So many folders of a ledger are read as they are; more are written together into one.
+FOLDERS = 16
 
-    An item that does not mark only asks. Inside a batch, marks count for later items; all rows of one key in a batch
-    come to one task, as its state does. A key that was seen longer ago
-    than retention counts as new, and its state goes by itself after as long without being set.
-    """
-
-    def __init__(self, days: int):
-        self.days = days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "at bigint", self.days * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.first.get()[0] if self.first.exists() else None
-        before, told = seen, []
-        for r in pd.concat(rows).sort_values(["at", "marks", "id"], ascending=[True, False, True]).itertuples():
-            if seen is not None and r.at - seen > self.days * 86_400_000_000:
-                seen = None
-            if r.marks and seen is None:
-                seen = r.at
-            elif not r.marks:
-                told.append((r.id, key[0], seen is None))
-        if seen is not None and seen != before:
-            self.first.update((int(seen),))
-        yield pd.DataFrame(told, columns=["id", "key", "new"])
 
-    def close(self) -> None:
-        pass
+def _stamps(marks: DataFrame, known: DataFrame, span: int) -> DataFrame:
+    """key, at: which of the marks set their key's stamp, in order of time: those that come more than span after the stamp before.
 
+    marks and known: key, at; known has the last stamp of a key. In rounds, one for each time that a key's marks of one
+    batch go on for longer than span; each shuffles the marks that are left, and a key's first one is found before the shuffle.
+    """
+    later = F.col("last").isNull() | (F.col("at") > F.col("last") + span)
+    left = cut(marks.distinct().join(known.select("key", F.col("at").alias("last")), "key", "left").where(later).select("key", "at"))
+    stamps = None
+    while True:
+        first = left.groupBy("key").agg(F.min("at").alias("at"))
+        stamps = first if stamps is None else stamps.unionByName(first)
+        left = cut(left.join(first.select("key", F.col("at").alias("last")), "key").where(later).select("key", "at"))
+        if left.isEmpty():
+            return stamps
+
+
+def asked_of(spark: SparkSession, folder: str, days: int = 14) -> Callable[[DataFrame, int], None]:
+    """A writer for foreachBatch: the ids of a batch that are new go to folder/result, what the batch publishes to the ledger below folder.
+
+    Rows of a batch: id, at (microseconds), marks (whether the item counts as published), key. A key is seen from its
+    stamp, its first mark, for days; a mark after that sets it anew. An item that does not mark only asks; it is new if
+    none of its keys is seen. Inside a batch, marks count for items of the same time and later ones, those of batches
+    before for late items too; an item without a time comes last, a mark without one or a missing key counts for nothing.
+
+    The ledger is a table in versions that grows by the batch's stamps; every FOLDERS batches it is written together.
+    Stamps that were written longer than days ago are not read any more. A batch is joined to it by key, so it costs one
+    reading of the ledger and no work a key outside Spark's joins; batches should be large. The manifest holds the
+    number of the last batch, whose result is written before, so a replay changes nothing.
+    """
+    span = days * 86_400_000_000
 
-#: Value states with a time to live need RocksDB; and such a stream drains only if it runs no batches without rows.
-_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-
+    def write(batch: DataFrame, number: int) -> None:
+        if number <= versions.latest(spark, folder).notes.get("batch", -1):
+            return
+        # from here on in the caller's session; that of a stream plans without adaptive execution
+        rows = f"{folder}/batches/{number:09d}-{uuid.uuid4().hex}"
+        batch.write.parquet(rows)
+        single = spark.read.schema(batch.schema).parquet(rows)
+        asks = single.where("not coalesce(marks, false)")
+        while True:
+            base = versions.latest(spark, folder)
+            if number <= base.notes.get("batch", -1):
+                return
+            kept = versions.read(spark, base, LEDGER).where(F.col("set_at") > F.current_timestamp() - F.expr(f"interval {days} days"))
+            known = kept.groupBy("key").agg(F.max("at").alias("at"))
+            stamps = cut(_stamps(single.where("marks and at is not null and key is not null").select("key", "at"), known, span))
+            # what was known is seen by late items too
+            seen = known.select("key", F.lit(None).cast("long").alias("since"), (F.col("at") + span).alias("until"))
+            seen = seen.unionByName(stamps.select("key", F.col("at").alias("since"), (F.col("at") + span).alias("until")))
+            found = asks.join(seen, "key").where("at is null or (at <= until and (since is null or at >= since))").select("id").distinct()
+            asks.select("id").distinct().join(found, "id", "left_anti").write.mode("overwrite").parquet(f"{folder}/result/batch={number:09d}")
+            parts, new = base.parts.get("seen", []), stamps.withColumn("set_at", F.current_timestamp())
+            if len(parts) >= FOLDERS:
+                new, parts = kept.unionByName(new).groupBy("key").agg(F.max(F.struct("at", "set_at")).alias("x")).select("key", "x.*"), []
+            data = f"{folder}/data/{number:09d}-{uuid.uuid4().hex}"
+            new.write.parquet(data)
+            if versions.commit(spark, folder, Version(base.number + 1, {"seen": [*parts, data]}, {"batch": number})):
+                return
 
-@contextmanager
-def rocks(spark: SparkSession):
-    """Within, streams that are started keep their state in RocksDB and wait for rows; the session's settings are put back after."""
-    before = {name: spark.conf.get(name, None) for name in _STATE}
-    for name, value in _STATE.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return write
 
 
 def unseen(items: DataFrame, folder: str, days: int = 14) -> DataFrame:
-    """The ids of all that has arrived and does not mark, of which neither key was seen within days before.
+    """The ids of all that has arrived and does not mark, of which no key was seen within days before.
 
-    items: a stream of id (long), at (timestamp), marks (boolean), keys (array of strings). Each item is sent under each
-    of its keys to that key's state; both answers of an item come in one batch, where they are put together. A batch
-    that is written again replaces itself.
+    items: a stream of id (long), at (timestamp), marks (boolean), keys (array of strings), which asked_of() takes under
+    each of its keys. A call takes what has arrived since the last one with the same folder.
     """
     single = items.select("id", F.unix_micros("at").alias("at"), "marks", F.explode("keys").alias("key"))
-    spark = items.sparkSession
-    with rocks(spark):
-        told = single.groupBy("key").transformWithStateInPandas(Ledger(days), "id bigint, key string, new boolean", "Append", "ProcessingTime")
-
-        def write(batch: DataFrame, number: int) -> None:
-            batch.groupBy("id").agg(F.bool_and("new").alias("new")).where("new").select("id").write.mode("overwrite").parquet(f"{folder}/result/batch={number:09d}")
-
-        drained_into(told, write, f"{folder}/checkpoint")
-    return spark.read.schema("id bigint").parquet(f"{folder}/result/*")
+    drained_into(single, asked_of(items.sparkSession, folder, days), f"{folder}/checkpoint")
+    return items.sparkSession.read.schema("id bigint").parquet(f"{folder}/result/*")
