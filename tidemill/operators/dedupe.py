@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.steps import cut
+from ..functions.steps import cut, once
 
 
 def kind_hash(same_marks: bool) -> Column:
@@ -14,29 +14,44 @@ def kind_hash(same_marks: bool) -> Column:
 
 
 def similar_pairs(sets: DataFrame, threshold: float, same_marks: bool = False) -> DataFrame:
-    """id_a, id_b, similarity: pairs of sets s with a Jaccard similarity of threshold or more whose groups and marks agree.
+    """k_a, k_b, id_a, id_b, similarity: pairs of sets s with a Jaccard similarity of threshold or more whose groups and marks agree.
 
     sets: id, s (distinct strings), p (marks), g (group). Groups must be known and equal where same_marks is set,
     and marks equal; otherwise groups do not matter, and marks only part two sets that both have some but none in
-    common. A prefix filter over an inverted index: sets that are so similar share one of their rarest elements.
-    Sets with equal elements, marks and group stand for each other in the index, so copies make no pairs there.
+    common. Sets with equal elements, marks and group stand for each other, so copies make no pairs; their k is
+    kind_hash(), their id the smallest.
+
+    A prefix filter over an inverted index: sets that are so similar share one of their rarest elements. An entry of the
+    index has the whole set, as numbers, so a pair is decided where two entries meet, in full, and only by the rarest
+    element that both have: candidates are neither written nor shuffled, only the index and the pairs found are. Bits of
+    the sets, which differ by no more than the sets do, spare nearly all of the rest the comparison.
     """
     one = sets.where("size(s) > 0").select("id", "s", F.array_sort("p").alias("p"), "g")
     if same_marks:
         one = one.where("g is not null")
     one = one.withColumn("kind", kind_hash(same_marks))
-    kinds = one.groupBy("kind").agg(F.first("s").alias("s"), F.first("p").alias("p"), F.first("g").alias("g"))
+    kinds = cut(one.groupBy("kind").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.first("p").alias("p"), F.first("g").alias("g")))
     # an element counts inside its group and marks where these must agree
-    spelled = kinds.select("kind", F.size("s").alias("n"), "g", "p", F.explode("s").alias("w")).select("kind", "n", F.xxhash64(*([F.col("g"), F.array_join("p", " ")] if same_marks else []), "w").alias("e"))
-    often = spelled.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    order = spelled.join(often, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.coalesce("f", F.lit(1)), "e")))
-    prefix = order.where(F.col("f").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)).select("e", "kind", "n")
-    a, b = (prefix.select("e", F.col("kind").alias(f"k_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    candidates = a.join(b, "e").where(F.expr(f"k_a < k_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")).select("k_a", "k_b").distinct()
-    x, y = (kinds.select(F.col("kind").alias(f"k_{c}"), F.col("s").alias(f"s_{c}"), F.col("p").alias(f"p_{c}")) for c in "ab")
-    sim = F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))
+    element = ["g", "p", "w"] if same_marks else ["w"]
+    spelled = kinds.select("kind", "id", F.size("s").alias("n"), "g", "p", F.explode("s").alias("w"))
+    # those of one set only are in no two; the others get numbers, which are written, so that they stay
+    often = cut(spelled.groupBy(*element).agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("e", F.monotonically_increasing_id()))
+    known = spelled.join(often, element).groupBy("kind").agg(*(F.first(c).alias(c) for c in ("id", "n", "p")), F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))
+    bits = F.aggregate("s", F.lit(0).cast("long"), lambda bits, e: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(e), F.lit(64)).cast("int"))))
+    known = cut(known.withColumn("s", F.col("s.e")).withColumn("bits", bits))
+    # the rarest elements of a set are those that no other has
+    prefix = (F.size("s") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    index = known.where(prefix > 0).select(F.explode(F.slice("s", F.lit(1), prefix)).alias("e"), "kind", "id", "n", "p", "s", "bits")
+    a, b = (index.select("e", *(F.col(c).alias(f"{c}_{x}") for c in ("kind", "id", "n", "p", "s", "bits"))) for x in "ab")
+    near = F.expr(f"kind_a < kind_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
+    # what both have is threshold / (1 + threshold) of all their elements at least
+    apart = F.size("s_a") + F.size("s_b") - (F.col("n_a") + F.col("n_b")) * (2 * threshold / (1 + threshold)) + 1e-9
+    met = a.join(b, "e").where(near & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= apart))
+    met = once(met.select("e", "kind_a", "kind_b", "id_a", "id_b", "n_a", "n_b", "p_a", "p_b", "s_a", "s_b"), {"both": F.array_intersect("s_a", "s_b")})
+    sim = F.size("both") / (F.col("n_a") + F.col("n_b") - F.size("both"))
     agree = F.lit(True) if same_marks else (F.size("p_a") == 0) | (F.size("p_b") == 0) | F.arrays_overlap("p_a", "p_b")
-    return candidates.join(x, "k_a").join(y, "k_b").select("k_a", "k_b", F.round(sim, 6).alias("similarity")).where((sim >= threshold) & agree)
+    found = met.where((F.get("both", F.lit(0)) == F.col("e")) & (sim >= threshold) & agree)
+    return found.select(F.col("kind_a").alias("k_a"), F.col("kind_b").alias("k_b"), "id_a", "id_b", F.round(sim, 6).alias("similarity"))
 
 
 def kinds_of(sets: DataFrame, same_marks: bool = False) -> DataFrame:

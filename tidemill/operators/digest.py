@@ -90,12 +90,8 @@ def title_classes(items: DataFrame) -> DataFrame:
 
 def near_pairs(items: DataFrame, threshold: float = 0.62) -> DataFrame:
     """id_a, id_b, similarity: pairs of title_classes() whose stems have a Jaccard similarity of threshold or more and whose periods agree."""
-    sets = _sets(items)
-    head = dedupe.kinds_of(sets).groupBy("kind").agg(F.min("id").alias("id"))
-    pairs = dedupe.similar_pairs(sets, threshold)
-    for c in "ab":
-        pairs = pairs.join(head.select(F.col("kind").alias(f"k_{c}"), F.col("id").alias(f"i_{c}")), f"k_{c}")
-    return pairs.select(F.least("i_a", "i_b").alias("id_a"), F.greatest("i_a", "i_b").alias("id_b"), "similarity")
+    pairs = dedupe.similar_pairs(_sets(items), threshold)
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
 
 
 def greedy(items: DataFrame, threshold: float = 0.62) -> DataFrame:
