@@ -1,10 +1,12 @@
 """Pairs of similar sets, and the ordered fold over them, against brute force."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 from tidemill.operators import dedupe
+from tidemill.plans.catalog import QUERIES
 
 SETS = "id long, s array<string>, p array<string>, g string"
 
@@ -47,3 +49,29 @@ def test_candidates_are_not_shuffled(spark):
     pairs = dedupe.similar_pairs(spark.createDataFrame([(i, sorted(set(s)), p, g) for i, s, p, g in sets], SETS), 0.62)
     plan = pairs._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Aggregate") == 0
+
+
+def test_first_free_equals_the_fold(spark):
+    rng = random.Random(5)
+    # a chain in falling rank, which takes a round a link, and a random graph beside it
+    items = [(i, i, [1000 + i]) for i in range(9)] + [(i, i, rng.sample(range(60), 2)) for i in range(9, 100)]
+    one_way = [(1000 + i, 1001 + i) for i in range(8)] + [tuple(rng.sample(range(60), 2)) for _ in range(40)]
+    links = set(one_way) | {(b, a) for a, b in one_way}
+    kept = []
+    for i, _, groups in items:
+        if not any(a == b or (a, b) in links for _, other in kept for a in groups for b in other):
+            kept.append((i, groups))
+    got = dedupe.first_free(spark.createDataFrame(items, "id long, place int, groups array<long>"), spark.createDataFrame(sorted(links), "a long, b long"))
+    assert sorted(r.id for r in got.collect()) == [i for i, _ in kept]
+
+
+def test_greedy_writes_no_texts(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices("abcdefghij klmnop", k=60_000))
+    docs = [(i, f"title {i}\n{text()}", "src0") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    before = size()
+    assert QUERIES["dedupe_greedy"](spark, str(tmp_path)).count() == 40
+    assert size() - before < 1_000_000  # the texts are 2.4 MB

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,3 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more; it does so once the driver's garbage is collected, which between the rounds of a loop may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.steps import cut, once
+from ..functions.steps import cut, let_go, once
 
 
 def kind_hash(same_marks: bool) -> Column:
@@ -104,7 +104,8 @@ def first_free(items: DataFrame, links: DataFrame) -> DataFrame:
     links: a, b, both ways round. In rounds: an item that is the first of all within its reach that are still open is
     kept, and what it reaches goes. Every round decides the first open item of each connected part at least, most
     rounds nearly all; each shuffles one row for each open item and group of it, minima are combined before the
-    shuffle, and only what is open goes on. The result is that of the fold, whatever the rounds.
+    shuffle, and only what is open goes on, with the links between what is open. The result is that of the fold,
+    whatever the rounds.
     """
     kept, open_items, rounds = None, items, 0
     while True:
@@ -124,3 +125,9 @@ def first_free(items: DataFrame, links: DataFrame) -> DataFrame:
         rest = decided.where("not keep").drop("keep")
         gone = rest.select("id", F.explode("groups").alias("group")).join(taken, "group", "left_semi").select("id").distinct()
         open_items = cut(rest.join(gone, "id", "left_anti"))
+        still = open_items.select(F.explode("groups").alias("group")).distinct()
+        for end in "ab":
+            links = links.join(still, links[end] == still.group, "left_semi")
+        links = cut(links)
+        del single, near, first, decided, new, taken, rest, gone, still
+        let_go(items.sparkSession)

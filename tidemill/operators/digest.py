@@ -97,9 +97,11 @@ def near_pairs(items: DataFrame, threshold: float = 0.62) -> DataFrame:
 def greedy(items: DataFrame, threshold: float = 0.62) -> DataFrame:
     """doc_id, slot, duplicates of the items that stay when each, from the best down, joins the first kept one with its text, its title, or a similar title.
 
-    Items are taken in the order of ranked(), as a brief does, so the first of a slot is its best.
+    Items are taken in the order of ranked(), as a brief does, so the first of a slot is its best. Texts go no further
+    than their keys, which are written once with title, score and date.
     """
-    k = keys(ranked(items)).select(F.col("doc_id").alias("id"), "place", F.col("text_key").alias("key_a"), F.col("title_key").alias("key_b"), X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p"), F.lit(None).cast("string").alias("g"))
+    slim = cut(keys(items).select("doc_id", "score", "published", "title", "text_key", "title_key"))
+    k = ranked(slim).select(F.col("doc_id").alias("id"), "place", F.col("text_key").alias("key_a"), F.col("title_key").alias("key_b"), X.stems(F.col("title")).alias("s"), X.periods(F.col("title")).alias("p"), F.lit(None).cast("string").alias("g"))
     return dedupe.greedy(k, threshold).withColumnRenamed("id", "doc_id")
 
 

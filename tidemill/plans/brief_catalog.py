@@ -172,7 +172,7 @@ query("ranked_caps")(lambda s, d: digest.capped(_ok(s, d)).select("doc_id", "pla
 query("section_counts", f"with {SCO} select section_id, count(*) as n, round(max(score), 6) as top from rou where reject_reason is null group by 1")(
     lambda s, d: _ok(s, d).groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top"))
 )
-query("dedupe_greedy")(lambda s, d: digest.greedy(cut(_brief(s, d).drop("matched"))))
+query("dedupe_greedy")(lambda s, d: digest.greedy(_brief(s, d)))
 query("pipeline_steps", f"""with {SCO}, w as (select *, coalesce(published, timestamp '{NOW}') as p from rou), i as (select * from w where case when p > timestamp '{NOW}' + interval 3 hour then timestamp '{NOW}' else p end >= timestamp '{NOW}' - interval 26 hour)
  select (select count(*) from art) as fetched, count(*) as in_window, count(*) filter (reject_reason is null) as accepted from i""")(
     lambda s, d: digest.first_counters(B.table(s, d, "documents"), _brief(s, d, 26))
